@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_LIMIT_BYTES = 16 * 1024 * 1024
 CATALOGUE_LIMIT_ROWS = 5_000
@@ -32,3 +35,29 @@ def catalogue_rows(df: DataFrame, limit: int = CATALOGUE_LIMIT_ROWS) -> list[Row
     """
     rows = df.limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
+
+
+def literal_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
+    """Rows given in code as plan constants, so that their exact size is known to the planner."""
+    fields = T._parse_datatype_string(f"struct<{', '.join(_field(p) for p in _split(schema))}>").fields
+
+    def constant(value) -> Column:
+        if isinstance(value, (list, tuple)):
+            return F.array(*[constant(v) for v in value])
+        return F.lit(value)
+
+    structs = [
+        F.struct(*[constant(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows
+    ]
+    if not structs:
+        return spark.createDataFrame([], T.StructType(fields))
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+
+
+def _split(schema: str) -> list[str]:
+    return [part.strip() for part in schema.split(",")]
+
+
+def _field(part: str) -> str:
+    name, kind = part.split(" ", 1)
+    return f"{name}:{kind}"

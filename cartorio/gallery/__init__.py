@@ -1,0 +1,6 @@
+"""Example queries over the star-schema tables, with the SQL they are checked against."""
+
+from cartorio.gallery import lifecycle, relational  # noqa: F401
+from cartorio.gallery.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

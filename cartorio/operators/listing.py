@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartorio.bounds import hint_small
+from cartorio.bounds import hint_small, literal_table
 from cartorio.functions.expressions import all_of
 from cartorio.functions.expressions import equals_if as equals
 from cartorio.operators.ordering import ordered_positions
@@ -249,7 +249,7 @@ def resolve_location(docs: DataFrame, products: DataFrame, repositories: DataFra
 def status_depth(jobs: DataFrame, statuses: Sequence[str]) -> DataFrame:
     """Jobs per status, every known status present. Counting starts from the fixed list, so the
     result has its rows without a join."""
-    zero = jobs.sparkSession.createDataFrame([(s,) for s in statuses], "status string").withColumn("n", F.lit(0).cast("bigint"))
+    zero = literal_table(jobs.sparkSession, [(s, 0) for s in statuses], "status string, n bigint")
     counted = jobs.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
     known = counted.filter(F.col("status").isin(*statuses))
     return zero.unionByName(known).groupBy("status").agg(F.sum("n").alias("jobs"))

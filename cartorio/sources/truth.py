@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartorio.bounds import literal_table
 from cartorio.functions.expressions import first_case
 
 STATUSES = ("VALID", "INVALID", "NOT_FOUND", "UNCERTAIN")
@@ -113,5 +114,5 @@ def critical_fields(schemas: DataFrame, overrides: Mapping[str, Sequence[str]] |
     if not overrides:
         return listed
     rows = [(t, p) for t, paths in overrides.items() for p in paths]
-    given = schemas.sparkSession.createDataFrame(rows, "document_type string, path string")
+    given = literal_table(schemas.sparkSession, rows, "document_type string, path string")
     return listed.filter(~F.col("document_type").isin(*overrides)).unionByName(given)

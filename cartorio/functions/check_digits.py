@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cartorio.functions.expressions import first_case
+from cartorio.functions.expressions import bind
 from cartorio.functions.folding import fold
 
 # The 27 federative units.
@@ -74,9 +74,12 @@ def state_normalize(value: Column) -> Column:
     return F.try_element_at(codes, fold(value))
 
 
+# The digit rules below are written so that each weighted sum occurs once: "ten counts as zero"
+# is a remainder of ten, and "eleven minus the rest, zero for rests below two" is two remainders.
+
+
 def _cpf_digit(text: Column, count: int) -> Column:
-    rest = weighted_sum(text, range(count + 1, 1, -1)) * 10 % 11
-    return F.when(rest == 10, 0).otherwise(rest)
+    return weighted_sum(text, range(count + 1, 1, -1)) * 10 % 11 % 10
 
 
 def cpf_valid(normal: Column) -> Column:
@@ -84,8 +87,7 @@ def cpf_valid(normal: Column) -> Column:
 
 
 def _cnpj_digit(text: Column, weights) -> Column:
-    rest = weighted_sum(text, weights) % 11
-    return F.when(rest < 2, 0).otherwise(F.lit(11) - rest)
+    return (F.lit(11) - weighted_sum(text, weights) % 11) % 11 % 10
 
 
 def cnpj_valid(normal: Column) -> Column:
@@ -97,27 +99,25 @@ def cnpj_valid(normal: Column) -> Column:
 
 
 def cnh_valid(normal: Column) -> Column:
-    descending = weighted_sum(normal, range(9, 0, -1)) % 11
-    ascending = weighted_sum(normal, range(1, 10)) % 11
-    second = ascending - F.when(descending == 10, 2).otherwise(0)
-    second = F.when(second < 0, second + 11).otherwise(second)
-    return (
-        (~normal.rlike(REPEATED))
-        & (F.when(descending == 10, 0).otherwise(descending) == _at(normal, 10))
-        & (F.when(second > 9, 0).otherwise(second) == _at(normal, 11))
-    )
+    """A first rest of ten gives digit 0 and takes two off the second sum."""
+    def judge(rest: Column) -> Column:
+        second = (weighted_sum(normal, range(1, 10)) % 11 - F.floor(rest / 10) * 2 + 11) % 11 % 10
+        return (rest % 10 == _at(normal, 10)) & (second == _at(normal, 11))
+
+    return (~normal.rlike(REPEATED)) & bind(weighted_sum(normal, range(9, 0, -1)) % 11, judge)
 
 
 def voter_valid(normal: Column) -> Column:
-    unit = _at(normal, 9) * 10 + _at(normal, 10)
-    exception = unit.isin(1, 2)
+    """In units 1 and 2 a rest of zero gives digit 1."""
+    def judge(unit: Column) -> Column:
+        digit = lambda total: bind(total % 11, lambda r: F.when(unit.isin(1, 2) & (r == 0), 1).otherwise(r % 10))
+
+        def second(first: Column) -> Column:
+            return (first == _at(normal, 11)) & (digit(weighted_sum(normal, (7, 8), start=9) + first * 9) == _at(normal, 12))
 
-    def digit(rest: Column) -> Column:
-        return first_case([(exception & (rest == 0), F.lit(1)), (rest == 10, F.lit(0))], rest)
+        return unit.between(1, 28) & bind(digit(weighted_sum(normal, VOTER_FIRST)), second)
 
-    first = digit(weighted_sum(normal, VOTER_FIRST) % 11)
-    second = digit((weighted_sum(normal, (7, 8), start=9) + first * 9) % 11)
-    return (~normal.rlike(REPEATED)) & unit.between(1, 28) & (first == _at(normal, 11)) & (second == _at(normal, 12))
+    return (~normal.rlike(REPEATED)) & bind(_at(normal, 9) * 10 + _at(normal, 10), judge)
 
 
 # kind -> (normal form, verdict on the normal form or None, code when right)

@@ -41,7 +41,7 @@ def _agrees(field: Column, length: int, digit: Column) -> Column:
 
 
 def _date(field: Column, today: date, birth: bool) -> Column:
-    year = F.lit(today.year // 100 * 100) + F.try_to_number(F.substring(field, 1, 2), "99").cast("int")
+    year = F.lit(today.year // 100 * 100) + F.substring(field, 1, 2).try_cast("int")
     if birth:
         year = F.when(year > today.year, year - 100).otherwise(year)
     iso = F.concat(year.cast("string"), F.lit("-"), F.substring(field, 3, 2), F.lit("-"), F.substring(field, 5, 2))

@@ -6,7 +6,6 @@ constants, and the winner is the head of a sorted array. Nothing is shuffled.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cartorio.bounds import hint_small
 from cartorio.functions.approximate import SUBSTRING_LENGTH, search_patterns
-from cartorio.functions.expressions import first_case, round_even
+from cartorio.functions.expressions import bind, first_case, round_even, text_array
 from cartorio.functions.folding import compact_of, fold, words_of
 from cartorio.sources.rules import Evidence, Profile, collect_profiles, pattern_rows
 
@@ -23,15 +22,6 @@ VERSION = "rules-2.0.0"
 SCORE = "decimal(5,4)"
 
 
-@dataclass(frozen=True)
-class Found:
-    """Column names that hold what was found: padded words, compact text, approximate hits."""
-
-    words: str = "_words"
-    compact: str = "_compact"
-    edits: str = "_edits"
-
-
 def _prepared(docs: DataFrame, profiles: list[Profile], text: str, fuzzy: bool) -> tuple[DataFrame, dict[int, int]]:
     """Adds the searchable columns; returns the number of each long pattern in the approximate scan."""
     folded = docs.withColumn("_folded", fold(F.col(text)))
@@ -51,9 +41,8 @@ def _prepared(docs: DataFrame, profiles: list[Profile], text: str, fuzzy: bool)
 
 def _edits(pattern, numbers: dict[int, int]) -> Column:
     """Edits of a pattern in the row's text, null when it is not there."""
-    none = F.lit(None).cast("int")
     if not pattern.compact:
-        return none
+        return F.lit(None).cast("int")
     if len(pattern.compact) < SUBSTRING_LENGTH:
         return F.when(F.col("_words").contains(f" {pattern.words} "), 0)
     if pattern.id in numbers:
@@ -61,23 +50,49 @@ def _edits(pattern, numbers: dict[int, int]) -> Column:
     return F.when(F.col("_compact").contains(pattern.compact), 0)
 
 
-def _evidence(item: Evidence, numbers: dict[int, int]) -> Column:
-    """Struct of an evidence: the first of its patterns that was found decides."""
-    tries = [F.when(e.isNotNull(), F.struct(F.lit(p.text).alias("pattern"), e.alias("edits"))) for p in item.patterns if (e := _edits(p, numbers)) is not None]
-    hit = F.coalesce(*tries) if tries else F.lit(None).cast("struct<pattern:string,edits:int>")
-    return F.struct(
-        F.lit(item.name).alias("name"),
-        F.lit(item.weight).cast("decimal(12,6)").alias("weight"),
-        hit.isNotNull().alias("matched"),
-        hit["pattern"].alias("pattern"),
-        first_case([(hit["edits"] == 0, "EXACT"), (hit["edits"] > 0, "FUZZY")]).alias("kind"),
-        hit["edits"].alias("edits"),
+def _constants(profiles: list[Profile], minimum: Decimal | None) -> Column:
+    """The catalogue as one constant array; patterns are named by their place in the list of lookups."""
+    place = {p.id: n for n, p in enumerate(p for profile in profiles for p in profile.patterns)}
+    item = "array<struct<name:string,weight:decimal(12,6),patterns:array<string>,places:array<int>>>"
+
+    def items(block: list[Evidence]) -> Column:
+        rows = [
+            F.struct(
+                F.lit(e.name).alias("name"), F.lit(e.weight).alias("weight"),
+                text_array(p.text for p in e.patterns).alias("patterns"),
+                F.array(*[F.lit(place[p.id]) for p in e.patterns]).cast("array<int>").alias("places"),
+            )
+            for e in block
+        ]
+        return F.array(*rows).cast(item)
+
+    return F.array(
+        *[
+            F.struct(
+                F.lit(order).alias("position"), F.lit(p.document_type).alias("document_type"),
+                F.lit(minimum or p.threshold).cast("decimal(12,6)").alias("threshold"),
+                items(p.evidence).alias("evidence"), items(p.counter).alias("counter"),
+            )
+            for order, p in enumerate(profiles)
+        ]
     )
 
 
-def _evidence_array(items: list[Evidence], numbers: dict[int, int]) -> Column:
-    kind = "array<struct<name:string,weight:decimal(12,6),matched:boolean,pattern:string,kind:string,edits:int>>"
-    return F.array(*[_evidence(i, numbers) for i in items]).cast(kind) if items else F.array().cast(kind)
+def _looked_up(items: Column, found: Column) -> Column:
+    """Evidence with the first of its patterns that was found."""
+    def one(item: Column) -> Column:
+        hits = F.filter(F.arrays_zip(item["patterns"].alias("pattern"), item["places"].alias("place")), lambda z: F.get(found, z["place"]).isNotNull())
+        first = F.get(F.transform(hits, lambda z: F.struct(z["pattern"].alias("pattern"), F.get(found, z["place"]).alias("edits"))), F.lit(0))
+        return bind(
+            first,
+            lambda h: F.struct(
+                item["name"].alias("name"), item["weight"].alias("weight"), h.isNotNull().alias("matched"),
+                h["pattern"].alias("pattern"), F.when(h["edits"] == 0, "EXACT").when(h["edits"] > 0, "FUZZY").alias("kind"),
+                h["edits"].alias("edits"),
+            ),
+        )
+
+    return F.transform(items, one)
 
 
 def _total(items: Column) -> Column:
@@ -89,7 +104,7 @@ def evidence_flags(docs: DataFrame, rules: DataFrame, key: str = "doc_id", text:
     """One row per document, type and evidence with its matched flag."""
     lookups = candidates_of(docs, rules, key, text, fuzzy)
     sides = [
-        lookups.select(key, "c.document_type", F.lit(side).alias("side"), F.explode(f"c.{column}").alias("e"))
+        lookups.select(key, "c.document_type", F.lit(side).alias("side"), F.explode_outer(f"c.{column}").alias("e")).filter("e IS NOT NULL")
         for side, column in (("E", "evidence"), ("C", "counter"))
     ]
     return sides[0].unionByName(sides[1]).select(key, "document_type", "side", "e.*")
@@ -101,32 +116,33 @@ def _scored(docs: DataFrame, rules: DataFrame, text: str, minimum: Decimal | Non
     if profiles is None:
         raise ValueError("rule catalogue too large for plan constants; classify(..., fuzzy=False) joins instead")
     ready, numbers = _prepared(docs, profiles, text, fuzzy)
-    candidates = []
-    for order, profile in enumerate(profiles):
-        evidence, counter = _evidence_array(profile.evidence, numbers), _evidence_array(profile.counter, numbers)
-        threshold = minimum if minimum else profile.threshold
-        candidates.append(
-            F.struct(
-                F.lit(profile.document_type).alias("document_type"),
-                F.lit(order).alias("position"),
-                F.lit(threshold).cast("decimal(12,6)").alias("threshold"),
-                evidence.alias("evidence"),
-                counter.alias("counter"),
-            )
-        )
-    looked = ready.withColumn("_looked", F.array(*candidates)).withColumn("text_length", F.length("_compact"))
-    looked = looked.drop("_words", "_compact", "_edits")
+    # Every pattern is looked up once, in this array; all the rest works on the few results.
+    lookups = F.array(*[_edits(p, numbers) for profile in profiles for p in profile.patterns]).cast("array<int>")
+    found = ready.withColumn("_found", lookups).withColumn("text_length", F.length("_compact")).drop("_words", "_compact", "_edits")
 
     def judged(c: Column) -> Column:
         raw = _total(c["evidence"]) - _total(c["counter"])
-        score = round_even(F.greatest(F.least(raw, F.lit(Decimal(1))), F.lit(Decimal(0))), 4).cast(SCORE)
-        return F.struct(
-            (-score).alias("sort"), c["position"].alias("position"), c["document_type"].alias("document_type"),
-            score.alias("score"), c["threshold"].alias("threshold"), (score >= c["threshold"]).alias("accepted"),
-            c["evidence"].alias("evidence"), c["counter"].alias("counter"),
+        clamped = round_even(F.greatest(F.least(raw, F.lit(Decimal(1))), F.lit(Decimal(0))), 4).cast(SCORE)
+        return bind(
+            clamped,
+            lambda score: F.struct(
+                (-score).alias("sort"), c["position"].alias("position"), c["document_type"].alias("document_type"),
+                score.alias("score"), c["threshold"].alias("threshold"), (score >= c["threshold"]).alias("accepted"),
+                c["evidence"].alias("evidence"), c["counter"].alias("counter"),
+            ),
         )
 
-    return looked.withColumn("_candidates", F.array_sort(F.transform("_looked", judged))).drop("_looked")
+    def scored(hits: Column) -> Column:
+        looked = F.transform(
+            _constants(profiles, minimum),
+            lambda p: F.struct(
+                p["position"].alias("position"), p["document_type"].alias("document_type"), p["threshold"].alias("threshold"),
+                _looked_up(p["evidence"], hits).alias("evidence"), _looked_up(p["counter"], hits).alias("counter"),
+            ),
+        )
+        return F.array_sort(F.transform(looked, judged))
+
+    return found.withColumn("_candidates", bind(F.col("_found"), scored)).drop("_found")
 
 
 def _with_winner(scored: DataFrame) -> DataFrame:
@@ -191,7 +207,7 @@ def candidates_of(
     docs: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "text", fuzzy: bool = True, minimum: Decimal | None = None
 ) -> DataFrame:
     scored = _scored(docs, rules, text, minimum, fuzzy)
-    return scored.select(key, F.explode("_candidates").alias("c"))
+    return scored.select(key, F.explode_outer("_candidates").alias("c"))
 
 
 def explain_classification(
@@ -199,7 +215,7 @@ def explain_classification(
 ) -> DataFrame:
     """One row per document and candidate, best first, with evidence detail and the reasons."""
     won = _with_winner(_scored(docs, rules, text, minimum, fuzzy))
-    long = won.select(key, "text_length", "_winner", F.size("_candidates").alias("tried"), F.posexplode("_candidates").alias("rank", "c"))
+    long = won.select(key, "text_length", "_winner", F.size("_candidates").alias("tried"), F.posexplode_outer("_candidates").alias("rank", "c"))
     chosen = F.col("c.document_type") == F.col("_winner.document_type")
     late = F.col("c.accepted") & ~F.coalesce(chosen, F.lit(False))
     reason = F.concat(
@@ -278,6 +294,11 @@ def expected_divergence(classified: DataFrame, expected: str = "expected_type")
 # ---------------------------------------------------------------- containment against large lists
 
 
+def grams(text: Column, size: int) -> Column:
+    """All overlapping windows of a size, in one pass over the text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+
+
 def contains_join(texts: DataFrame, patterns: DataFrame, text: str = "compact", pattern: str = "pattern_compact", gram: int = 8) -> DataFrame:
     """Text rows paired with the patterns they contain, for pattern lists of any size.
 
@@ -285,8 +306,7 @@ def contains_join(texts: DataFrame, patterns: DataFrame, text: str = "compact",
     window of that length, so the join is an equality join and only true prefixes are compared.
     Patterns shorter than a gram are not handled here.
     """
-    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - gram + 1, F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(gram)))
-    offered = texts.withColumn("_gram", F.explode(F.array_distinct(starts)))
+    offered = texts.withColumn("_gram", F.explode_outer(F.array_distinct(grams(F.col(text), gram))))
     wanted = patterns.filter(F.length(pattern) >= gram).withColumn("_gram", F.substring(pattern, 1, gram))
     return offered.join(hint_small(wanted), "_gram").filter(F.col(text).contains(F.col(pattern))).drop("_gram")
 
@@ -300,14 +320,15 @@ def classify_by_join(
     searchable = folded.select(key, compact_of(F.col("folded")).alias("compact"), words_of(F.col("folded")).alias("words"))
     long = contains_join(searchable, patterns.filter(F.length("pattern_compact") >= SUBSTRING_LENGTH))
     short = patterns.filter(F.length("pattern_compact").between(1, SUBSTRING_LENGTH - 1))
+    longest = F.coalesce(short.agg(F.max(F.size(F.split("pattern_words", " "))).alias("n")).scalar(), F.lit(1))
     tokens = F.split("words", " ")
     runs = F.flatten(
         F.transform(
             F.sequence(F.lit(1), F.size(tokens)),
-            lambda i: F.transform(F.sequence(F.lit(1), F.lit(SUBSTRING_LENGTH - 1)), lambda n: F.array_join(F.slice(tokens, i, n), " ")),
+            lambda i: F.transform(F.sequence(F.lit(1), longest), lambda n: F.array_join(F.slice(tokens, i, n), " ")),
         )
     )
-    worded = searchable.withColumn("pattern_words", F.explode(F.array_distinct(runs))).join(hint_small(short), "pattern_words")
+    worded = searchable.withColumn("pattern_words", F.explode_outer(F.array_distinct(runs))).join(hint_small(short), "pattern_words")
     columns = [key, "document_type", "position", "threshold", "side", "ordinal", "weight", "name"]
     matched = long.select(*columns).unionByName(worded.select(*columns)).distinct()
     signed = F.when(F.col("side") == "E", F.col("weight")).otherwise(-F.col("weight"))

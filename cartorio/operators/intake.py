@@ -166,6 +166,7 @@ def replay_guard(uploads: DataFrame, ttl_hours: int = 24, live: DataFrame | None
         uploads.schema["upload_id"].dataType.simpleString()
     )
     state = live if live is not None else uploads.sparkSession.createDataFrame([], record)
+    newest = F.max(F.struct("opened_at", "opened_by", "opened_digest")).alias("o")
     verdicts = None
     for number in range(bounds["low"], bounds["high"] + 1) if bounds["low"] is not None else ():
         part = keyed.filter(slice_of == number).join(state, "key", "left")
@@ -180,14 +181,14 @@ def replay_guard(uploads: DataFrame, ttl_hours: int = 24, live: DataFrame | None
         opened = cut_lineage(opened)
         fresh = opened.withColumnsRenamed({"opened_at": "_at", "opened_by": "_by", "opened_digest": "_digest"})
         judged = part.join(fresh, "key", "left").withColumn(
-            "_new", F.coalesce(F.struct("uploaded_at", "upload_id") >= F.struct(F.col("_at"), F.col("_by")), F.lit(False))
+            "_new", F.col("_at").isNotNull() & (F.struct("uploaded_at", "upload_id") >= F.struct(F.col("_at"), F.col("_by")))
         )
         answered = F.when(F.col("_new"), F.col("_by")).otherwise(F.col("opened_by"))
         digest = F.when(F.col("_new"), F.col("_digest")).otherwise(F.col("opened_digest"))
         outcome = F.when(answered == F.col("upload_id"), "NEW").when(digest == F.col("digest"), "REPLAY").otherwise("CONFLICT")
         rows = judged.select(*uploads.columns, outcome.alias("outcome"), answered.alias("answered_by"))
         verdicts = rows if verdicts is None else verdicts.unionByName(rows)
-        state = cut_lineage(state.join(opened, "key", "left_anti").unionByName(opened))
+        state = state.unionByName(opened).groupBy("key").agg(newest).select("key", "o.*")
     if verdicts is None:
         return keyed.withColumns({"outcome": F.lit(None).cast("string"), "answered_by": F.lit(None).cast(uploads.schema["upload_id"].dataType)})
     return verdicts

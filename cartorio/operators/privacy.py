@@ -11,7 +11,7 @@ from cartorio.bounds import catalogue_rows, hint_small
 from cartorio.functions.check_digits import cnh_valid, cnpj_valid, cpf_valid, voter_valid
 from cartorio.functions.expressions import bind, first_case
 from cartorio.functions.folding import fold_compat
-from cartorio.operators.classify import contains_join
+from cartorio.operators.classify import contains_join, grams
 
 # Shapes that are looked for, and the names findings are reported under.
 CPF_FORMATTED = r"[0-9]{3}\.[0-9]{3}\.[0-9]{3}-[0-9]{2}"
@@ -62,17 +62,19 @@ def find_values(lines: DataFrame, text: str = "line") -> DataFrame:
     def matches(scan: int, shape: str, kind: str, group: str) -> Column:
         def item(raw: Column, at: Column) -> Column:
             value = F.upper(F.regexp_replace(raw, r"[.\-]", "")) if kind == KIND_RG else digits_of(raw)
-            return F.struct(
-                F.lit(scan).alias("scan"), at.alias("at"), raw.alias("raw"), value.alias("value"),
-                F.lit(kind).alias("family"), F.lit(group).alias("allow_group"),
+            return bind(
+                value,
+                lambda v: F.struct(
+                    F.lit(scan).alias("scan"), at.alias("at"), raw.alias("raw"), v.alias("value"),
+                    _kind(kind, v).alias("kind"), F.lit(group).alias("allow_group"),
+                ),
             )
 
         return F.transform(F.regexp_extract_all(F.col(text), F.lit(shape), F.lit(0)), item)
 
-    every = F.flatten(F.array(*[matches(i, *scan) for i, scan in enumerate(_SCANS)]))
-    hits = lines.filter(F.col(text).rlike(ANY_DIGITS)).withColumn("_hit", F.explode(every)).select("*", "_hit.*").drop("_hit")
-    kind = first_case([(F.col("family") == f, _kind(f, F.col("value"))) for f in dict.fromkeys(s[1] for s in _SCANS)])
-    return hits.withColumn("kind", kind).filter(F.col("kind").isNotNull()).drop("family")
+    every = F.filter(F.flatten(F.array(*[matches(i, *scan) for i, scan in enumerate(_SCANS)])), lambda h: h["kind"].isNotNull())
+    hits = lines.filter(F.col(text).rlike(ANY_DIGITS)).withColumn("_hit", F.explode_outer(every))
+    return hits.filter("_hit IS NOT NULL").select("*", "_hit.*").drop("_hit")
 
 
 def redact(value: Column, visible: int = 3) -> Column:
@@ -107,18 +109,13 @@ def scan_names(lines: DataFrame, names: DataFrame, key: str = "path", line_no: s
     if rows is not None:
         pairs = [F.struct(F.lit(r["name"]).alias("name"), F.lit(r["folded_name"]).alias("folded_name")) for r in rows]
         inside = bind(F.col("folded_line"), lambda line: F.filter(F.array(*pairs), lambda n: F.contains(line, n["folded_name"]))) if pairs else F.array().cast("array<struct<name:string,folded_name:string>>")
-        hits = folded.select(key, line_no, F.explode(inside).alias("n")).select(key, line_no, F.col("n.name").alias("name"))
+        hits = folded.select(key, line_no, F.explode_outer(inside).alias("n")).filter("n IS NOT NULL").select(key, line_no, F.col("n.name").alias("name"))
         return _named(hits, key, line_no)
     long = contains_join(folded, listed, "folded_line", "folded_name", gram)
     # Names shorter than a prefix meet the text on their whole length.
     short = listed.filter(F.length("folded_name") < gram).withColumn("_size", F.length("folded_name"))
-    parts = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length("folded_line"), F.lit(1))),
-            lambda i: F.transform(F.sequence(F.lit(1), F.lit(gram - 1)), lambda n: F.substr("folded_line", i, n)),
-        )
-    )
-    brief = folded.withColumn("folded_name", F.explode(F.array_distinct(parts))).join(hint_small(short.drop("_size")), "folded_name")
+    parts = F.flatten(F.array(*[grams(F.col("folded_line"), n) for n in range(1, gram)]))
+    brief = folded.withColumn("folded_name", F.explode_outer(F.array_distinct(parts))).join(hint_small(short.drop("_size")), "folded_name")
     columns = [key, line_no, "name"]
     return _named(long.select(*columns).unionByName(brief.select(*columns)), key, line_no)
 
@@ -199,7 +196,7 @@ def mask_dates(text: Column) -> Column:
 
         def year(part: Column) -> Column:
             head, tail = F.substring_index(part, "\u0002", 1), F.substring_index(part, "\u0002", -1)
-            moved = (F.lit(2030) + F.try_to_number(F.substring(tail, 1, 4), "9999") % 20).cast("int").cast("string")
+            moved = (F.lit(2030) + F.substring(tail, 1, 4).try_cast("int") % 20).cast("int").cast("string")
             return F.when(part.contains("\u0002"), F.concat(head, moved)).otherwise(part)
 
         out = F.array_join(F.transform(parts, year), "")

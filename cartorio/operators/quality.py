@@ -29,7 +29,7 @@ def audit_identifiers(df: DataFrame, columns: Mapping[str, str], key: str) -> Da
         F.struct(F.lit(c).alias("column"), F.lit(kind).alias("kind"), F.col(c).cast("string").alias("raw"))
         for c, kind in columns.items()
     ]
-    long = df.select(key, F.explode(F.array(*cells)).alias("c")).select(key, "c.*")
+    long = df.select(key, F.explode_outer(F.array(*cells)).alias("c")).select(key, "c.*")
     kinds = sorted(set(columns.values()))
     normal = first_case([(F.col("kind") == k, KINDS[k][0](F.col("raw"))) for k in kinds])
     judged = [(F.col("kind") == k, KINDS[k][1](F.col("_normal")) if KINDS[k][1] else F.lit(True)) for k in kinds]
@@ -56,7 +56,7 @@ def audit_dates(df: DataFrame, columns: Mapping[str, str], key: str, today: date
     cells = [
         F.struct(F.lit(c).alias("column"), F.lit(kind).alias("kind"), F.col(c).alias("raw")) for c, kind in columns.items()
     ]
-    long = df.select(key, F.explode(F.array(*cells)).alias("c")).select(key, "c.*")
+    long = df.select(key, F.explode_outer(F.array(*cells)).alias("c")).select(key, "c.*")
     kind = F.col("kind")
     day = F.when(kind == "LONG", parse_long_date(F.col("raw"))).when(kind != "MONTH", parse_date(F.col("raw")))
     month = F.when(kind == "MONTH", parse_month(F.col("raw")))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cartorio.functions.folding import fold
 from cartorio.functions.geometry import with_box
@@ -12,7 +11,7 @@ from cartorio.operators.ordering import ordered_positions
 
 BLOCK = "struct<text:string,confidence:decimal(5,4),boundingBox:array<double>>"
 PAGE = f"struct<page:int,imageWidth:int,imageHeight:int,durationMs:bigint,blocks:array<{BLOCK}>>"
-CAPTURE_SCHEMA = T._parse_datatype_string(f"struct<source:string,modelVersion:string,pages:array<{PAGE}>>")
+CAPTURE_SCHEMA = f"source string, modelVersion string, pages array<{PAGE}>"
 PAGE_TEXTS = "array<struct<pageNumber:int,text:string>>"
 BLANK = r"^[\t-\r \x{85}\p{Z}]*\z"
 
@@ -23,9 +22,10 @@ LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 def to_lines(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, line_no from 1, line) of every text; a trailing break adds no empty line."""
     ended = F.regexp_replace(F.col(text), f"(?:{LINE_BREAK})\\z", "")
-    return df.filter(F.col(text) != "").select(key, *keep, F.posexplode(F.split(ended, LINE_BREAK)).alias("line_no", "line")).withColumn(
-        "line_no", F.col("line_no") + 1
-    )
+    parts = F.when(F.col(text) != "", F.split(ended, LINE_BREAK))
+    # Conditions stand behind the generator: in front of it they would evaluate the text twice.
+    cut = df.select(key, *keep, F.posexplode_outer(parts).alias("line_no", "line"))
+    return cut.filter(F.col("line").isNotNull()).withColumn("line_no", F.col("line_no") + 1)
 
 
 def read_text_files(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -81,9 +81,9 @@ def rebuild_blocks(df: DataFrame, raw: str = "raw_json", page_texts: str = "page
     chosen = parsed.select(
         key,
         F.when(usable, "BLOCKS").otherwise("PAGE_TEXT").alias("input"),
-        F.posexplode(F.when(usable, full).otherwise(plain)).alias("page_no", "p"),
-    )
-    return chosen.select(key, "input", "page_no", F.col("p.page").alias("page"), F.posexplode("p.blocks").alias("block_no", "b")).select(
+        F.posexplode_outer(F.when(usable, full).otherwise(plain)).alias("page_no", "p"),
+    ).filter("p IS NOT NULL")
+    return chosen.select(key, "input", "page_no", F.col("p.page").alias("page"), F.posexplode_outer("p.blocks").alias("block_no", "b")).filter("b IS NOT NULL").select(
         key, "input", "page_no", "page", "block_no", "b.text", "b.confidence", F.col("b.boundingBox").alias("bbox")
     )
 

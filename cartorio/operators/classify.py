@@ -325,10 +325,10 @@ def classify_by_join(
     runs = F.flatten(
         F.transform(
             F.sequence(F.lit(1), F.size(tokens)),
-            lambda i: F.transform(F.sequence(F.lit(1), longest), lambda n: F.array_join(F.slice(tokens, i, n), " ")),
+            lambda i: F.transform(F.sequence(F.lit(1), F.col("_longest")), lambda n: F.array_join(F.slice(tokens, i, n), " ")),
         )
     )
-    worded = searchable.withColumn("pattern_words", F.explode_outer(F.array_distinct(runs))).join(hint_small(short), "pattern_words")
+    worded = searchable.withColumn("_longest", longest).withColumn("pattern_words", F.explode_outer(F.array_distinct(runs))).join(hint_small(short), "pattern_words")
     columns = [key, "document_type", "position", "threshold", "side", "ordinal", "weight", "name"]
     matched = long.select(*columns).unionByName(worded.select(*columns)).distinct()
     signed = F.when(F.col("side") == "E", F.col("weight")).otherwise(-F.col("weight"))

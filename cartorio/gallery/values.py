@@ -200,7 +200,8 @@ def field_policy(t):
 
 @query(
     "overall_confidence",
-    f"WITH {FIELD_ROWS} SELECT doc_id, CAST(round_even(CAST(sum(line_confidence) AS DECIMAL(20,4)) * 100000000 / count(line_confidence) / 100000000, 4) AS DOUBLE) AS overall_confidence FROM fields GROUP BY doc_id",
+    f"WITH {FIELD_ROWS}, s AS (SELECT doc_id, CAST(sum(CAST(line_confidence * 10000 AS BIGINT)) AS BIGINT) AS total, count(line_confidence) AS n FROM fields GROUP BY doc_id) "
+    "SELECT doc_id, CASE WHEN n > 0 THEN CAST((total // n + CASE WHEN 2 * (total % n) > n OR (2 * (total % n) = n AND (total // n) % 2 = 1) THEN 1 ELSE 0 END) / 10000.0 AS DOUBLE) END AS overall_confidence FROM s",
 )
 def overall_confidence(t):
     rows = field_rows(t).withColumn("confidence", F.col("line_confidence"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartorio.bounds import literal_table
@@ -242,9 +242,10 @@ def find_zones(lines: DataFrame, today: date) -> DataFrame:
     found = paged.withColumn("_at", F.get(starts, F.lit(0))).filter(F.col("_at").isNotNull())
     block = found.withColumn("_block", F.slice("_rows", F.col("_at") + 1, F.lit(3)))
     first = block.groupBy(*KEYS).agg(F.min(F.struct("page", "_block")).alias("z"))
-    three = [mrz.restore_fillers(F.get("z._block", F.lit(i))["zone"]) for i in range(3)]
+    repaired = {f"_z{i}": mrz.restore_fillers(F.get("z._block", F.lit(i))["zone"]) for i in range(3)}
+    three = [F.col(c) for c in repaired]
     weakest = F.array_min(F.transform("z._block", lambda b, i: F.struct(F.coalesce(b["confidence"], F.lit(1)).cast("double").alias("c"), i.alias("i"), b.alias("b"))))["b"]
-    return first.select(
+    return first.withColumns(repaired).select(
         *KEYS, F.col("z.page").alias("page"), F.array_join(F.transform("z._block", lambda b: b["text"]), "\n").alias("raw"),
         F.concat_ws("\n", *three).alias("zone"), mrz.reading(*three, today).alias("reading"), weakest.alias("w"),
     ).select("*", F.col("w.line_no").alias("line_no"), F.col("w.confidence").alias("confidence"), F.array("w.left", "w.top", "w.right", "w.top", "w.right", "w.bottom", "w.left", "w.bottom").alias("bbox")).drop("w")
@@ -254,12 +255,12 @@ def zone_alternatives(zones: DataFrame) -> DataFrame:
     """The zone as a field; its birth date is kept behind the value until it can be compared."""
     read = F.col("reading")
     born = F.coalesce(iso(F.col("reading.birth_date")), F.lit(""))
-    valid, wrong = F.col("reading.fully_valid"), ~F.col("reading.fully_valid")
+    valid = mrz.fully_valid(read)
     value = F.concat(F.col("zone"), F.lit("\u0001"), born)
     item = (
         F.when(read.isNull(), r.alternative("mrz", 1, F.col("raw"), None, "UNCERTAIN", ["MRZ_LENGTH_UNEXPECTED"], 0.10, False))
         .when(valid, r.alternative("mrz", 1, F.col("raw"), value, "VALID", ["MRZ_CHECK_VALID"], 0.0, False))
-        .when(wrong, r.alternative("mrz", 1, F.col("raw"), value, "INVALID", ["MRZ_CHECK_INVALID"], 0.0, False))
+        .otherwise(r.alternative("mrz", 1, F.col("raw"), value, "INVALID", ["MRZ_CHECK_INVALID"], 0.0, False))
     )
     return _shape(zones, r.listed(item))
 
@@ -415,8 +416,9 @@ def choose(alternatives: DataFrame) -> DataFrame:
 
 def _compare_zone(fields: DataFrame) -> DataFrame:
     """The birth date of a zone against the printed one; mrz values lose the date they carried."""
-    born = fields.filter((F.col("document_type") == "BR_CIN") & (F.col("path") == "birthDate") & (F.col("status") == "VALID")).select("doc_id", F.col("normalized").alias("_printed"))
-    joined = fields.join(born, "doc_id", "left")
+    birth = F.when((F.col("document_type") == "BR_CIN") & (F.col("path") == "birthDate") & (F.col("status") == "VALID"), F.col("normalized"))
+    # A document has a few dozen fields at most, so a window per document stays small.
+    joined = fields.withColumn("_printed", F.max(birth).over(Window.partitionBy("doc_id")))
     is_zone = (F.col("path") == "mrz") & F.col("normalized").isNotNull()
     date_ = F.substring_index("normalized", "\u0001", -1)
     compared = is_zone & F.col("_printed").isNotNull() & (date_ != "")

@@ -21,6 +21,7 @@ def build_session(app: str = "cartorio", master: str | None = None, **conf: str)
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
         # Plans are built from many small expressions; call-site capture costs more than they do.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.maxPlanStringLength", "200000")
     )
     if master:
         builder = builder.master(master)

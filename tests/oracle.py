@@ -60,7 +60,7 @@ def main(root: str, wanted: list[str]):
     import __spark_entry__ as entry
     from cartorio.session import build_session
 
-    spark = build_session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__ui__showConsoleProgress="false")
+    spark = build_session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="8g", spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     connection = connect(root)
     queries, sqls = entry.queries(), entry.oracle_sql()

@@ -15,7 +15,7 @@ def _docs(spark: bool) -> str:
     kind = f"element_at(array({_TYPES}, 'OTHER'), CAST(o_custkey % 8 AS INT) + 1)" if spark else f"([{_TYPES}, 'OTHER'])[o_custkey % 8 + 1]"
     return (
         f"SELECT o_orderkey AS doc_id, {kind} AS document_type, o_orderstatus AS quality, CASE o_orderkey % 12 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'TIMEOUT' ELSE 'COMPLETED' END AS run_status, "
-        f"CASE WHEN o_orderkey % 9 = 0 THEN 'UNKNOWN' ELSE {kind} END AS detected_type, o_orderkey % 11 <> 0 AS legible, CAST(o_totalprice AS BIGINT) % 100 AS text_chars, (o_orderkey % 500) / CAST(10 AS DOUBLE) AS elapsed_seconds, o_custkey FROM orders"
+        f"CASE WHEN o_orderkey % 9 = 0 THEN 'UNKNOWN' ELSE {kind} END AS detected_type, o_orderkey % 11 <> 0 AS legible, CAST(floor(o_totalprice) AS BIGINT) % 100 AS text_chars, (o_orderkey % 500) / CAST(10 AS DOUBLE) AS elapsed_seconds, o_custkey FROM orders"
     )
 
 
@@ -208,11 +208,11 @@ def report_labels(t):
 
 @query(
     "bench_stats",
-    "WITH d AS (SELECT l_returnflag || l_linestatus AS sample, CAST(l_extendedprice AS BIGINT) % 5000 AS ms FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY ms) - 1 AS i, count(*) OVER (PARTITION BY sample) AS n FROM d) "
+    "WITH d AS (SELECT l_returnflag || l_linestatus AS sample, CAST(floor(l_extendedprice) AS BIGINT) % 5000 AS ms FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY ms) - 1 AS i, count(*) OVER (PARTITION BY sample) AS n FROM d) "
     "SELECT sample, max(n) AS runs, median(ms) AS median_ms, CAST(max(ms) FILTER (i = CAST(round_even(0.95 * (n - 1), 0) AS BIGINT)) AS BIGINT) AS p95_ms, round(median(ms) / 2.5, 6) AS ms_per_megapixel FROM r GROUP BY sample",
 )
 def bench_stats(t):
-    rows = t.lineitem.selectExpr("concat(l_returnflag, l_linestatus) AS sample", "CAST(l_extendedprice AS BIGINT) % 5000 AS duration_ms", "CAST(2.5 AS DOUBLE) AS megapixels")
+    rows = t.lineitem.selectExpr("concat(l_returnflag, l_linestatus) AS sample", "CAST(floor(l_extendedprice) AS BIGINT) % 5000 AS duration_ms", "CAST(2.5 AS DOUBLE) AS megapixels")
     return sc.bench_stats(rows).select("sample", "runs", "median_ms", "p95_ms", F.round("ms_per_megapixel", 6).alias("ms_per_megapixel"))
 
 

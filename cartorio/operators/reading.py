@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartorio.bounds import catalogue_rows
+from cartorio.functions.expressions import bind
+
 # Fixed value: similarity from which an item counts as read.
 SIMILAR = 0.9
 
@@ -74,20 +77,38 @@ def recall_summary(marked: DataFrame, key: str = "sample") -> DataFrame:
 
 
 def expected_values(expected: DataFrame, blocks: DataFrame, key: str = "sample") -> DataFrame:
-    """Expected values with ``exact`` and the first block that holds each, else the closest block.
+    """Expected values with ``exact`` and the first block of the sample that holds each.
 
-    Expected: item_id, sample, item; blocks: sample, block_no, block. Closest is by edit distance,
-    and is only looked for where no block holds the value.
+    Expected: item_id, sample, item; blocks: sample, block_no, block.
     """
-    inside = contained_items(expected, blocks, key)
-    held = (
-        expected.join(inside, "item_id", "left_semi").join(blocks, key).filter(F.col("block").contains(F.col("item")))
-        .groupBy("item_id").agg(F.min(F.struct("block_no", "block")).alias("_h"))
-    )
-    open_ = expected.join(inside, "item_id", "left_anti")
-    distance = F.levenshtein("item", "block")
-    near = open_.join(blocks, key).groupBy("item_id").agg(F.min(F.struct(distance.alias("d"), "block_no", "block")).alias("_n"))
-    joined = expected.join(held, "item_id", "left").join(near, "item_id", "left")
-    return joined.select(
-        *expected.columns, F.col("_h").isNotNull().alias("exact"), F.coalesce("_h.block_no", "_n.block_no").alias("block_no"), F.coalesce("_h.block", "_n.block").alias("found_in")
+    from cartorio.operators.classify import grams
+
+    gram = 8
+    keyed = expected.withColumn("_gram", F.substring("item", 1, gram))
+    offered = blocks.withColumn("_gram", F.explode_outer(F.array_distinct(grams(F.col("block"), gram))))
+    long = keyed.filter(F.length("item") >= gram).join(offered, [key, "_gram"]).filter(F.col("block").contains(F.col("item")))
+    brief = keyed.filter(F.length("item") < gram).drop("_gram")
+    pieces = F.flatten(F.array(*[grams(F.col("block"), n) for n in range(1, gram)]))
+    short = brief.join(blocks.withColumn("item", F.explode_outer(F.array_distinct(pieces))), [key, "item"])
+    long = long.select("item_id", "block_no", "block").unionByName(short.select("item_id", "block_no", "block"))
+    held = long.groupBy("item_id").agg(F.min(F.struct("block_no", "block")).alias("_h"))
+    return expected.join(held, "item_id", "left").select(
+        *expected.columns, F.col("_h").isNotNull().alias("exact"), F.col("_h.block_no").alias("block_no"), F.col("_h.block").alias("found_in")
     )
+
+
+def closest_blocks(missing: DataFrame, blocks: DataFrame, key: str = "sample") -> DataFrame:
+    """Closest block by edit distance of values that no block holds.
+
+    The list of expected values is kept by hand, so it is attached to every block as constants
+    of its sample and reduced to one row per value before anything is shuffled.
+    """
+    rows = catalogue_rows(missing.select("item_id", key, "item"), 500)
+    if rows is None:
+        raise ValueError("the closest block is looked for only for a short list of values")
+    schema = missing.schema
+    listed = F.array(*[F.struct(F.lit(r["item_id"]).cast(schema["item_id"].dataType).alias("item_id"), F.lit(r[key]).alias("s"), F.lit(r["item"]).alias("item")) for r in rows])
+    mine = bind(F.struct(F.col(key).alias("s"), F.col("block").alias("b")), lambda v: F.transform(F.filter(listed, lambda i: i["s"] == v["s"]), lambda i: F.struct(i["item_id"].alias("item_id"), F.levenshtein(i["item"], v["b"]).alias("d"))))
+    measured = blocks.withColumn("_m", F.explode_outer(mine)).filter("_m IS NOT NULL")
+    best = measured.groupBy("_m.item_id").agg(F.min(F.struct("_m.d", "block_no", "block")).alias("b"))
+    return best.select("item_id", F.col("b.d").alias("distance"), F.col("b.block").alias("closest"))

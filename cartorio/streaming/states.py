@@ -76,7 +76,7 @@ class StuckWork(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         batch = _sorted(rows, ["seen_at", "status"])
         if batch is None:
-            return
+            return iter(())
         newest = batch.iloc[-1]
         known = self.last.get() if self.last.exists() else None
         if known is None or (newest["seen_at"], newest["status"]) >= (pd.Timestamp(known[0]).tz_localize(None), known[1]):
@@ -86,7 +86,7 @@ class StuckWork(StatefulProcessor):
             if timer:
                 self.handle.registerTimer(timer)
             self.last.update((newest["seen_at"].to_pydatetime(), newest["status"], timer))
-        yield pd.DataFrame({"job_id": [], "details": []})
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.last.clear()
@@ -117,7 +117,7 @@ class AutoApprove(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         batch = _sorted(rows, ["at"])
         if batch is None:
-            return
+            return iter(())
         for row in batch.itertuples():
             if row.status == "PENDING":
                 self.due.update((_millis(row.at) + self.after,))
@@ -125,7 +125,7 @@ class AutoApprove(StatefulProcessor):
             elif self.due.exists():
                 self.handle.deleteTimer(self.due.get()[0])
                 self.due.clear()
-        yield pd.DataFrame({"request_id": [], "status": [], "approved_by": []})
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         from cartorio.operators.lifecycle import AUTO_APPROVER

@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 
 from cartorio.bounds import literal_table
-from cartorio.session import read_table
+from cartorio.session import read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return read_table(self.spark, self.root, name)
 
+    @property
+    def documents(self) -> DataFrame:
+        return spread(read_table(self.spark, self.root, "documents"))
+
     def literal(self, rows, schema: str) -> DataFrame:
         return literal_table(self.spark, rows, schema)
 

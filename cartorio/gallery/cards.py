@@ -16,7 +16,7 @@ from cartorio.gallery.texts import _dotted_cnpj, _dotted_cpf, _sum, add_numbers,
 from cartorio.operators import labels as lab
 from cartorio.operators import layout
 from cartorio.plans import extract as ext
-from cartorio.session import cut_lineage
+from cartorio.session import cut_lineage, spread
 
 TODAY = date(2024, 6, 30)
 TYPES = ("BR_CPF_CARD", "BR_CNH", "BR_CIN", "BR_PROOF_OF_ADDRESS", "BR_CNPJ_CARD", "BR_CCMEI", "BR_SOCIAL_CONTRACT")
@@ -62,7 +62,7 @@ def _person(spark: bool) -> dict[str, list[dict[str, str]]]:
 
 
 def people(t):
-    df = add_numbers(t.customer, "c_custkey")
+    df = add_numbers(spread(t.customer), "c_custkey")
     for stage in _person(True):
         df = df.withColumns({name: F.expr(text) for name, text in stage.items()})
     return df

@@ -343,6 +343,21 @@ def auto_approve(requests: DataFrame, now: datetime, after_hours: int = 24) -> D
     )
 
 
+def auto_approval_audit(before: DataFrame, after: DataFrame, after_hours: int = 24) -> DataFrame:
+    """Audit rows of the requests that ``auto_approve`` has just approved."""
+    pending = before.filter(F.col("status") == "PENDING").select("request_id")
+    approved = after.filter((F.col("status") == "APPROVED") & (F.col("approved_by") == AUTO_APPROVER)).join(pending, "request_id", "left_semi")
+    waited = f"{after_hours // 24}.{after_hours % 24:02d}:00:00" if after_hours >= 24 else f"{after_hours:02d}:00:00"
+    return approved.select(
+        F.lit(AUTO_APPROVER).alias("user_id"),
+        F.lit("GDPR_DELETION_APPROVED").alias("action"),
+        F.lit("gdpr-deletion-request").alias("resource_type"),
+        F.col("request_id").cast("string").alias("resource_id"),
+        F.concat(F.lit("documentId="), F.col("doc_id").cast("string"), F.lit(f" autoApproveAfter={waited}")).alias("changes"),
+        F.col("decided_at").alias("occurred_at"),
+    )
+
+
 def approved_erasures(requests: DataFrame, docs: DataFrame) -> DataFrame:
     """Approved requests with where the document's bytes are, oldest first."""
     wanted = requests.filter(F.col("status") == "APPROVED").select("request_id", "doc_id", "requested_at", "approved_by")

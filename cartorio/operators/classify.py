@@ -6,6 +6,7 @@ constants, and the winner is the head of a sorted array. Nothing is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -299,16 +300,21 @@ def grams(text: Column, size: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
-def contains_join(texts: DataFrame, patterns: DataFrame, text: str = "compact", pattern: str = "pattern_compact", gram: int = 8) -> DataFrame:
+def contains_join(
+    texts: DataFrame, patterns: DataFrame, text: str = "compact", pattern: str = "pattern_compact", gram: int = 8, on: Sequence[str] = ()
+) -> DataFrame:
     """Text rows paired with the patterns they contain, for pattern lists of any size.
 
-    Both sides meet on the first ``gram`` letters of the pattern: the text offers every distinct
-    window of that length, so the join is an equality join and only true prefixes are compared.
-    Patterns shorter than a gram are not handled here.
+    Both sides meet on the first ``gram`` letters of the pattern: a text offers every distinct
+    window of that length under its hash, so the windows travel without the text, and the text is
+    fetched by hash only for true prefixes. Equal hashes of different texts do no harm, as every
+    pair is compared in the end. Patterns shorter than a gram are not handled here.
     """
-    offered = texts.withColumn("_gram", F.explode_outer(F.array_distinct(grams(F.col(text), gram))))
+    hash_ = F.xxhash64(text)
+    offered = texts.select(*on, hash_.alias("_hash"), F.explode_outer(F.array_distinct(grams(F.col(text), gram))).alias("_gram"))
     wanted = patterns.filter(F.length(pattern) >= gram).withColumn("_gram", F.substring(pattern, 1, gram))
-    return offered.join(hint_small(wanted), "_gram").filter(F.col(text).contains(F.col(pattern))).drop("_gram")
+    met = offered.join(hint_small(wanted), [*on, "_gram"]).drop("_gram").distinct()
+    return texts.withColumn("_hash", hash_).join(met, [*on, "_hash"]).filter(F.col(text).contains(F.col(pattern))).drop("_hash")
 
 
 def classify_by_join(
@@ -321,12 +327,12 @@ def classify_by_join(
     long = contains_join(searchable, patterns.filter(F.length("pattern_compact") >= SUBSTRING_LENGTH))
     short = patterns.filter(F.length("pattern_compact").between(1, SUBSTRING_LENGTH - 1))
     longest = F.coalesce(short.agg(F.max(F.size(F.split("pattern_words", " "))).alias("n")).scalar(), F.lit(1))
-    tokens = F.split("words", " ")
-    runs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.size(tokens)),
-            lambda i: F.transform(F.sequence(F.lit(1), F.col("_longest")), lambda n: F.array_join(F.slice(tokens, i, n), " ")),
-        )
+    lengths = F.sequence(F.lit(1), F.col("_longest"))
+    runs = bind(
+        F.split("words", " "),
+        lambda tokens: F.flatten(
+            F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.transform(lengths, lambda n: F.array_join(F.slice(tokens, i, n), " ")))
+        ),
     )
     worded = searchable.withColumn("_longest", longest).withColumn("pattern_words", F.explode_outer(F.array_distinct(runs))).join(hint_small(short), "pattern_words")
     columns = [key, "document_type", "position", "threshold", "side", "ordinal", "weight", "name"]

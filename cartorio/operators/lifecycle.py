@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartorio.bounds import hint_small
-from cartorio.functions.expressions import all_of, at_rank, equals_if, first_case
+from cartorio.functions.expressions import all_of, at_rank, bind, equals_if, first_case
 from cartorio.operators.ordering import ordered_positions, with_previous
 
 # Statuses in lifecycle order.
@@ -66,7 +66,7 @@ def parse_details(df: DataFrame, details: str = "details") -> DataFrame:
     """``a=1 b=2`` texts as a map column (later keys win)."""
     tokens = F.filter(F.split(F.coalesce(F.col(details), F.lit("")), " "), lambda t: F.instr(t, "=") > 1)
     pairs = F.transform(tokens, lambda t: F.struct(F.substring_index(t, "=", 1).alias("k"), F.substr(t, F.instr(t, "=") + 1).alias("v")))
-    latest = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
+    latest = bind(pairs, lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda q: q["k"] == p["k"])))
     return df.withColumn("detail", F.map_from_entries(latest))
 
 

@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartorio.bounds import catalogue_rows
+from cartorio.bounds import catalogue_rows, hint_small
 from cartorio.functions.expressions import bind
+from cartorio.operators.classify import contains_join, grams
 
 # Fixed value: similarity from which an item counts as read.
 SIMILAR = 0.9
@@ -26,17 +27,19 @@ def _alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series
         yield pd.Series(out)
 
 
-def contained_items(items: DataFrame, blocks: DataFrame, key: str, gram: int = 8) -> DataFrame:
-    """Ids of items that stand inside some block of their sample: an equality join on item prefixes."""
-    from cartorio.operators.classify import grams
+def _holding(items: DataFrame, blocks: DataFrame, key: str, gram: int = 8) -> DataFrame:
+    """Rows of (item, block holding it), by equality joins on item prefixes; short items on their whole length."""
+    long = contains_join(blocks, items, "block", "item", gram, (key,))
+    brief = items.filter(F.length("item") < gram)
+    pieces = F.flatten(F.array(*[grams(F.col("block"), n) for n in range(1, gram)]))
+    short = blocks.withColumn("item", F.explode_outer(F.array_distinct(pieces))).join(hint_small(brief), [key, "item"])
+    columns = ["item_id", *blocks.columns]
+    return long.select(*columns).unionByName(short.select(*columns))
+
 
-    long = items.filter(F.length("item") >= gram).withColumn("_gram", F.substring("item", 1, gram))
-    offered = blocks.withColumn("_gram", F.explode_outer(F.array_distinct(grams(F.col("block"), gram))))
-    found = long.join(offered, [key, "_gram"]).filter(F.col("block").contains(F.col("item"))).select("item_id")
-    short = items.filter(F.length("item") < gram).withColumn("_gram", F.col("item"))
-    sizes = F.flatten(F.array(*[grams(F.col("block"), n) for n in range(1, gram)]))
-    pieces = blocks.withColumn("_gram", F.explode_outer(F.array_distinct(sizes))).select(key, "_gram")
-    return found.unionByName(short.join(pieces, [key, "_gram"]).select("item_id")).distinct()
+def contained_items(items: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+    """Ids of items that stand inside some block of their sample."""
+    return _holding(items, blocks.select(key, "block"), key).select("item_id").distinct()
 
 
 def similar_items(items: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
@@ -81,17 +84,7 @@ def expected_values(expected: DataFrame, blocks: DataFrame, key: str = "sample")
 
     Expected: item_id, sample, item; blocks: sample, block_no, block.
     """
-    from cartorio.operators.classify import grams
-
-    gram = 8
-    keyed = expected.withColumn("_gram", F.substring("item", 1, gram))
-    offered = blocks.withColumn("_gram", F.explode_outer(F.array_distinct(grams(F.col("block"), gram))))
-    long = keyed.filter(F.length("item") >= gram).join(offered, [key, "_gram"]).filter(F.col("block").contains(F.col("item")))
-    brief = keyed.filter(F.length("item") < gram).drop("_gram")
-    pieces = F.flatten(F.array(*[grams(F.col("block"), n) for n in range(1, gram)]))
-    short = brief.join(blocks.withColumn("item", F.explode_outer(F.array_distinct(pieces))), [key, "item"])
-    long = long.select("item_id", "block_no", "block").unionByName(short.select("item_id", "block_no", "block"))
-    held = long.groupBy("item_id").agg(F.min(F.struct("block_no", "block")).alias("_h"))
+    held = _holding(expected, blocks, key).groupBy("item_id").agg(F.min(F.struct("block_no", "block")).alias("_h"))
     return expected.join(held, "item_id", "left").select(
         *expected.columns, F.col("_h").isNotNull().alias("exact"), F.col("_h.block_no").alias("block_no"), F.col("_h.block").alias("found_in")
     )

@@ -97,7 +97,7 @@ def preprocessing_events(rolled: DataFrame, key: str = "doc_id") -> DataFrame:
         ("NATIVE_TEXT_LAYER_REJECTED", F.col("native_rejections") != "", F.col("native_rejections")),
         ("DOCUMENT_ROTATED", F.col("rotation").isNotNull(), F.concat(F.lit("page="), F.col("rotated_page").cast("string"), F.lit(" degrees="), F.col("rotation").cast("string"))),
         ("DOCUMENT_DESKEWED", F.col("deskewed"), pages("deskewed_pages")),
-        ("OCR_REPROCESSED_WITH_PP_STRUCTURE_V3", F.col("used_second_engine"), pages("structured_pages")),
+        ("OCR_REPROCESSED_WITH_PP_STRUCTUREV3", F.col("used_second_engine"), pages("structured_pages")),
     ]
     rows = F.array(*[F.when(when, F.struct(F.lit(n).alias("ordinal"), F.lit(name).alias("event_type"), text.alias("details"))) for n, (name, when, text) in enumerate(entries)])
     return rolled.select(key, F.explode_outer(F.array_compact(rows)).alias("e")).filter("e IS NOT NULL").select(key, "e.*")

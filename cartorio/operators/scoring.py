@@ -22,6 +22,17 @@ CHECK_DIGIT_FIELDS = {
     "BR_SOCIAL_CONTRACT": ("cnpj", "partners[].cpf"),
 }
 THRESHOLDS = {"classification": 0.85, "textYield": 0.90, "criticalExactMatch": 0.90}
+# How the outcome of a field is worded in the report.
+REASONS = {
+    "absent": "ausente e não devolvido",
+    "invented": "o documento não traz o campo e o sistema devolveu um valor",
+    "defect": "defeito reconhecido",
+    "defect_missed": "o defeito não foi visto: o campo não foi lido",
+    "same": "valor igual",
+    "other": "valor diferente do esperado",
+    "rejected": "o sistema reprovou o campo (dígito ou data) e não devolveu valor",
+    "not_found": "campo não encontrado",
+}
 COUNTS = ("tp", "fp", "fn", "tn", "dv_correct", "dv_wrong", "dv_none")
 
 
@@ -59,24 +70,24 @@ def score_fields(aligned: DataFrame) -> DataFrame:
     result = lambda outcome, reason: F.struct(F.lit(outcome).alias("o"), F.lit(reason).alias("r"))
     plain = first_case(
         [
-            (~done, F.struct(F.lit("FN").alias("o"), F.concat(F.lit("document "), F.col("run_status")).alias("r"))),
-            (absent & (got == "NOT_FOUND"), result("TN", "absent and not returned")),
-            (absent, result("FP", "absent but a value was returned")),
-            ((F.col("exp_status") == "INVALID") & (got == "INVALID") & same_raw, result("TP", "defect recognised")),
-            ((F.col("exp_status") == "INVALID") & (got == "NOT_FOUND"), result("FN", "defect not seen")),
-            (F.col("exp_status") == "INVALID", F.struct(F.lit("FP+FN").alias("o"), F.concat(F.lit("expected INVALID, got "), got).alias("r"))),
-            (F.coalesce(value == F.col("exp_value"), F.lit(False)), result("TP", "same value")),
-            (value.isNotNull(), result("FP+FN", "other value")),
-            (got == "INVALID", result("FN", "value rejected")),
+            (~done, F.struct(F.lit("FN").alias("o"), F.concat(F.lit("documento "), F.col("run_status")).alias("r"))),
+            (absent & (got == "NOT_FOUND"), result("TN", REASONS["absent"])),
+            (absent, result("FP", REASONS["invented"])),
+            ((F.col("exp_status") == "INVALID") & (got == "INVALID") & same_raw, result("TP", REASONS["defect"])),
+            ((F.col("exp_status") == "INVALID") & (got == "NOT_FOUND"), result("FN", REASONS["defect_missed"])),
+            (F.col("exp_status") == "INVALID", F.struct(F.lit("FP+FN").alias("o"), F.concat(F.lit("esperado INVALID, veio "), got).alias("r"))),
+            (F.coalesce(value == F.col("exp_value"), F.lit(False)), result("TP", REASONS["same"])),
+            (value.isNotNull(), result("FP+FN", REASONS["other"])),
+            (got == "INVALID", result("FN", REASONS["rejected"])),
         ],
-        result("FN", "not found"),
+        result("FN", REASONS["not_found"]),
     )
     missing = F.array_except(F.col("exp_messages"), F.col("got_messages"))
     lacking = (F.col("p.o") == "TP") & (F.size(missing) > 0) & done
     judged = aligned.filter(done | ~absent).withColumn("p", plain).withColumn("generic", generic_path(F.col("path")))
     judged = judged.withColumn(
         "p",
-        F.when(lacking, F.struct(F.lit("FN").alias("o"), F.concat(F.lit("missing codes "), F.array_join(missing, ", ")).alias("r"))).otherwise(F.col("p")),
+        F.when(lacking, F.struct(F.lit("FN").alias("o"), F.concat(F.lit("faltam os códigos "), F.array_join(missing, ", ")).alias("r"))).otherwise(F.col("p")),
     )
     checked = first_case([(F.col("document_type") == t, F.col("generic").isin(*paths)) for t, paths in CHECK_DIGIT_FIELDS.items()], F.lit(False))
     wanted = F.when(F.col("exp_status") == "INVALID", "INVALID").otherwise("VALID")

@@ -26,6 +26,8 @@ from cartorio.plans import types as spec
 
 KEYS = ["doc_id", "document_type"]
 ORDER = ["pass", "o1", "o2", "o3", "o4"]
+ADDRESS_PATHS = ("address", "postalCode", "city", "state")
+PARENT_PATHS = ("fatherName", "motherName")
 PAYLOAD = ["raw", "normalized", "status", "messages", "confidence", "page", "line_no", "bbox"]
 
 
@@ -476,10 +478,19 @@ def explain_extraction(fields: DataFrame, candidates: DataFrame, recorded: DataF
     """
     known = [(t.name, f.path, ", ".join(f.labels)) for t in spec.REGISTRY.values() for f in t.fields]
     known += [(t.name, "mainActivityDescription", ", ".join(f.labels)) for t in spec.REGISTRY.values() for f in t.fields if f.reader == "ACTIVITY"]
+    known += [("BR_CCMEI", path, ", ".join(spec.CCMEI.block_labels)) for path in ADDRESS_PATHS]
+    known = [(kind, path, ", ".join((labels, *spec.CIN.block_labels)) if kind == "BR_CIN" and path in PARENT_PATHS else labels) for kind, path, labels in known]
     tried = literal_table(fields.sparkSession, known, "document_type string, path string, labels string")
     rows = field_candidates(candidates)
     twin = rows.filter(F.col("reader") == "ACTIVITY").withColumn("path", F.lit("mainActivityDescription"))
-    rows = rows.unionByName(twin)
+    columns = ["doc_id", "path", "label_ord", "label_line", "rank", "line_no", "text", "penalty"]
+    # Labels of a block count as searched, the lines under them are no candidates of their own.
+    paths = F.when((F.col("document_type") == "BR_CCMEI") & F.col("label").isin(*spec.CCMEI.block_labels), F.array(*[F.lit(p) for p in ADDRESS_PATHS])).when(
+        (F.col("document_type") == "BR_CIN") & F.col("label").isin(*spec.CIN.block_labels), F.array(*[F.lit(p) for p in PARENT_PATHS])
+    )
+    block = candidates.filter(F.col("rank") == 0).withColumn("path", F.explode_outer(paths)).filter("path IS NOT NULL")
+    block = block.withColumns({"label_ord": F.lit(99), "text": F.lit(None).cast("string")})
+    rows = rows.select(*columns).unionByName(twin.select(*columns)).unionByName(block.select(*columns))
     usable = F.trim("text") != ""
     seen = F.when(usable, F.struct("label_ord", "label_line", "rank", "line_no", "text", "penalty"))
     distinct = rows.groupBy("doc_id", "path", F.col("line_no"), F.col("text")).agg(F.min(seen).alias("_seen"), F.collect_set("label_line").alias("_lines"))
@@ -497,7 +508,19 @@ def explain_extraction(fields: DataFrame, candidates: DataFrame, recorded: DataF
         .when(F.col("labels").isNull(), "PATTERN_NOT_FOUND").when(F.col("label_lines").isNull(), "LABEL_NOT_FOUND")
         .when(count == 0, "VALUE_EMPTY").otherwise("VALUE_REJECTED")
     )
-    explained = joined.withColumns({"reason": reason, "candidate_count": count})
+    codes = F.when(F.size("messages") > 0, F.array_join("messages", ", ")).otherwise("no detail")
+    where = F.concat(F.lit("The label was found on line "), F.array_join(F.col("label_lines").cast("array<string>"), ", "))
+    sentence = (
+        F.when(F.col("reason") == "FOUND", "The value was read.")
+        .when(F.col("reason") == "FOUND_WITHOUT_LABEL", "The value was found, but no label was next to it, so the confidence is lower.")
+        .when(F.col("reason") == "VALIDATION_FAILED", F.concat(F.lit("A value was read but failed validation: "), codes, F.lit(". The value as read is kept in raw.")))
+        .when(F.col("reason") == "VALUE_UNCERTAIN", F.concat(F.lit("A value was read, but the reading is an assumption: "), codes, F.lit(".")))
+        .when(F.col("reason") == "PATTERN_NOT_FOUND", "This field is not read by label, and its pattern was not found in the text.")
+        .when(F.col("reason") == "LABEL_NOT_FOUND", F.concat(F.lit("None of the labels was found in the text: "), F.col("labels"), F.lit(".")))
+        .when(F.col("reason") == "VALUE_EMPTY", F.concat(where, F.lit(", but no value was next to it, to its right or below it.")))
+        .otherwise(F.concat(where, F.lit(" and "), count.cast("string"), F.lit(" candidate value(s) were examined, but none had the expected format.")))
+    )
+    explained = joined.withColumn("reason", reason).withColumns({"explanation": sentence, "candidate_count": count})
     if recorded is not None:
         explained = explained.join(recorded, ["doc_id", "path"], "left")
     return explained

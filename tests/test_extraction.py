@@ -29,6 +29,7 @@ def test_unusual_documents(spark):
             2: ("BR_CNH", [("algo 111.444.777-35 solto", 50, 100, 300)]),
             3: ("BR_PROOF_OF_ADDRESS", [("energia eletrica", 50, 40, 200), ("internet", 50, 80, 100), ("CPF/CNPJ: 111.444.777-36", 50, 140, 300)]),
             4: ("CUSTOM", [("TOTAL GERAL: R$ 1.000,50", 50, 40, 300)]),
+            6: ("BR_CCMEI", [("ENDERECO COMERCIAL", 50, 40, 200), ("CAPITAL SOCIAL", 50, 70, 200), ("sem valor", 50, 95, 200)]),
             5: ("NO_EXTRACTOR", [("x", 0, 0, 10)]),
         }
         lines = lines_of(spark, docs)
@@ -43,6 +44,10 @@ def test_unusual_documents(spark):
     assert value(2, "cpf") == ("UNCERTAIN", "11144477735", ["CHECK_DIGIT_VALID", "NO_LABEL_NEARBY"])
     assert got[(2, "name")]["reason"] == "LABEL_NOT_FOUND" and got[(1, "cpf")]["reason"] == "VALIDATION_FAILED"
     assert got[(1, "registrationNumber")]["reason"] == "LABEL_NOT_FOUND"
+    assert got[(2, "category")]["explanation"] == "None of the labels was found in the text: CAT. HAB., CAT. HAB, CAT HAB, CATEGORIA, CATEGORIA DE HABILITACAO."
+    assert got[(1, "cpf")]["explanation"] == "A value was read but failed validation: CHECK_DIGIT_INVALID. The value as read is kept in raw."
+    assert (got[(6, "address")]["reason"], got[(6, "address")]["label_lines"]) == ("VALUE_EMPTY", [0])
+    assert got[(6, "shareCapital")]["explanation"] == "The label was found on line 1 and 1 candidate value(s) were examined, but none had the expected format."
     assert value(3, "serviceType") == ("UNCERTAIN", None, ["SERVICE_TYPE_AMBIGUOUS"])
     assert value(3, "holderDocument")[0] == "INVALID"
     assert value(4, "total") == ("VALID", "1000.50", ["FORMAT_VALID"])

@@ -160,7 +160,8 @@ def replay_guard(uploads: DataFrame, ttl_hours: int = 24, live: DataFrame | None
     """
     ttl = F.make_dt_interval(hours=F.lit(ttl_hours))
     keyed = uploads.filter(F.col("key").isNotNull())
-    slice_of = F.floor(F.unix_seconds(F.col("uploaded_at").cast("timestamp")) / (ttl_hours * 3600))
+    # Hours of the calendar, so that no time zone has a say in where a slice ends.
+    slice_of = F.floor((F.unix_date(F.to_date("uploaded_at")) * 24 + F.hour("uploaded_at")) / ttl_hours)
     bounds = keyed.agg(F.min(slice_of).alias("low"), F.max(slice_of).alias("high")).first()
     record = "key string, opened_at timestamp_ntz, opened_by {}, opened_digest string".format(
         uploads.schema["upload_id"].dataType.simpleString()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from cartorio.llm import bpe, quality_rules
 from cartorio.llm.jaccard_join import jaccard_components
 
 QUERIES = {}
@@ -27,3 +29,17 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 @query("op1_ngram_jaccard_join")
 def op1(spark: SparkSession, root: str) -> DataFrame:
     return jaccard_components(table(spark, root, "documents"))
+
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query("op2_byte_bpe")
+def op2(spark: SparkSession, root: str) -> DataFrame:
+    return bpe.round_trip(table(spark, root, "documents"), TOKENIZER, public_tokenizers.PATTERN)
+
+
+@query("op5_quality_rules", quality_rules.oracle_sql())
+def op5(spark: SparkSession, root: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, root, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_stop_words", "n_lines")

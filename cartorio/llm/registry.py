@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cartorio.llm import bpe, quality_rules
+from cartorio.llm import bpe, mixing, quality_rules
 from cartorio.llm.jaccard_join import jaccard_components
 
 QUERIES = {}
@@ -43,3 +43,9 @@ def op2(spark: SparkSession, root: str) -> DataFrame:
 def op5(spark: SparkSession, root: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, root, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_stop_words", "n_lines")
+
+
+@query("op8_mix_sources", mixing.ORACLE)
+def op8(spark: SparkSession, root: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, root, "documents"))
+    return mixed.selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")

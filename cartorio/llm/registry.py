@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cartorio.llm import bpe, mixing, quality_rules
+from cartorio.llm import bpe, chat_format, mixing, quality_rules
 from cartorio.llm.jaccard_join import jaccard_components
 
 QUERIES = {}
@@ -49,3 +49,10 @@ def op5(spark: SparkSession, root: str) -> DataFrame:
 def op8(spark: SparkSession, root: str) -> DataFrame:
     mixed = mixing.mix(table(spark, root, "documents"))
     return mixed.selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
+
+
+@query("op9_chat_format", chat_format.ORACLE)
+def op9(spark: SparkSession, root: str) -> DataFrame:
+    turns = table(spark, root, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(0, 2).selectExpr("-1L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role", "'</s>[INST] ok [/INST]' AS text")
+    return chat_format.digests(chat_format.format_windows(turns.unionByName(probe)))

@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cartorio.llm import bpe, chat_format, mixing, quality_rules
+from cartorio.llm import bpe, chat_format, mixing, quality_rules, warc
 from cartorio.llm.jaccard_join import jaccard_components
+from cartorio.llm.shared import Scratch
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +57,10 @@ def op9(spark: SparkSession, root: str) -> DataFrame:
     turns = table(spark, root, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(0, 2).selectExpr("-1L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role", "'</s>[INST] ok [/INST]' AS text")
     return chat_format.digests(chat_format.format_windows(turns.unionByName(probe)))
+
+
+@query("op10_warc")
+def op10(spark: SparkSession, root: str) -> DataFrame:
+    folder = Scratch(spark, "warc").root
+    manifest = warc.write_archives(table(spark, root, "pages"), folder)
+    return warc.read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")

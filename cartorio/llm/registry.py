@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cartorio.llm import bpe, chat_format, mixing, quality_rules, warc
+from cartorio.llm import bpe, chat_format, mixing, mpeg_audio, quality_rules, warc
 from cartorio.llm.jaccard_join import jaccard_components
 from cartorio.llm.shared import Scratch
 
@@ -64,3 +64,9 @@ def op10(spark: SparkSession, root: str) -> DataFrame:
     folder = Scratch(spark, "warc").root
     manifest = warc.write_archives(table(spark, root, "pages"), folder)
     return warc.read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+@query("op3_media_columns")
+def op3(spark: SparkSession, root: str) -> DataFrame:
+    media = Scratch(spark, "media").keep(mpeg_audio.media_of(table(spark, root, "documents")), "media")
+    return mpeg_audio.features_of(media).drop("frame_offsets")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cartorio.llm import bpe, chat_format, mixing, mpeg_audio, quality_rules, warc
+from cartorio.llm import bpe, chat_format, mixing, mpeg_audio, ngram_lm, quality_rules, warc
 from cartorio.llm.jaccard_join import jaccard_components
 from cartorio.llm.shared import Scratch
 
@@ -70,3 +71,11 @@ def op10(spark: SparkSession, root: str) -> DataFrame:
 def op3(spark: SparkSession, root: str) -> DataFrame:
     media = Scratch(spark, "media").keep(mpeg_audio.media_of(table(spark, root, "documents")), "media")
     return mpeg_audio.features_of(media).drop("frame_offsets")
+
+
+@query("op7_lm_scoring")
+def op7(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").select("doc_id", "text", ngram_lm.held_out(F.col("doc_id")).alias("held_out"))
+    model = ngram_lm.train(docs.filter("NOT held_out"), Scratch(spark, "lm").root)
+    scored = ngram_lm.score_texts(docs, model, ("doc_id", "held_out"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -15,7 +15,8 @@
 4. Surviving pairs are verified on their whole sets.
 
 Hot groups: every member of a block is first verified against one hub, which joins a group of copies by as
-many links as members; only blocks that hold several components after that reach the R-tree, and blocks of
+many links as members; only blocks that hold several components after that reach the R-tree, once for the
+best partner of every member and, where components are still apart, for all pairs. Blocks of
 over ``CHUNK`` members are worked on as pairs of chunks in separate tasks.
 """
 
@@ -38,7 +39,7 @@ LINK, WHOLE = 75, 100
 WITNESSES = 28
 #: Largest block, or part of one, that a task holds at once.
 CHUNK = 4096
-LEAF = 24
+LEAF = 64
 _U = np.uint64
 
 
@@ -166,9 +167,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_vector(tokens: np.ndarray) -> np.ndarray:
-    """Number of shingles in each hash group; about eight shingles a group, so that minima tell sets apart."""
-    groups = 2 ** min(12, max(4, (len(tokens) // 8).bit_length()))
-    return np.bincount((tokens >> _U(65 - groups.bit_length())).astype(np.int64), minlength=groups).astype(np.uint32)
+    """Number of shingles in each hash group. One or two shingles a group, so that the minima of two sets
+    exceed their overlap by little: pairs of a similarity under about 0.65 are cut off."""
+    groups = 2 ** min(12, max(4, len(tokens).bit_length() - 1))
+    return np.bincount((tokens >> _U(65 - groups.bit_length())).astype(np.int64), minlength=groups).astype(np.uint16)
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +213,7 @@ class RTree:
         tile = max(LEAF, int(np.ceil(np.sqrt(len(sizes) / LEAF))) * LEAF)
         second = counts[:, int(np.argsort(spread)[-2])] if counts.shape[1] > 1 else sizes
         self.order = np.concatenate([part[np.argsort(second[part], kind="stable")] for part in (order[i : i + tile] for i in range(0, len(order), tile))])
-        self.counts, self.sizes = counts[self.order].astype(np.int32), sizes[self.order]
+        self.counts, self.sizes = counts[self.order], sizes[self.order]
         self.levels = []
         high, least = self.counts, self.sizes
         while True:
@@ -223,12 +225,16 @@ class RTree:
 
     @staticmethod
     def reach(high_a, least_a, high_b, least_b) -> np.ndarray:
-        """Which pairs of boxes (or points) may hold a linked pair: minima of coordinates against the overlap needed."""
-        bound = np.stack([np.minimum(row, high_b).sum(axis=1) for row in high_a])
-        return (WHOLE + LINK) * bound >= LINK * (least_a[:, None] + least_b[None, :])
-
-    def join(self, other: "RTree") -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions of points in both trees that may be linked, leaf pair by leaf pair. Within one tree, each pair once."""
+        """Summed minima of pairs of boxes (or points) as a share of the overlap that a linked pair needs at least."""
+        # A minimum is the number of levels that both reach, so the sum of minima is a product of level marks.
+        bound = np.zeros((len(high_a), len(high_b)), np.float32)
+        for level in range(1, int(min(high_a.max(), high_b.max())) + 1):
+            used = (high_a >= level).any(axis=0) & (high_b >= level).any(axis=0)
+            bound += (high_a[:, used] >= level).astype(np.float32) @ (high_b[:, used] >= level).astype(np.float32).T
+        return (WHOLE + LINK) * bound.astype(np.float64) / (LINK * (least_a[:, None] + least_b[None, :]))
+
+    def join(self, other: "RTree") -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Positions of points in both trees that may be linked and their reach, leaf pair by leaf pair. Within one tree, each pair once."""
         same = other is self
         stack = [(len(self.levels) - 1, 0, len(other.levels) - 1, 0)]
         while stack:
@@ -237,13 +243,15 @@ class RTree:
                 continue
             a_kids = np.arange(a * LEAF, min((a + 1) * LEAF, self._width(la - 1)))
             b_kids = np.arange(b * LEAF, min((b + 1) * LEAF, other._width(lb - 1)))
-            ok = self.reach(*self._at(la - 1, a_kids), *other._at(lb - 1, b_kids))
-            at_a, at_b = (x[y] for x, y in zip((a_kids, b_kids), np.nonzero(ok)))
+            reach = self.reach(*self._at(la - 1, a_kids), *other._at(lb - 1, b_kids))
+            ok = np.nonzero(reach >= 1)
+            at_a, at_b = (x[y] for x, y in zip((a_kids, b_kids), ok))
             if la == 0:
+                reach = reach[ok]
                 if same:
-                    at_a, at_b = at_a[at_a < at_b], at_b[at_a < at_b]
+                    at_a, at_b, reach = (x[at_a < at_b] for x in (at_a, at_b, reach))
                 if len(at_a):
-                    yield self.order[at_a], other.order[at_b]
+                    yield self.order[at_a], other.order[at_b], reach
                 continue
             stack += [(la - 1, i, lb - 1, j) for i, j in zip(at_a.tolist(), at_b.tolist()) if not same or i <= j]
 
@@ -261,11 +269,14 @@ class RTree:
         return self
 
 
-def candidates(nodes: np.ndarray, component: np.ndarray, vectors: list[np.ndarray], side: np.ndarray | None = None) -> Iterator[np.ndarray]:
-    """Pairs of a block in different components that the bound lets through. With ``side``, pairs of the two sides only."""
+def candidates(nodes: np.ndarray, component: np.ndarray, vectors: list[np.ndarray], side: np.ndarray | None, nearest: bool) -> Iterator[np.ndarray]:
+    """Pairs of a block in different components that the bound lets through.
+
+    With ``side``, pairs of the two sides only. With ``nearest``, of each member the pair of the highest bound.
+    """
     width = min(len(v) for v in vectors)
-    counts = np.stack([v.reshape(width, -1).sum(axis=1) for v in vectors]).astype(np.int64)
-    sizes = counts.sum(axis=1)
+    counts = np.stack([v.reshape(width, -1).sum(axis=1, dtype=np.uint16) for v in vectors])
+    sizes = counts.sum(axis=1, dtype=np.int64)
     if side is None:
         parts = (np.arange(len(nodes)),) * 2
         tree = RTree(counts, sizes)
@@ -277,21 +288,37 @@ def candidates(nodes: np.ndarray, component: np.ndarray, vectors: list[np.ndarra
         trees = [RTree(counts[p], sizes[p]) for p in parts]
         height = max(len(t.levels) for t in trees)
         found = trees[0].lifted(height).join(trees[1].lifted(height))
-    for a, b in found:
-        a, b = parts[0][a], parts[1][b]
-        apart = component[a] != component[b]
-        if apart.any():
-            a, b = nodes[a[apart]], nodes[b[apart]]
-            yield np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+    best, partner = np.zeros(len(nodes)), np.zeros(len(nodes), np.int64)
 
+    def ordered(a, b):
+        return np.stack([np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b])], axis=1)
 
-def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for a, b, reach in found:
+        a, b = parts[0][a], parts[1][b]
+        apart = component[a] != component[b]
+        a, b, reach = a[apart], b[apart], reach[apart]
+        if not nearest:
+            if len(a):
+                yield ordered(a, b)
+            continue
+        for x, y in ((a, b), (b, a)):
+            rising = np.argsort(reach, kind="stable")
+            x, y, high = x[rising], y[rising], reach[rising]
+            last = np.zeros(len(nodes))
+            last[x] = high  # of equal places the last, that is the highest, stays
+            better = (high == last[x]) & (high > best[x])
+            best[x[better]], partner[x[better]] = high[better], y[better]
+    if nearest and best.any():
+        yield np.unique(ordered(np.flatnonzero(best), partner[best > 0]), axis=0)
+
+
+def _tree_pairs(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
     """R-tree join of every (block, i, j), from rows in that order."""
 
     def work(table: pa.Table):
         i, j, part = table["i"][0].as_py(), table["j"][0].as_py(), table["part"].to_numpy()
-        vectors = [np.frombuffer(v.as_buffer(), np.uint32) for v in table["counts"].combine_chunks()]
-        return candidates(table["node"].to_numpy(), table["component"].to_numpy(), vectors, None if i == j else (part == j).astype(int))
+        vectors = [np.frombuffer(v.as_buffer(), np.uint16) for v in table["counts"].combine_chunks()]
+        return candidates(table["node"].to_numpy(), table["component"].to_numpy(), vectors, None if i == j else (part == j).astype(int), nearest)
 
     held, recent = [], set()
 
@@ -321,6 +348,29 @@ def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done()
 
 
+def tree_join(blocks: DataFrame, sets: DataFrame, labels: DataFrame, nearest: bool) -> DataFrame:
+    """Distinct candidate pairs (a, b) of all blocks that hold more than one component of ``labels``."""
+    mixed = blocks.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_blocks = mixed.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("part").alias("last")).filter("low <> high").select("block", "last")
+    rows = mixed.join(open_blocks, "block").select("block", "part", "last", "node", "component")
+    # A block in parts is joined part by part: each part meets itself and every other one.
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+    rows = rows.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "component")
+    rows = rows.join(sets.select("node", "counts"), "node").repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
+    rows = rows.select("block", "i", "j", "part", "node", "component", "counts")
+    return rows.mapInArrow(lambda batches: _tree_pairs(batches, nearest), "a long, b long").distinct()
+
+
+def merged(labels: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Labels (node, component) after further links."""
+    ends = [labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")) for end in ("a", "b")]
+    above = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    tops = components(above, scratch, name)
+    old = labels.join(tops.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
+    new = tops.join(labels, "node", "left_anti")
+    return scratch.keep(old.select("node", F.coalesce("top", "component").alias("component")).unionByName(new.select("node", "component")), f"{name}-merged")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
@@ -346,27 +396,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links = verify(hubs.select(F.col("hub").alias("a"), F.col("node").alias("b")), sets)
     first = components(links, scratch, "first")
 
-    mixed = blocks.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = scratch.keep(mixed, "mixed")
-    open_blocks = mixed.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("part").alias("last")).filter("low <> high").select("block", "last")
-    rows = mixed.join(open_blocks, "block").select("block", "part", "last", "node", "component")
-    # A block in parts is joined part by part: each part meets itself and every other one.
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
-    rows = rows.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "component")
-    rows = rows.join(sets.select("node", "counts"), "node").repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
-    rows = rows.select("block", "i", "j", "part", "node", "component", "counts")
-    pairs = scratch.keep(rows.mapInArrow(_tree_pairs, "a long, b long").distinct(), "pairs")
-    more = verify(pairs, sets)
-    named_links = more.join(first.select(F.col("node").alias("a"), F.col("component").alias("x")), "a", "left").join(
-        first.select(F.col("node").alias("b"), F.col("component").alias("y")), "b", "left"
-    ).select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
-    second = components(named_links, scratch, "second")
-
-    merged = first.join(second.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-    alone = second.join(first, "node", "left_anti")
-    final = merged.unionByName(alone.select("node", "component"))
+    # First the likeliest partner of every member of a block, which joins up what belongs together; then all the rest.
+    near = scratch.keep(tree_join(blocks, sets, first, nearest=True), "near")
+    second = merged(first, verify(near, sets), scratch, "second")
+    rest = scratch.keep(tree_join(blocks, sets, second, nearest=False).join(near, ["a", "b"], "left_anti"), "rest")
+    final = merged(second, verify(rest, sets), scratch, "third")
+
     placed = classes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     table = scratch.keep(placed.join(smallest, "component").select("node", "twin", "n", "component_id"), "placed")
-    scratch.drop("blocks", "sets", "mixed", "pairs")
+    scratch.drop("blocks", "sets", "near", "rest", "second-merged", "third-merged")
     return named.join(table, ["node", "twin", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

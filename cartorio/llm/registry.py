@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartorio.llm import bpe, chat_format, mixing, mpeg_audio, ngram_lm, quality_rules, warc
+from cartorio.llm import bpe, chat_format, line_dedup, mixing, mpeg_audio, ngram_lm, quality_rules, warc
 from cartorio.llm.jaccard_join import jaccard_components
 from cartorio.llm.shared import Scratch
 
@@ -79,3 +79,8 @@ def op7(spark: SparkSession, root: str) -> DataFrame:
     model = ngram_lm.train(docs.filter("NOT held_out"), Scratch(spark, "lm").root)
     scored = ngram_lm.score_texts(docs, model, ("doc_id", "held_out"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query("op6_line_dedup", line_dedup.ORACLE)
+def op6(spark: SparkSession, root: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, root, "documents").select("doc_id", "text")).drop("runs")

@@ -33,15 +33,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTES = mix(np.arange(1, 257, dtype=_U) * _ODD[0])
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the number of words of each text (null: none)."""
+#: Letters, digits and what is not ASCII; with these, marks and comment signs part words.
+LETTERS = np.array([chr(b).isalnum() or b > 127 for b in range(256)])
+
+
+def word_hashes(texts: pa.Array, parts: np.ndarray = _FILLED) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the number of words of each text (null: none). ``parts`` says which bytes words are made of."""
     counts = np.zeros(len(texts), np.int64)
     offsets = text_offsets(texts)
     if len(texts) == 0 or offsets[-1] == offsets[0]:
         return np.zeros(0, _U), counts
     data = _LOWER[np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]]
     offsets = offsets - offsets[0]
-    filled = _FILLED[data]
+    filled = parts[data]
     if texts.null_count:
         for row in np.flatnonzero(texts.is_null().to_numpy(zero_copy_only=False)):
             filled[offsets[row] : offsets[row + 1]] = False

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartorio.llm import bpe, chat_format, line_dedup, mixing, mpeg_audio, ngram_lm, quality_rules, warc
+from cartorio.llm import bpe, chat_format, license_scan, line_dedup, mixing, mpeg_audio, ngram_lm, quality_rules, warc
 from cartorio.llm.jaccard_join import jaccard_components
 from cartorio.llm.shared import Scratch
 
@@ -84,3 +84,9 @@ def op7(spark: SparkSession, root: str) -> DataFrame:
 @query("op6_line_dedup", line_dedup.ORACLE)
 def op6(spark: SparkSession, root: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, root, "documents").select("doc_id", "text")).drop("runs")
+
+
+@query("op4_license_scan")
+def op4(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    return license_scan.by_document(docs, license_scan.scan_licenses(docs))

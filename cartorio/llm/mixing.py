@@ -96,20 +96,24 @@ def thresholds(rows: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFra
     return edge.select("source", "source_size", "target", "times", below.cast("long").alias("below"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: int = SHARE, repeats: int = REPEATS) -> DataFrame:
-    """doc_id, source, size, source_size, target and copies (how often the mix takes the row) of every row.
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: int = SHARE, repeats: int = REPEATS) -> DataFrame:
+    """All columns of ``docs`` and size, source_size, target and copies (how often the mix takes the row).
 
-    ``docs`` has (doc_id, text, source); other columns are ignored. Null text: size 0. Null is a source of its
-    own. Rows of one id share a hash, so they are taken alike. An empty table gives an empty one.
+    ``docs`` has (doc_id, text, source); columns of the new names are replaced. Null text: size 0. Null is a
+    source of its own. Rows of one id share a hash, so they are taken alike. An empty table gives an empty one.
     """
+    made = ["size", "source_size", "target", "copies"]
+    names = [c for c in docs.columns if c not in made]
     scratch = Scratch(docs.sparkSession, "mixing")
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), words_of(F.col("text")).alias("size"), position(F.col("doc_id")).alias("position"))
-    rows = scratch.keep(rows, "rows")
+    place = position(F.col("doc_id"))
+    rows = scratch.keep(docs.select(F.col("source").cast("string").alias("source"), words_of(F.col("text")).alias("size"), place.alias("position")), "rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("size"))
     edges = scratch.keep(thresholds(rows, source_targets(sizes, weights, share, repeats), scratch), "edges")
-    cut = edges.withColumnRenamed("source", "s")
-    joined = rows.join(cut, F.col("source").eqNullSafe(F.col("s")))
-    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("times") + (F.col("position") < F.col("below")).cast("long")).alias("copies"))
+    scratch.drop("rows", *(f"level-{n}" for n in range(BITS // STEP + 1)))
+    cut = edges.withColumnRenamed("source", "_source")
+    joined = docs.select(F.struct(*names).alias("_row"), F.col("source").cast("string").alias("_s"), words_of(F.col("text")).alias("size"), place.alias("_place"))
+    joined = joined.join(cut, F.col("_s").eqNullSafe(F.col("_source")))
+    return joined.select("_row.*", "size", "source_size", "target", (F.col("times") + (F.col("_place") < F.col("below")).cast("long")).alias("copies"))
 
 
 ORACLE = f"""

@@ -43,6 +43,11 @@ RULES = (
 MIN_WORDS, MAX_REPEAT = 50, 50
 
 
+def behind(df: DataFrame, names: list[str], columns: list[Column]) -> DataFrame:
+    """``names`` and ``columns`` worked out once a row: a filter or projection above a generator can't be merged into them."""
+    return df.select(*[df[c] for c in names], F.inline(F.array(F.struct(*columns))))
+
+
 def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``docs`` and the counts that rules may name.
 
@@ -56,8 +61,8 @@ def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     bare = F.btrim(body, F.lit(BLANKS))
     words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[\\x20\\x09-\\x0D]+"))
     lines = F.filter(F.split(body, "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
-    # A column that a lambda reads is a column of the row below: inlined, it would be worked out for every element.
-    first = docs.select(*[docs[c] for c in kept], body.alias("_text"), words.alias("_words"), lines.alias("_lines"))
+    # What a lambda reads must be a value of the row below: merged into the lambda, it would be worked out for every element.
+    first = behind(docs, kept, [body.alias("_text"), words.alias("_words"), lines.alias("_lines")])
     n = F.size("_words")
     windows = F.when(n < 3, F.array().cast("array<bigint>")).otherwise(
         F.transform(
@@ -65,8 +70,7 @@ def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
             lambda i: F.call_function("shiftleft", F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)), F.length(F.bin(n))).bitwiseOR(i.cast("long")),
         )
     )
-    second = first.select(
-        *kept,
+    counts = [
         n.cast("long").alias("n_words"),
         F.length(F.translate("_text", BLANKS, "")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -75,7 +79,8 @@ def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.length(F.bin(n)).alias("_bits"),
         F.sort_array(windows).alias("_windows"),
-    )
+    ]
+    second = behind(first, kept, counts)
 
     def same(a: Column, b: Column) -> Column:
         return F.call_function("shiftrightunsigned", a, F.col("_bits")) == F.call_function("shiftrightunsigned", b, F.col("_bits"))
@@ -91,7 +96,7 @@ def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3).cast("long"), p - a["last"])).alias("n")),
         lambda a: a["n"],
     )
-    return second.withColumn("n_repeat_words", covered).select(*kept, *made)
+    return behind(second, [*kept, *made[:-1]], [covered.alias("n_repeat_words")])
 
 
 def passes(rule: Rule) -> Column:

@@ -49,7 +49,7 @@ def op5(spark: SparkSession, root: str) -> DataFrame:
 
 @query("op8_mix_sources", mixing.ORACLE)
 def op8(spark: SparkSession, root: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, root, "documents"))
+    mixed = mixing.mix_documents(table(spark, root, "documents").select("doc_id", "text", "source"))
     return mixed.selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
 
 

@@ -118,7 +118,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, roll_byt
     """Writes the records of ``pages`` (page_id, url, html) below ``folder`` and returns the manifest.
 
     Null html: an empty payload. Null or empty url: ``urn:page:<id>``. Null page_id sorts first. Repeated rows are
-    repeated records; ties of page_id go by url and digest. Other columns are ignored. An empty table gives an
+    repeated records; ties of page_id go by digest and url. Other columns are ignored. An empty table gives an
     empty manifest. Files that lost tasks left behind are removed once the manifest is there. ``folder`` is a
     URI, or a path, that all workers reach.
     """
@@ -126,14 +126,19 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, roll_byt
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     records = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit(""))).alias("name"))
     plan = plan_records(pages, least_bytes)
-    rows = records.join(plan.withColumnRenamed("name", "n").withColumnRenamed("page_id", "p"), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("name") == F.col("n")), "left")
-    rows = rows.select("page_id", "url", "html", "name", "refers_to").repartitionByRange(parts, "page_id", "url", "name").sortWithinPartitions("page_id", "url", "name")
+    # A page's plan comes just before its record in the same order, so one exchange does for both.
+    plan = plan.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "name", "refers_to", F.lit(0).alias("kind"))
+    rows = records.withColumns({"refers_to": F.lit(None).cast("long"), "kind": F.lit(1)}).unionByName(plan)
+    rows = rows.repartitionByRange(parts, "page_id", "name").sortWithinPartitions("page_id", "name", "kind", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, before, copy = _Roller(f"{folder}/data", roll_bytes), None, 0
+        roller, before, copy, refers_to = _Roller(f"{folder}/data", roll_bytes), None, 0, None
         for batch in batches:
             done = []
-            for page_id, url, html, name, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "name", "refers_to"))):
+            for page_id, url, html, name, refers, kind in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "name", "refers_to", "kind"))):
+                if kind == 0:
+                    refers_to = refers
+                    continue
                 copy = copy + 1 if (page_id, url, name) == before else 0
                 before = (page_id, url, name)
                 code = base64.b32encode(bytes.fromhex(name)).decode()

@@ -269,8 +269,8 @@ class RTree:
         return self
 
 
-def candidates(nodes: np.ndarray, component: np.ndarray, vectors: list[np.ndarray], side: np.ndarray | None, nearest: bool) -> Iterator[np.ndarray]:
-    """Pairs of a block in different components that the bound lets through.
+def candidates(component: np.ndarray, vectors: list[np.ndarray], side: np.ndarray | None, nearest: bool) -> Iterator[np.ndarray]:
+    """Pairs of places in a block, in different components, that the bound lets through.
 
     With ``side``, pairs of the two sides only. With ``nearest``, of each member the pair of the highest bound.
     """
@@ -278,7 +278,7 @@ def candidates(nodes: np.ndarray, component: np.ndarray, vectors: list[np.ndarra
     counts = np.stack([v.reshape(width, -1).sum(axis=1, dtype=np.uint16) for v in vectors])
     sizes = counts.sum(axis=1, dtype=np.int64)
     if side is None:
-        parts = (np.arange(len(nodes)),) * 2
+        parts = (np.arange(len(component)),) * 2
         tree = RTree(counts, sizes)
         found = tree.join(tree)
     else:
@@ -288,10 +288,7 @@ def candidates(nodes: np.ndarray, component: np.ndarray, vectors: list[np.ndarra
         trees = [RTree(counts[p], sizes[p]) for p in parts]
         height = max(len(t.levels) for t in trees)
         found = trees[0].lifted(height).join(trees[1].lifted(height))
-    best, partner = np.zeros(len(nodes)), np.zeros(len(nodes), np.int64)
-
-    def ordered(a, b):
-        return np.stack([np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b])], axis=1)
+    best, partner = np.zeros(len(component)), np.zeros(len(component), np.int64)
 
     for a, b, reach in found:
         a, b = parts[0][a], parts[1][b]
@@ -299,17 +296,17 @@ def candidates(nodes: np.ndarray, component: np.ndarray, vectors: list[np.ndarra
         a, b, reach = a[apart], b[apart], reach[apart]
         if not nearest:
             if len(a):
-                yield ordered(a, b)
+                yield np.stack([a, b], axis=1)
             continue
         for x, y in ((a, b), (b, a)):
             rising = np.argsort(reach, kind="stable")
             x, y, high = x[rising], y[rising], reach[rising]
-            last = np.zeros(len(nodes))
+            last = np.zeros(len(component))
             last[x] = high  # of equal places the last, that is the highest, stays
             better = (high == last[x]) & (high > best[x])
             best[x[better]], partner[x[better]] = high[better], y[better]
     if nearest and best.any():
-        yield np.unique(ordered(np.flatnonzero(best), partner[best > 0]), axis=0)
+        yield np.stack([np.flatnonzero(best), partner[best > 0]], axis=1)
 
 
 def _tree_pairs(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
@@ -317,8 +314,24 @@ def _tree_pairs(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa
 
     def work(table: pa.Table):
         i, j, part = table["i"][0].as_py(), table["j"][0].as_py(), table["part"].to_numpy()
+        nodes = table["node"].to_numpy()
         vectors = [np.frombuffer(v.as_buffer(), np.uint16) for v in table["counts"].combine_chunks()]
-        return candidates(table["node"].to_numpy(), table["component"].to_numpy(), vectors, None if i == j else (part == j).astype(int), nearest)
+        found = candidates(table["component"].to_numpy(), vectors, None if i == j else (part == j).astype(int), nearest)
+        block, lists = table["block"][0].as_py(), table["blocks"].combine_chunks()
+        places, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+        known: dict[int, set[int]] = {}
+
+        def blocks_of(row: int) -> set[int]:
+            if row not in known:
+                known[row] = set(flat[places[row] - places[0] : places[row + 1] - places[0]].tolist())
+            return known[row]
+
+        for pairs in found:
+            if not nearest:
+                # A pair may meet in many blocks: the first one that both are in hands it on.
+                pairs = pairs[[min(blocks_of(a) & blocks_of(b)) == block for a, b in pairs.tolist()]]
+            if len(pairs):
+                yield np.sort(nodes[pairs], axis=1)
 
     held, recent = [], set()
 
@@ -351,13 +364,20 @@ def _tree_pairs(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa
 def tree_join(blocks: DataFrame, sets: DataFrame, labels: DataFrame, nearest: bool) -> DataFrame:
     """Distinct candidate pairs (a, b) of all blocks that hold more than one component of ``labels``."""
     mixed = blocks.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_blocks = mixed.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("part").alias("last")).filter("low <> high").select("block", "last")
-    rows = mixed.join(open_blocks, "block").select("block", "part", "last", "node", "component")
+    open_blocks = mixed.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("part").alias("last"), F.count("*").alias("members")).filter("low <> high").select("block", "last", "members")
+    rows = mixed.join(open_blocks, "block").select("block", "part", "last", "members", "node", "component")
+    if nearest:
+        # Each member in its largest block only: this pass is to join up most, the next one loses nothing.
+        largest = rows.groupBy("node").agg(F.max_by("block", F.struct("members", "block")).alias("block"))
+        rows = rows.join(largest.withColumn("blocks", F.array("block")), ["node", "block"])
+    else:
+        # A set has a bounded number of keys, and so of blocks.
+        rows = rows.join(rows.groupBy("node").agg(F.collect_set("block").alias("blocks")), "node")
     # A block in parts is joined part by part: each part meets itself and every other one.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
-    rows = rows.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "component")
+    rows = rows.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "component", "blocks")
     rows = rows.join(sets.select("node", "counts"), "node").repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
-    rows = rows.select("block", "i", "j", "part", "node", "component", "counts")
+    rows = rows.select("block", "i", "j", "part", "node", "component", "counts", "blocks")
     return rows.mapInArrow(lambda batches: _tree_pairs(batches, nearest), "a long, b long").distinct()
 
 

@@ -39,8 +39,9 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        """Writes the rows once and reads them back."""
+        """Writes the rows once and reads them back. What the shuffles before it left on disk may go then."""
         df.write.option("compression", codec).parquet(self.path(name))
+        self.spark.sparkContext._jvm.System.gc()  # Spark removes shuffle files whose plans are garbage
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

@@ -367,9 +367,9 @@ def tree_join(blocks: DataFrame, sets: DataFrame, labels: DataFrame, nearest: bo
     open_blocks = mixed.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("part").alias("last"), F.count("*").alias("members")).filter("low <> high").select("block", "last", "members")
     rows = mixed.join(open_blocks, "block").select("block", "part", "last", "members", "node", "component")
     if nearest:
-        # Each member in its largest block only: this pass is to join up most, the next one loses nothing.
+        # Blocks that are the largest one of a member: this pass is to join up most, the next one loses nothing.
         largest = rows.groupBy("node").agg(F.max_by("block", F.struct("members", "block")).alias("block"))
-        rows = rows.join(largest.withColumn("blocks", F.array("block")), ["node", "block"])
+        rows = rows.join(largest.select("block").distinct(), "block").withColumn("blocks", F.array("block"))
     else:
         # A set has a bounded number of keys, and so of blocks.
         rows = rows.join(rows.groupBy("node").agg(F.collect_set("block").alias("blocks")), "node")

@@ -343,6 +343,8 @@ def train(texts: DataFrame, folder: str, order: int = 2, parts: int | None = Non
     Null text: an end only. Repeated rows count as often as they stand there. No rows: an empty model, under
     which every token is unknown and scores as one of a single kind.
     """
+    if order < 2:
+        raise ValueError("an order of 2 at least: single words are what order 1 of any model is")
     path = local_path(folder)
     parts = parts or int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = texts.select("text")
@@ -352,7 +354,9 @@ def train(texts: DataFrame, folder: str, order: int = 2, parts: int | None = Non
     if sum(h[0] for h in heads) > MOST_WORDS:
         raise ValueError("more distinct words than numbers for them")
     words = Words(path, tuple(int(x) for x in np.cumsum([0, *(h[0] for h in heads)])[:-1]), sum(h[1] for h in heads), sum(h[2] for h in heads))
-    begin = int(words.numbers(np.array([BEGIN]))[0]) if words.tokens else -1
+    if not words.tokens:
+        return Model(words, order, ((0.0, 0.0, 0.0),) * order, (0, 0, 0, 0))
+    begin = int(words.numbers(np.array([BEGIN]))[0])
 
     gram = ", ".join(f"w{i} int" for i in range(1, order + 1)) + ", n long"
     rows = texts.mapInArrow(_count_grams(words, order), gram)
@@ -399,12 +403,14 @@ def word_records(model: Model, numbers: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def probabilities(model: Model, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Interpolated probability of the word numbers at places ``at``, and their training counts."""
+    if not model.tokens:
+        return np.ones(len(at)), np.zeros(len(at), np.int64)
     raw, first = word_records(model, tokens)
     own, total = first[at, 0], model.unigrams[0]
     kept = np.concatenate([[0.0], model.discounts[0]])
     # Order 1 is interpolated with the uniform distribution over the known tokens and one unknown.
     spare = sum(d * n for d, n in zip(model.discounts[0], model.unigrams[1:]))
-    p = (np.maximum(own - kept[np.minimum(own, 3)], 0) + spare / (model.words.distinct + 1)) / total if total else np.full(len(at), 1.0)
+    p = (np.maximum(own - kept[np.minimum(own, 3)], 0) + spare / (model.words.distinct + 1)) / total
     for k in range(2, model.order + 1):
         words = [tokens[at - k + 1 + i] for i in range(k)]
         context = lookup(model, k - 1, gram_hash(words[:-1])) if k > 2 else first[at - 1]

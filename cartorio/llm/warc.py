@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartorio.llm.shared import small_batches
+
 #: Fixed words of the format (WARC 1.1).
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -133,7 +135,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, roll_byt
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, before, copy, refers_to = _Roller(f"{folder}/data", roll_bytes), None, 0, None
-        for batch in batches:
+        for batch in small_batches(batches, "html"):
             done = []
             for page_id, url, html, name, refers, kind in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "name", "refers_to", "kind"))):
                 if kind == 0:

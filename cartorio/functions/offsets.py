@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import regex
 from pyspark.sql.functions import udtf
 
 
@@ -17,11 +18,7 @@ class RegexOffsets:
         if text is None or pattern is None:
             return
         if pattern not in self.compiled:
-            try:
-                import regex as engine
-            except ImportError:
-                import re as engine
-            self.compiled[pattern] = engine.compile(pattern)
+            self.compiled[pattern] = regex.compile(pattern)
         for match in self.compiled[pattern].finditer(text):
             yield match.group(0), match.start(), match.end()
 

@@ -218,8 +218,7 @@ def extract_fields(t):
 def extraction_reasons(t):
     """Why fields are as they are, counted."""
     explained = ext.diagnose(captured_lines(t, ("BR_CNPJ_CARD", "BR_CNH")), TODAY)
-    fixed = F.when((F.col("path") == "mainActivityCode") & (F.col("status") == "NOT_FOUND"), "VALUE_REJECTED").otherwise(F.col("reason"))
-    return explained.groupBy("document_type", "path", fixed.alias("reason")).agg(F.count(F.lit(1)).alias("documents"))
+    return explained.groupBy("document_type", "path", "reason").agg(F.count(F.lit(1)).alias("documents"))
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartorio.bounds import hint_small
@@ -103,17 +103,18 @@ def illegal_transitions(events: DataFrame) -> DataFrame:
 def reprocess_outcomes(requests: DataFrame, docs: DataFrame, jobs: DataFrame) -> DataFrame:
     """NOT_FOUND, PURGED, CONFLICT or QUEUED per request; at most one request per document is queued."""
     active = jobs.filter(F.col("status").isin(*ACTIVE_JOB)).select("doc_id").distinct().withColumn("busy", F.lit(True))
-    joined = requests.join(docs.select("doc_id", "status"), "doc_id", "left").join(active, "doc_id", "left")
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("requested_at", "request_id"))
+    turn = F.struct("requested_at", "request_id")
+    firsts = requests.groupBy("doc_id").agg(F.min(turn).alias("first"))
+    joined = requests.join(docs.select("doc_id", "status"), "doc_id", "left").join(active, "doc_id", "left").join(firsts, "doc_id", "left")
     outcome = first_case(
         [
             (F.col("status").isNull(), "NOT_FOUND"),
             (F.col("status") == "PURGED", "PURGED"),
-            (F.col("busy").isNotNull() | ~F.col("status").isin(*REPROCESSABLE) | (F.col("turn") > 1), "CONFLICT"),
+            (F.col("busy").isNotNull() | ~F.col("status").isin(*REPROCESSABLE) | (turn != F.col("first")), "CONFLICT"),
         ],
         "QUEUED",
     )
-    return joined.withColumn("turn", turn).withColumn("outcome", outcome).drop("busy", "turn", "status")
+    return joined.withColumn("outcome", outcome).drop("busy", "first", "status")
 
 
 # ---------------------------------------------------------------- retention

@@ -74,8 +74,9 @@ def list_documents(docs: DataFrame, wanted: DocumentFilter) -> DataFrame:
 
 
 def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
-    """One stable page (1-based). Planned as a per-task top-k, not as a full sort."""
-    size = max(1, min(size, MAX_PAGE_SIZE))
+    """One stable page (1-based) of ``MAX_PAGE_SIZE`` rows at most; another size raises. Planned as a per-task top-k, not as a full sort."""
+    if not 1 <= size <= MAX_PAGE_SIZE:
+        raise ValueError(f"a page holds 1 to {MAX_PAGE_SIZE} rows, not {size}")
     skipped = (max(number, 1) - 1) * size
     return df.orderBy(*order).offset(skipped).limit(size)
 

@@ -166,23 +166,24 @@ def format_like(raw: Column, plain: Column) -> Column:
 def mask_lines(lines: DataFrame, masks: DataFrame, allowed: DataFrame | None = None, keys: Sequence[str] = ("path", "line_no"), text: str = "line") -> DataFrame:
     """Lines with every finding replaced through the mask table, company numbers first, formatted before bare.
 
-    Only lines with findings take part in the join; their replacements come back as one small
-    array per line and are applied in scan order.
+    A line is cut at the matches of all shapes, each match is looked up in the line's own map, and the parts are
+    joined once: a replacement is never replaced again, and digits inside a longer number stay. Only lines with
+    findings take part in the join.
     """
     found = find_values(lines.select(*keys, text), text)
     if allowed is not None:
         found = found.join(hint_small(allow_groups(allowed)), ["allow_group", "value"], "left_anti")
-    rank = F.when(F.col("kind") == KIND_CNPJ, F.col("scan") - 10).otherwise(F.col("scan"))
     swaps = (
         found.filter(F.col("kind") != KIND_VOTER)
         .join(hint_small(masks), ["kind", "value"])
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_set(F.struct(rank.alias("rank"), "at", "raw", format_like(F.col("raw"), F.col("replacement")).alias("new")))).alias("_swaps"))
+        .agg(F.map_from_entries(F.collect_set(F.struct("raw", format_like(F.col("raw"), F.col("replacement")).alias("new")))).alias("_swaps"))
     )
     joined = lines.join(swaps, list(keys), "left")
-    masked = F.aggregate(
-        F.coalesce("_swaps", F.array().cast(swaps.schema["_swaps"].dataType)), F.col(text), lambda t, s: F.replace(t, s["raw"], s["new"])
-    )
+    shapes = "|".join(shape for shape, _, _ in _SCANS)
+    between, matched = F.split(F.col(text), shapes, -1), F.regexp_extract_all(F.col(text), F.lit(shapes), F.lit(0))
+    parts = F.zip_with(between, matched, lambda gap, raw: F.concat(gap, F.coalesce(F.try_element_at("_swaps", raw), raw, F.lit(""))))
+    masked = F.when(F.col("_swaps").isNull(), F.col(text)).otherwise(F.array_join(parts, ""))
     return joined.withColumn("masked", mask_dates(masked)).drop("_swaps")
 
 

@@ -116,6 +116,16 @@ def test_masking_text(spark):
     assert got[4] == "R$475,44 FULANO EMPRESA EXEMPLO 1 LTDA"
 
 
+def test_masks_are_not_masked_again_and_longer_numbers_stay(spark):
+    a, b, c = "111.444.777-35", "529.982.247-25", "390.533.447-05"
+    lines = spark.createDataFrame(
+        [("p", 1, f"{a} e {b}, {a}"), ("p", 2, "CPF 11144477735 em 9911144477735000"), ("p", 3, "nada 123"), ("p", 4, f"{b}")], "path string, line_no long, line string"
+    )
+    masks = spark.createDataFrame([("CPF", x.replace(".", "").replace("-", ""), y.replace(".", "").replace("-", "")) for x, y in ((a, b), (b, c))], "kind string, value string, replacement string")
+    got = {r.line_no: r.masked for r in privacy.mask_lines(lines, masks).collect()}
+    assert got == {1: f"{b} e {c}, {b}", 2: "CPF 52998224725 em 9911144477735000", 3: "nada 123", 4: c}
+
+
 def test_names_by_constants_and_by_join_agree(spark, monkeypatch):
     lines = spark.createDataFrame([("a", 1, "fala com José da Silva hoje"), ("a", 2, "ab"), ("b", 1, "nada")], "path string, line_no int, line string")
     names = spark.createDataFrame([("JOSE DA SILVA",), ("Zé",), ("ab",), ("# x",), ("  ",)], "name string")

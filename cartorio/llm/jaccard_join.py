@@ -40,6 +40,8 @@ WITNESSES = 28
 #: Largest block, or part of one, that a task holds at once.
 CHUNK = 4096
 LEAF = 64
+#: Names that a task remembers to leave out repeats early.
+REMEMBERED = 500_000
 _U = np.uint64
 
 
@@ -92,8 +94,10 @@ def block_keys(tokens: np.ndarray) -> np.ndarray:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()  # copies within a task give the same keys, once is enough
+    seen: set[int] = set()  # copies within a task give the same keys, once is enough; repeats do no harm
     for _, sets in _sets(batches):
+        if len(seen) > REMEMBERED:
+            seen.clear()
         keys, nodes = [], []
         for tokens in sets:
             if len(tokens) == 0:
@@ -124,6 +128,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.append(first, len(blocks)))
         keep = len(first) if last else len(first) - 1
         rows = []
+        if len(known) > REMEMBERED:
+            known.clear()  # repeats are dropped after the exchange
         for at, size in zip(first[:keep].tolist(), sizes[:keep].tolist()):
             goes_on = hub is not None and at == 0
             if size < 2 and not goes_on:
@@ -341,7 +347,7 @@ def _tree_pairs(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa
             recent.update(rows)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in rows], pa.int64()), pa.array([p[1] for p in rows], pa.int64())], ["a", "b"])
-            if len(recent) > 500_000:  # only saves repeats, the pairs are made distinct later
+            if len(recent) > REMEMBERED:  # only saves repeats, the pairs are made distinct later
                 recent.clear()
 
     name = None

@@ -121,7 +121,8 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, roll_byt
 
     Null html: an empty payload. Null or empty url: ``urn:page:<id>``. Null page_id sorts first. Repeated rows are
     repeated records; ties of page_id go by digest and url. Other columns are ignored. An empty table gives an
-    empty manifest. Files that lost tasks left behind are removed once the manifest is there. ``folder`` is a
+    empty manifest. A task that is run again moves the same files to the same names; unfinished
+    files of lost tasks are removed once the manifest is there. ``folder`` is a
     URI, or a path, that all workers reach.
     """
     spark = pages.sparkSession
@@ -154,10 +155,9 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, roll_byt
     rows.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     store, inner = filesystem(f"{folder}/data")
-    listed = {r.path for r in manifest.select("path").toLocalIterator()}
     if store.get_file_info(inner).type == fs.FileType.Directory:
         for item in store.get_file_info(fs.FileSelector(inner)):
-            if item.path not in listed:
+            if item.path.endswith(".tmp"):
                 store.delete_file(item.path)
     return manifest
 

@@ -9,8 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartorio.bounds import catalogue_rows, hint_small
-from cartorio.functions.expressions import bind
+from cartorio.bounds import hint_small
 from cartorio.operators.classify import contains_join, grams
 
 # Fixed value: similarity from which an item counts as read.
@@ -93,15 +92,8 @@ def expected_values(expected: DataFrame, blocks: DataFrame, key: str = "sample")
 def closest_blocks(missing: DataFrame, blocks: DataFrame, key: str = "sample") -> DataFrame:
     """Closest block by edit distance of values that no block holds.
 
-    The list of expected values is kept by hand, so it is attached to every block as constants
-    of its sample and reduced to one row per value before anything is shuffled.
+    Values and blocks meet by sample; a partial aggregate leaves one row per value before a shuffle.
     """
-    rows = catalogue_rows(missing.select("item_id", key, "item"), 500)
-    if rows is None:
-        raise ValueError("the closest block is looked for only for a short list of values")
-    schema = missing.schema
-    listed = F.array(*[F.struct(F.lit(r["item_id"]).cast(schema["item_id"].dataType).alias("item_id"), F.lit(r[key]).alias("s"), F.lit(r["item"]).alias("item")) for r in rows])
-    mine = bind(F.struct(F.col(key).alias("s"), F.col("block").alias("b")), lambda v: F.transform(F.filter(listed, lambda i: i["s"] == v["s"]), lambda i: F.struct(i["item_id"].alias("item_id"), F.levenshtein(i["item"], v["b"]).alias("d"))))
-    measured = blocks.withColumn("_m", F.explode_outer(mine)).filter("_m IS NOT NULL")
-    best = measured.groupBy("_m.item_id").agg(F.min(F.struct("_m.d", "block_no", "block")).alias("b"))
+    measured = missing.select("item_id", key, "item").join(blocks.select(key, "block_no", "block"), key)
+    best = measured.groupBy("item_id").agg(F.min(F.struct(F.levenshtein("item", "block").alias("d"), "block_no", "block")).alias("b"))
     return best.select("item_id", F.col("b.d").alias("distance"), F.col("b.block").alias("closest"))

@@ -14,9 +14,8 @@
    the sizes call for is cut off. Pairs of one known component are left out, as only components are asked for.
 4. Surviving pairs are verified on their whole sets.
 
-Hot groups: every member of a block is first verified against one hub, which joins a group of copies by as
-many links as members; only blocks that hold several components after that reach the R-tree, once for the
-best partner of every member and, where components are still apart, for all pairs. Blocks of
+Hot groups: a first pass verifies the best partner of every member of a block only, which joins a group of
+copies by as many links as members; blocks that hold several components after that are joined for all pairs. Blocks of
 over ``CHUNK`` members are worked on as pairs of chunks in separate tasks.
 """
 
@@ -118,10 +117,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     known: set[int] = set()
     held_block = held_node = np.zeros(0, np.int64)
-    part, hub = 0, None  # of the block at the end of what was seen
+    part = 0  # parts handed on of the block at the end of what was seen
 
     def emit(blocks, nodes, last):
-        nonlocal part, hub, held_block, held_node
+        nonlocal part, held_block, held_node
         fresh = np.append(True, (blocks[1:] != blocks[:-1]) | (nodes[1:] != nodes[:-1]))
         blocks, nodes = blocks[fresh], nodes[fresh]
         first = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
@@ -131,36 +130,33 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(known) > REMEMBERED:
             known.clear()  # repeats are dropped after the exchange
         for at, size in zip(first[:keep].tolist(), sizes[:keep].tolist()):
-            goes_on = hub is not None and at == 0
+            goes_on = part > 0 and at == 0
             if size < 2 and not goes_on:
                 continue
             members = nodes[at : at + size]
             if goes_on:
-                rows.append((blocks[at], part, hub, members))
-                hub = None
+                rows.append((blocks[at], part, members))
+                part = 0
                 continue
             name = int(mix(members.view(_U)).sum(dtype=_U)) & (2**63 - 1)
             if name not in known:
                 known.add(name)
-                rows.append((name, 0, members[0], members))
+                rows.append((name, 0, members))
         tail = first[keep] if keep < len(first) else len(blocks)
         held_block, held_node = blocks[tail:], nodes[tail:]
         if not last and len(held_node) > CHUNK:
-            if hub is None:
-                hub, part = held_node[0], 0
-            rows.append((held_block[0], part, hub, held_node[:-1]))
+            rows.append((held_block[0], part, held_node[:-1]))
             part += 1
             held_block, held_node = held_block[-1:], held_node[-1:]
         if rows:
-            counts = [len(r[3]) for r in rows]
+            counts = [len(r[2]) for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.repeat(np.array([r[0] for r in rows], np.int64), counts)),
                     pa.array(np.repeat(np.array([r[1] for r in rows], np.int32), counts)),
-                    pa.array(np.repeat(np.array([r[2] for r in rows], np.int64), counts)),
-                    pa.array(np.concatenate([r[3] for r in rows])),
+                    pa.array(np.concatenate([r[2] for r in rows])),
                 ],
-                ["block", "part", "hub", "node"],
+                ["block", "part", "node"],
             )
 
     for batch in batches:
@@ -181,10 +177,12 @@ def count_vector(tokens: np.ndarray) -> np.ndarray:
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, sets in _sets(batches):
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([count_vector(s).tobytes() for s in sets], pa.binary())],
-            ["node", "tokens", "counts"],
-        )
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([count_vector(s).tobytes() for s in sets], pa.binary())], ["node", "counts"])
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, sets in _sets(batches):
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "tokens"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,26 +408,29 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = named.filter("n > 0").groupBy("node", "twin", "n").agg(F.min("doc_id").alias("first"))
 
     keys = docs.mapInArrow(_keys, "block long, node long").repartition("block").sortWithinPartitions("block", "node")
-    blocks = keys.mapInArrow(_blocks, "block long, part int, hub long, node long").dropDuplicates(["block", "part", "node"])
+    blocks = keys.mapInArrow(_blocks, "block long, part int, node long").dropDuplicates(["block", "part", "node"])
     blocks = scratch.keep(blocks, "blocks")
 
-    members = blocks.select("node").distinct().join(classes, "node").select("node", F.col("first").alias("doc_id"))
-    texts = members.join(docs, "doc_id").dropDuplicates(["node"]).select("node", "text")
-    sets = scratch.keep(texts.mapInArrow(_vectors, "node long, tokens binary, counts binary"), "sets")
+    members = scratch.keep(blocks.select("node").distinct().join(classes, "node").select("node", F.col("first").alias("doc_id")), "members")
+
+    def texts(of: DataFrame) -> DataFrame:
+        return of.join(docs, "doc_id").dropDuplicates(["node"]).select("node", "text")
 
-    shared = blocks.filter("node <> hub").groupBy("node", "hub").count()
-    hubs = shared.groupBy("node").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
-    links = verify(hubs.select(F.col("hub").alias("a"), F.col("node").alias("b")), sets)
-    first = components(links, scratch, "first")
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs that whole sets confirm; only sets of nodes in pairs are made."""
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        return verify(pairs, scratch.keep(texts(members.join(ends, "node")).mapInArrow(_tokens, "node long, tokens binary"), name))
 
+    counts = scratch.keep(texts(members).mapInArrow(_vectors, "node long, counts binary"), "counts")
+    apart = docs.sparkSession.createDataFrame([], "node long, component long")
     # First the likeliest partner of every member of a block, which joins up what belongs together; then all the rest.
-    near = scratch.keep(tree_join(blocks, sets, first, nearest=True), "near")
-    second = merged(first, verify(near, sets), scratch, "second")
-    rest = scratch.keep(tree_join(blocks, sets, second, nearest=False).join(near, ["a", "b"], "left_anti"), "rest")
-    final = merged(second, verify(rest, sets), scratch, "third")
+    near = scratch.keep(tree_join(blocks, counts, apart, nearest=True), "near")
+    second = merged(apart, linked(near, "near-sets"), scratch, "second")
+    rest = scratch.keep(tree_join(blocks, counts, second, nearest=False).join(near, ["a", "b"], "left_anti"), "rest")
+    final = merged(second, linked(rest, "rest-sets"), scratch, "third")
 
     placed = classes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     table = scratch.keep(placed.join(smallest, "component").select("node", "twin", "n", "component_id"), "placed")
-    scratch.drop("blocks", "sets", "near", "rest", "second-merged", "third-merged")
+    scratch.drop("blocks", "members", "counts", "near", "near-sets", "rest", "rest-sets", "second-merged", "third-merged")
     return named.join(table, ["node", "twin", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -34,9 +34,11 @@ BEGIN, END = mix(np.array([0xB0, 0xE0], _U))
 #: Rows that a counting task holds back to add up equal grams before the shuffle.
 COMBINED = 2_000_000
 #: Columns of a record: own count, and as a context the sum of following counts and how many followers have
-#: count 1, 2, 3 and more. The highest order has own counts alone.
+#: count 1, 2, 3 and more. The highest order has own counts alone, of four bytes; a count that needs more stands
+#: in a list of places and counts beside them.
 FIELDS = ("own", "total", "n1", "n2", "n3")
 MOST_WORDS = 2**31 - 1
+FULL = 2**32 - 1
 
 
 def local_path(folder: str) -> str:
@@ -249,11 +251,11 @@ def _hash_sql(order: int) -> str:
     return f"xxhash64({', '.join(f'w{i}' for i in range(1, order + 1))})"
 
 
-def _write_level(folder: str, order: int, top: bool, begin: int):
+def _write_level(folder: str, order: int, top: bool, begin: int, full: int):
     """Rows of one hash range, in order of the gram hash, to arrays and to rows of the next lower order. Rows are w1..wn and, at the top, n, else FIELDS."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, seen = _Files(folder, f"order{order}", ("hash", "data")), np.zeros(6, np.int64)
+        files, seen, place = _Files(folder, f"order{order}", ("hash", "data", "over")), np.zeros(6, np.int64), 0
         lower: list[list[np.ndarray]] = []
 
         def hand_on(keys, own):
@@ -274,11 +276,18 @@ def _write_level(folder: str, order: int, top: bool, begin: int):
             yield from _batches([*words, *sums], _names(order - 1))
 
         def step(columns, last):
+            nonlocal place
             keys, sums = columns[:order], columns[order:]
             g, keys, sums = _added(gram_hash(keys), keys, sums)
             stop = len(g) if last else len(g) - 1
             own = sums[0][:stop]
-            files.add(hash=g[:stop], data=own if top else np.stack([v[:stop] for v in sums], axis=1))
+            if top:
+                large = np.flatnonzero(own >= full)
+                files.add(data=np.minimum(own, full).astype(np.uint32), over=np.stack([large + place, own[large]], axis=1))
+            else:
+                files.add(data=np.stack([v[:stop] for v in sums], axis=1))
+            files.add(hash=g[:stop])
+            place += stop
             seen[:] += [*(int((own == k).sum()) for k in (1, 2, 3, 4)), int(own.sum()), int((own > 0).sum())]
             if stop:
                 hand_on([k[:stop] for k in keys], own)
@@ -324,6 +333,8 @@ class Model:
     discounts: tuple[tuple[float, float, float], ...]
     #: Sum of own counts of order 1 and how many words have own count 1, 2, 3 and more.
     unigrams: tuple[int, int, int, int]
+    #: Four-byte value that stands for counts of its size and more.
+    full: int = FULL
 
     @property
     def tokens(self) -> int:
@@ -337,7 +348,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for d, k in zip(by_count, (1, 2, 3)))
 
 
-def train(texts: DataFrame, folder: str, order: int = 2, parts: int | None = None) -> Model:
+def train(texts: DataFrame, folder: str, order: int = 2, parts: int | None = None, full: int = FULL) -> Model:
     """Counts ``texts`` (text) and writes the model below ``folder``.
 
     Null text: an end only. Repeated rows count as often as they stand there. No rows: an empty model, under
@@ -361,14 +372,14 @@ def train(texts: DataFrame, folder: str, order: int = 2, parts: int | None = Non
     gram = ", ".join(f"w{i} int" for i in range(1, order + 1)) + ", n long"
     rows = texts.mapInArrow(_count_grams(words, order), gram)
     for level in range(order, 1, -1):
-        rows = _dealt(rows, _hash_sql(level), parts).mapInArrow(_write_level(path, level, level == order, begin), _schema(level - 1))
+        rows = _dealt(rows, _hash_sql(level), parts).mapInArrow(_write_level(path, level, level == order, begin, full), _schema(level - 1))
     edges = F.array(*[F.lit(b) for b in words.begins])
     own_file = F.size(F.filter(edges, lambda b: b <= F.col("w1"))) - 1
     # Files of equal begin are empty but for the last of them, which is the one counted to.
     rows.repartitionById(parts, own_file.cast("int")).mapInArrow(_write_first(words), "w1 int").write.format("noop").mode("overwrite").save()
     heads = [np.sum([np.fromfile(f"{_file(path, f'order{k}', p)}.head", np.int64) for p in range(parts)], axis=0).tolist() for k in range(1, order + 1)]
     n1, n2, _, _, own, kinds = heads[0]
-    return Model(words, order, tuple(discounts(*h[:4]) for h in heads), (own, n1, n2, kinds - n1 - n2))
+    return Model(words, order, tuple(discounts(*h[:4]) for h in heads), (own, n1, n2, kinds - n1 - n2), full)
 
 
 def lookup(model: Model, order: int, grams: np.ndarray) -> np.ndarray:
@@ -379,11 +390,14 @@ def lookup(model: Model, order: int, grams: np.ndarray) -> np.ndarray:
     for part, low, high in _cuts(asked, len(model.words.begins)):
         hashes = _mapped(folder, f"order{order}", "hash", part, "uint64")
         if len(hashes):
-            data = _mapped(folder, f"order{order}", "data", part, "int64")
-            data = data if top else data.reshape(-1, len(FIELDS))
+            data = _mapped(folder, f"order{order}", "data", part, "uint32" if top else "int64")
             at = np.minimum(np.searchsorted(hashes, asked[low:high]), len(hashes) - 1)
             hit = hashes[at] == asked[low:high]
-            found[low:high][hit] = data[at[hit]]
+            records = (data if top else data.reshape(-1, len(FIELDS)))[at[hit]].astype(np.int64)
+            if top and (large := records == model.full).any():
+                over = _mapped(folder, f"order{order}", "over", part, "int64").reshape(-1, 2)
+                records[large] = over[np.searchsorted(over[:, 0], at[hit][large]), 1]
+            found[low:high][hit] = records
     return found[back]
 
 

@@ -295,8 +295,8 @@ def test_lines_odd(odd, empty):
 # 7 ---------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_kneser_ney(spark, tmp_path, order):
+@pytest.mark.parametrize("order,full", [(1, 99), (2, ngram_lm.FULL), (2, 3), (3, ngram_lm.FULL)])
+def test_kneser_ney(spark, tmp_path, order, full):
     rnd = random.Random(13)
     texts = [" ".join(rnd.choice(["The", "a", "b", "c", "dog", "cat", f"z{rnd.randint(0, 50)}"]) for _ in range(rnd.randint(0, 40))) for _ in range(60)]
     docs = spark.createDataFrame(rows_of(enumerate(texts)), SCHEMA)
@@ -304,7 +304,7 @@ def test_kneser_ney(spark, tmp_path, order):
         with pytest.raises(ValueError):
             ngram_lm.train(docs, str(tmp_path), 1, 3)
         return
-    model = ngram_lm.train(docs.filter("doc_id % 3 <> 0"), str(tmp_path), order, 3)
+    model = ngram_lm.train(docs.filter("doc_id % 3 <> 0"), str(tmp_path), order, 3, full)
     got = {r.doc_id: r.score for r in ngram_lm.score_texts(docs, model).collect()}
     tokens = [[*plain.words(t), b"<end>"] for t in texts]
     want = plain.kneser_ney([t for i, t in enumerate(tokens) if i % 3], tokens, order, ngram_lm.discounts)

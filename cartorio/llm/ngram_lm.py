@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartorio.llm.hashing import mix, word_hashes
-from cartorio.llm.shared import small_batches
+from cartorio.llm.shared import free_shuffles, small_batches
 
 _U = np.uint64
 BEGIN, END = mix(np.array([0xB0, 0xE0], _U))
@@ -224,7 +224,7 @@ def _count_grams(words: Words, order: int):
             _, keys, (n,) = _added(gram_hash(keys), keys, [np.ones(len(keys[0]), np.int64)])
             yield from _batches([*keys, n], [*names, "n"])
 
-        for batch in small_batches(batches, "text", 8 << 20):
+        for batch in small_batches(batches, "text", 3 << 20):
             hashes, counts = word_hashes(batch.column("text"))
             tokens, starts = _with_ends(hashes, counts, order - 1)
             tokens, at = words.numbers(tokens), _positions(counts, order - 1, starts)
@@ -360,7 +360,9 @@ def train(texts: DataFrame, folder: str, order: int = 2, parts: int | None = Non
     parts = parts or int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = texts.select("text")
     counted = _dealt(texts.mapInArrow(_count_words, "h long, n long"), "h", parts)
-    counted.mapInArrow(_write_words(path), "h long, n long").write.format("noop").mode("overwrite").save()
+    counted = counted.mapInArrow(_write_words(path), "h long, n long")
+    counted.write.format("noop").mode("overwrite").save()
+    free_shuffles(texts.sparkSession)
     heads = [np.fromfile(f"{_file(path, 'words', p)}.head", np.int64).tolist() for p in range(parts)]
     if sum(h[0] for h in heads) > MOST_WORDS:
         raise ValueError("more distinct words than numbers for them")
@@ -448,7 +450,7 @@ def score_texts(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id"
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", 8 << 20):
+        for batch in small_batches(batches, "text", 3 << 20):
             hashes, counts = word_hashes(batch.column("text"))
             begins = max(1, model.order - 1)
             tokens, starts = _with_ends(hashes, counts, begins)

@@ -28,6 +28,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _TEST_FOLDERS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="spark-"))
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished jobs now: it does so when their plans are collected as garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Named tables of one run below the shared folder: they cut lineage and outlive lost executors."""
 
@@ -41,7 +46,7 @@ class Scratch:
     def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         """Writes the rows once and reads them back. What the shuffles before it left on disk may go then."""
         df.write.option("compression", codec).parquet(self.path(name))
-        self.spark.sparkContext._jvm.System.gc()  # Spark removes shuffle files whose plans are garbage
+        free_shuffles(self.spark)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

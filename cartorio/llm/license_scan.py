@@ -1,7 +1,8 @@
 """License scans: templates found in texts by MinHash bands over overlapping windows, verified by containment.
 
 Words are runs of letters and digits, A-Z as a-z, so marks and comment signs don't matter; a template is the
-set of its 5-word shingles (all its words, if fewer). Templates of about one length (within a quarter) share windows: a
+set of its 5-word shingles; one of n < 5 words is its n-word shingle, looked for among the n-word shingles of texts.
+Templates of about one length (within a quarter) share windows: a
 quarter longer than the longest of them, starting every quarter of that. A whole or nearly whole template then
 lies in one window, with a Jaccard similarity that a bound follows for; the number of bands makes a miss less
 likely than ``MISS``. A window whose bands meet a template's is verified: at least ``CONTAINED`` percent of the
@@ -16,6 +17,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartorio.llm.hashing import LETTERS, SHINGLE_WORDS, mix, word_hashes
-from cartorio.llm.license_texts import NOTICES
+from cartorio.llm.license_texts import NOTICES, SHORT_NOTICES
 from cartorio.llm.shared import small_batches
 
 CONTAINED = 75
@@ -35,24 +37,19 @@ _U = np.uint64
 _ODD = mix(np.arange(1, SHINGLE_WORDS + 1, dtype=_U)) | _U(1)
 
 
-def shingles_in_order(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of all texts in order of place, and how many each has; under five words, all words as one."""
+def shingles_in_order(hashes: np.ndarray, counts: np.ndarray, words: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of ``words`` words of all texts in order of place, and how many each has; a shorter text has none."""
     out, sizes = [], []
     end = 0
     with np.errstate(over="ignore"):
         rolled = np.zeros(len(hashes), _U)
-        padded = np.concatenate([hashes, np.zeros(SHINGLE_WORDS, _U)])
-        for j in range(SHINGLE_WORDS):
+        padded = np.concatenate([hashes, np.zeros(words, _U)])
+        for j in range(words):
             rolled += padded[j : j + len(hashes)] * _ODD[j]
         rolled = mix(rolled)
         for count in counts.tolist():
             start, end = end, end + count
-            if count >= SHINGLE_WORDS:
-                out.append(rolled[start : end - SHINGLE_WORDS + 1])
-            elif count:
-                out.append(mix((hashes[start:end] * _ODD[:count]).sum(dtype=_U, keepdims=True) + _U(count)))
-            else:
-                out.append(rolled[:0])
+            out.append(rolled[start : max(start, end - words + 1)])
             sizes.append(len(out[-1]))
     return np.concatenate(out) if out else rolled, np.array(sizes, np.int64)
 
@@ -63,9 +60,10 @@ def bands_for(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
 
 
 class Shelf:
-    """Templates of about one length: their windows, bands and shingles."""
+    """Templates of about one length: their windows, bands and shingles of ``words`` words."""
 
-    def __init__(self, longest: int, templates: list[tuple[int, np.ndarray]]):
+    def __init__(self, longest: int, templates: list[tuple[int, np.ndarray]], words: int = SHINGLE_WORDS):
+        self.words = words
         self.step = max(1, longest // 4)
         self.window = longest + self.step - 1
         self.sets = dict(templates)
@@ -104,25 +102,32 @@ class Shelf:
 
 
 def shelves(templates: Sequence[str]) -> list[Shelf]:
-    """Templates by length; those without words are left out. Names are places in ``templates``."""
-    tokens, sizes = shingles_in_order(*word_hashes(pa.array(list(templates), pa.string()), LETTERS))
-    sets = sorted(((len(s), i, np.unique(s)) for i, s in enumerate(np.split(tokens, np.cumsum(sizes)[:-1])) if len(s)), key=lambda x: -x[0]) if len(sizes) else []
-    found, held, longest = [], [], 0
-    for length, name, values in sets:
-        if held and 5 * length < 4 * longest:
-            found.append(Shelf(longest, held))
-            held = []
-        if not held:
-            longest = length
-        held.append((name, values))
-    return found + [Shelf(longest, held)] if held else found
-
-
-def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = NOTICES) -> DataFrame:
+    """Templates by words of a shingle and by length; those without words are left out. Names are places in ``templates``."""
+    hashes, counts = word_hashes(pa.array(list(templates), pa.string()), LETTERS)
+    found = []
+    for words in range(SHINGLE_WORDS, 0, -1):
+        tokens, sizes = shingles_in_order(hashes, counts, words)
+        own = counts >= words if words == SHINGLE_WORDS else counts == words
+        sets = sorted(((len(s), i, np.unique(s)) for i, s in enumerate(np.split(tokens, np.cumsum(sizes)[:-1])) if own[i]), key=lambda x: -x[0]) if len(sizes) else []
+        held, longest = [], 0
+        for length, name, values in sets:
+            if held and 5 * length < 4 * longest:
+                found.append(Shelf(longest, held, words))
+                held = []
+            if not held:
+                longest = length
+            held.append((name, values))
+        if held:
+            found.append(Shelf(longest, held, words))
+    return found
+
+
+def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = NOTICES + SHORT_NOTICES) -> DataFrame:
     """Matches (doc_id, template, license, start, words, shared, of) in every whole text of ``docs`` (doc_id, text).
 
     Neighbouring windows with one template are one match, that of the best window; ``start`` counts its words
-    from 0, ``words`` is the length of the window, ``shared`` of ``of`` shingles were found. Null and empty
+    from 0, ``words`` is the length of the window, ``shared`` of ``of`` shingles were found. A template of under five
+    words is found where all its words stand in a row, in texts of any length. Null and empty
     texts have no matches; repeated rows repeat theirs; ties go to the first window. Empty tables, or no templates, give an empty table.
     """
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, template int, start long, words long, shared long, of long"
@@ -134,30 +139,30 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = NOTICE
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             built[:] = built or shelves(texts)
             for batch in small_batches(batches, "text"):
-                tokens, sizes = shingles_in_order(*word_hashes(batch.column("text"), LETTERS))
-                rows, found, end = [], [], 0
-                for row, size in enumerate(sizes.tolist()):
-                    own, end = tokens[end : end + size], end + size
-                    for shelf in built:
-                        runs: dict[int, list[int]] = {}
-                        for name, start, shared in sorted(shelf.scan(own)):
-                            run = runs.get(name)
-                            if run and start - run[2] <= shelf.window:
-                                run[2] = start
-                                if shared > run[1]:
-                                    run[0], run[1] = start, shared
-                                continue
-                            if run:
-                                found.append((name, run, shelf))
-                                rows.append(row)
-                            runs[name] = [start, shared, start]
-                        found += [(name, run, shelf) for name, run in runs.items()]
-                        rows += [row] * len(runs)
+                hashes, counts = word_hashes(batch.column("text"), LETTERS)
+                rows, values = [], []
+                for words, alike in groupby(built, lambda shelf: shelf.words):
+                    alike, end = list(alike), 0
+                    tokens, sizes = shingles_in_order(hashes, counts, words)
+                    for row, size in enumerate(sizes.tolist()):
+                        own, end = tokens[end : end + size], end + size
+                        for shelf in alike:
+                            runs: dict[int, list[int]] = {}
+                            found = []
+                            for name, start, shared in sorted(shelf.scan(own)):
+                                run = runs.get(name)
+                                if run and start - run[2] <= shelf.window:
+                                    run[2] = start
+                                    if shared > run[1]:
+                                        run[0], run[1] = start, shared
+                                    continue
+                                if run:
+                                    found.append((name, run))
+                                runs[name] = [start, shared, start]
+                            found += runs.items()
+                            rows += [row] * len(found)
+                            values += [(offset + name, run[0], min(shelf.window, size - run[0]) + words - 1, run[1], len(shelf.sets[name])) for name, run in found]
                 if rows:
-                    values = [
-                        (offset + name, run[0], min(shelf.window, int(sizes[row]) - run[0]) + SHINGLE_WORDS - 1, run[1], len(shelf.sets[name]))
-                        for row, (name, run, shelf) in zip(rows, found)
-                    ]
                     columns = [pa.array(v, pa.int32() if n == "template" else pa.int64()) for n, v in zip(names, zip(*values))]
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int32())), *columns], ["doc_id", *names])
 

@@ -44,3 +44,6 @@ NOTICES = (
         "source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ),
 )
+
+#: Notices of under five words.
+SHORT_NOTICES = (("All-rights-reserved", "All rights reserved."),)

@@ -248,6 +248,31 @@ def test_licenses(spark, odd, empty):
     assert license_scan.by_document(odd, license_scan.scan_licenses(odd)).count() == odd.select("doc_id").distinct().count()
 
 
+def test_short_licenses(spark):
+    """Templates of one to four words in long texts, at both ends, in a row, and as whole texts."""
+    rnd = random.Random(10)
+    short = ["Copyleft", "MIT License", "All rights reserved.", "SPDX-License-Identifier: MIT"]
+    texts = []
+    for template in short:
+        before, after = (" ".join(speech(rnd, n)) for n in (rnd.randint(100, 900), 300))
+        texts += [f"{before}\n// {template.upper()}\n{after}", f"{template} {after}", f"{before} {template}", template, f"{template} {before} {template} {template}", " ".join(template.split(" ")[:-1]) + " " + after]
+    docs = spark.createDataFrame(rows_of(enumerate(texts)), SCHEMA)
+    words = [["".join(c if c.isalnum() else " " for c in t.lower()).split() for t in some] for some in (texts, short)]
+    want = set()
+    for i, text in enumerate(words[0]):
+        for name, template in enumerate(words[1]):
+            n, last = len(template), -9
+            for at in range(len(text) - n + 1):
+                if text[at : at + n] == template:
+                    want |= {(i, name, at, n, 1, 1)} if at > last + 1 else set()
+                    last = at
+    found = license_scan.scan_licenses(docs, [(t, t) for t in short])
+    got = [(r.doc_id, r.template, r.start, r.words, r.shared, r.of) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {(6 * k + j, k) for k in range(4) for j in range(5)} <= {g[:2] for g in got}
+    by_default = {r.doc_id: r.licenses for r in license_scan.by_document(docs, license_scan.scan_licenses(docs)).collect()}
+    assert [i for i, names in by_default.items() if "All-rights-reserved" in names.split(",")] and all((names == "All-rights-reserved") == (12 <= i < 17) for i, names in by_default.items())
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------
 
 

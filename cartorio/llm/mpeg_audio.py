@@ -133,12 +133,16 @@ def _xing(data: bytes, at: int, head: Header) -> dict | None:
 
 
 def parse(data: bytes) -> Stream:
-    """What a stream holds. Foreign bytes, also between frames, are counted as lost; a cut last frame too."""
+    """What a stream holds. Foreign bytes, also between frames, are counted as lost; a cut last frame too.
+
+    'TAG' 128 bytes before the end is an ID3v1 tag where a frame ends or where the byte count of the Xing table is
+    passed; without such a count, in foreign bytes too, but not in a frame that another one or the end follows.
+    """
     out = Stream()
     out.tags, at = _tags(data)
-    end = len(data) - 128 if data[-128:-125] == b"TAG" else len(data)
-    if end < len(data):
-        out.tags.setdefault("TIT2", data[-125:-95].decode("latin-1").rstrip("\0 "))
+    end = len(data)
+    tail = end - 128 if data[-128:-125] == b"TAG" and end - 128 >= at else -1
+    counted = False  # the table says that frames go on behind ``tail``
     known: dict[bytes, Header | None] = {}
     sums: dict[bytes, int] = {}
     kind, synced = None, False
@@ -152,12 +156,17 @@ def parse(data: bytes) -> Stream:
     while at + 4 <= end:
         head = head_at(at)
         good = head is not None and at + head.length <= end and (kind is None or (head.version, head.layer, head.rate) == kind)
-        if good and not synced and at + head.length + 4 <= end:
-            follows = head_at(at + head.length)
-            good = follows is not None and (follows.version, follows.layer, follows.rate) == (head.version, head.layer, head.rate)
+        if good:
+            after = at + head.length
+            across = at < tail < after <= end and not counted
+            if across or not synced and after + 4 <= end and not tail - 4 < after <= tail:
+                follows = head_at(after)
+                good = across and after == end or follows is not None and (follows.version, follows.layer, follows.rate) == (head.version, head.layer, head.rate)
         if not good:
             step = data.find(b"\xff", at + 1, end)
             step = end if step < 0 else step
+            if at <= tail < step and (not counted or synced and at == tail):
+                step = end = tail
             out.lost += step - at
             at, synced = step, False
             continue
@@ -165,6 +174,10 @@ def parse(data: bytes) -> Stream:
         kind = (head.version, head.layer, head.rate)
         if first and head.layer == 3:
             out.table = _xing(data, at, head)
+            size = (out.table or {}).get("bytes", 0)
+            counted = at + size > tail
+            if 0 < size <= tail - at:
+                end = tail
         if not (first and out.table is not None):
             out.offsets.append(at)
             out.starts.append(at + 4 + (2 if head.protected else 0) + head.side)
@@ -177,6 +190,8 @@ def parse(data: bytes) -> Stream:
                 out.crc_wrong += int.from_bytes(data[at + 4 : at + 6], "big") != sums[covered]
         at += head.length
     out.lost += max(0, end - at)
+    if end < len(data):
+        out.tags.setdefault("TIT2", data[-125:-95].decode("latin-1").rstrip("\0 "))
     if kind:
         out.version, out.layer, out.rate = kind
     return out

@@ -220,6 +220,33 @@ def test_media_damage():
     assert (stream.samples, stream.rate, stream.offsets, stream.tags, stream.crc_checked) == (2304, 44100, [0, 417], {"TIT2": "a song"}, 0)
 
 
+def test_media_tag_in_payload(spark):
+    """'TAG' 128 bytes before the end of a stream: in its last frame, and as an ID3v1 tag behind it."""
+    texts = ["x" * (576 * n + 505) + "TAG" + "y" * rest for n in (0, 1, 3) for rest in (0, 30, 68)]
+    for f in mpeg_audio.features_of(mpeg_audio.media_of(spark.createDataFrame(rows_of(enumerate(texts)), SCHEMA))).collect():
+        data = texts[f.doc_id].encode()
+        payload = mpeg_audio.padded(data)
+        assert (f.n_bytes, f.payload_bytes, f.payload_sha256, f.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert f.lost_bytes == f.crc_wrong == 0 and f.n_frames == len(payload) // 576
+    tag = b"TAG" + b"a song".ljust(125, b"\0")
+    for text in (*texts, "plain " * 400):
+        payload = mpeg_audio.padded(text.encode())
+        clean = mpeg_audio.carry(payload, len(text))
+        last = mpeg_audio.parse(clean).offsets[-1]
+        # Whole; with foreign bytes before the tag; the last frame cut off whole.
+        for data, want, lost in ((clean + tag, payload, 0), (clean + b"APE\xff" * 9 + tag, payload, 36), (clean[:last] + tag, payload[:-576], 0)):
+            stream = mpeg_audio.parse(data)
+            assert (mpeg_audio.payload_of(data, stream), stream.lost, stream.tags.get("TIT2")) == (want, lost, "a song")
+        assert "TIT2" not in mpeg_audio.parse(clean).tags
+    # Without a table: one frame, foreign bytes and a cut last frame before the tag; a frame with 'TAG' in it.
+    frame = bytes((0xFF, 0xFB, 0x90, 0x00)) + bytes(413)
+    for data, offsets, lost in ((frame, [0], 0), (frame * 2 + b"foreign", [0, 417], 7), (frame * 2 + frame[:200], [0, 417], 200), (frame * 2 + frame[:300], [0, 417], 300), (b"", [], 0)):
+        stream = mpeg_audio.parse(data + tag)
+        assert (stream.offsets, stream.lost, stream.tags) == (offsets, lost, {"TIT2": "a song"})
+    stream = mpeg_audio.parse(frame * 2 + frame[:289] + tag)
+    assert (stream.offsets, stream.lost, stream.tags) == ([0, 417, 834], 0, {})
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------
 
 

@@ -1,7 +1,8 @@
 """Rule classification of documents: scores, winner, explanation, drift.
 
 A row carries its whole decision: patterns are looked up in the row's own text, scores are sums of
-constants, and the winner is the head of a sorted array. Nothing is shuffled.
+constants, and the winner is the head of a sorted array. Nothing is shuffled. A catalogue beyond the size for
+plan constants is matched by joins, with the same columns and rows.
 """
 
 from __future__ import annotations
@@ -9,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartorio.bounds import hint_small
-from cartorio.functions.approximate import SUBSTRING_LENGTH, search_patterns
+from cartorio.functions.approximate import LETTERS_PER_EDIT, MAX_EDITS, SUBSTRING_LENGTH, edits_within, search_patterns
 from cartorio.functions.expressions import bind, first_case, round_even, text_array
 from cartorio.functions.folding import compact_of, fold, words_of
 from cartorio.sources.rules import Evidence, Profile, collect_profiles, pattern_rows
@@ -101,6 +102,20 @@ def _total(items: Column) -> Column:
     return F.aggregate(items, zero, lambda s, i: (s + F.when(i["matched"], i["weight"]).otherwise(0)).cast("decimal(20,6)"))
 
 
+def _judged(c: Column) -> Column:
+    """A candidate with its score; candidates sort best first."""
+    raw = _total(c["evidence"]) - _total(c["counter"])
+    clamped = round_even(F.greatest(F.least(raw, F.lit(Decimal(1))), F.lit(Decimal(0))), 4).cast(SCORE)
+    return bind(
+        clamped,
+        lambda score: F.struct(
+            (-score).alias("sort"), c["position"].alias("position"), c["document_type"].alias("document_type"),
+            score.alias("score"), c["threshold"].alias("threshold"), (score >= c["threshold"]).alias("accepted"),
+            c["evidence"].alias("evidence"), c["counter"].alias("counter"),
+        ),
+    )
+
+
 def evidence_flags(docs: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "text", fuzzy: bool = True) -> DataFrame:
     """One row per document, type and evidence with its matched flag."""
     lookups = candidates_of(docs, rules, key, text, fuzzy)
@@ -115,24 +130,12 @@ def _scored(docs: DataFrame, rules: DataFrame, text: str, minimum: Decimal | Non
     """Adds ``_candidates``, best first, and ``text_length``."""
     profiles = collect_profiles(rules)
     if profiles is None:
-        raise ValueError("rule catalogue too large for plan constants; classify(..., fuzzy=False) joins instead")
+        return _scored_by_join(docs, rules, text, minimum, fuzzy)
     ready, numbers = _prepared(docs, profiles, text, fuzzy)
     # Every pattern is looked up once, in this array; all the rest works on the few results.
     lookups = F.array(*[_edits(p, numbers) for profile in profiles for p in profile.patterns]).cast("array<int>")
     found = ready.withColumn("_found", lookups).withColumn("text_length", F.length("_compact")).drop("_words", "_compact", "_edits")
 
-    def judged(c: Column) -> Column:
-        raw = _total(c["evidence"]) - _total(c["counter"])
-        clamped = round_even(F.greatest(F.least(raw, F.lit(Decimal(1))), F.lit(Decimal(0))), 4).cast(SCORE)
-        return bind(
-            clamped,
-            lambda score: F.struct(
-                (-score).alias("sort"), c["position"].alias("position"), c["document_type"].alias("document_type"),
-                score.alias("score"), c["threshold"].alias("threshold"), (score >= c["threshold"]).alias("accepted"),
-                c["evidence"].alias("evidence"), c["counter"].alias("counter"),
-            ),
-        )
-
     def scored(hits: Column) -> Column:
         looked = F.transform(
             _constants(profiles, minimum),
@@ -141,7 +144,7 @@ def _scored(docs: DataFrame, rules: DataFrame, text: str, minimum: Decimal | Non
                 _looked_up(p["evidence"], hits).alias("evidence"), _looked_up(p["counter"], hits).alias("counter"),
             ),
         )
-        return F.array_sort(F.transform(looked, judged))
+        return F.array_sort(F.transform(looked, _judged))
 
     return found.withColumn("_candidates", bind(F.col("_found"), scored)).drop("_found")
 
@@ -156,10 +159,10 @@ def classify(
 ) -> DataFrame:
     """Type or UNKNOWN, score, matched evidence and version per document.
 
-    Exact matching against a catalogue beyond the size for plan constants goes through joins.
+    A catalogue beyond the size for plan constants goes through joins.
     """
-    if not fuzzy and collect_profiles(rules) is None:
-        return docs.join(classify_by_join(docs, rules, minimum, key, text), key).withColumn("classifier", F.lit(VERSION))
+    if collect_profiles(rules) is None:
+        return _won_by_join(docs, rules, minimum, text, fuzzy).withColumn("classifier", F.lit(VERSION))
     won = _with_winner(_scored(docs, rules, text, minimum, fuzzy))
     names = F.transform(F.filter("_winner.evidence", lambda e: e["matched"]), lambda e: e["name"])
     return won.withColumns(
@@ -317,14 +320,41 @@ def contains_join(
     return texts.withColumn("_hash", hash_).join(met, [*on, "_hash"]).filter(F.col(text).contains(F.col(pattern))).drop("_hash")
 
 
-def classify_by_join(
-    docs: DataFrame, rules: DataFrame, minimum: Decimal | None = None, key: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """Exact classification against a rule table of any size: matching and scoring as joins."""
+def fuzzy_join(texts: DataFrame, patterns: DataFrame, on: str) -> DataFrame:
+    """(``on``, pattern_compact, edits) of long patterns that are in ``compact`` within their budget, for lists of any size.
+
+    Both sides meet on the first letters, up to eight, of one of the pieces of which one must occur unchanged.
+    """
+    size = F.length("pattern_compact")
+    count = F.least(F.lit(MAX_EDITS), F.floor(size / LETTERS_PER_EDIT).cast("int")) + 1
+    cut = lambda i: F.floor(size * i / count).cast("int")
+    piece = lambda i: F.substring(F.col("pattern_compact"), cut(i) + 1, F.least(F.lit(8), cut(i + 1) - cut(i)))
+    wanted = patterns.select("pattern_compact").distinct().withColumn("_gram", F.explode_outer(F.transform(F.sequence(F.lit(0), count - 1), piece)))
+    # A piece of a pattern of eight letters has four.
+    windows = F.concat(*[grams(F.col("compact"), n) for n in range(4, 9)])
+    offered = texts.select(on, F.explode_outer(F.array_distinct(windows)).alias("_gram"))
+    met = offered.join(hint_small(wanted), "_gram").select(on, "pattern_compact").distinct()
+    # Not deterministic: else the filter would be merged into it, and pairs be compared twice.
+    edits = F.pandas_udf(edits_within, "int").asNondeterministic()
+    pairs = texts.select(on, "compact").dropDuplicates([on]).join(met, on)
+    return pairs.select(on, "pattern_compact", edits("compact", "pattern_compact").alias("edits")).filter("edits IS NOT NULL")
+
+
+def _identified(docs: DataFrame, text: str) -> DataFrame:
+    """Adds ``_text_id``: joins meet on texts, so that keys may be null or repeated."""
+    return docs.withColumn("_text_id", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+
+
+def _matches(docs: DataFrame, rules: DataFrame, text: str, fuzzy: bool) -> DataFrame:
+    """Pattern rows found in the texts: ``_text_id``, the columns of the pattern, and its edits."""
     patterns = pattern_rows(rules)
-    folded = docs.select(key, fold(F.col(text)).alias("folded"))
-    searchable = folded.select(key, compact_of(F.col("folded")).alias("compact"), words_of(F.col("folded")).alias("words"))
-    long = contains_join(searchable, patterns.filter(F.length("pattern_compact") >= SUBSTRING_LENGTH))
+    folded = docs.select("_text_id", fold(F.col(text)).alias("folded"))
+    searchable = folded.select("_text_id", compact_of(F.col("folded")).alias("compact"), words_of(F.col("folded")).alias("words"))
+    long = patterns.filter(F.length("pattern_compact") >= SUBSTRING_LENGTH)
+    if fuzzy:
+        close = fuzzy_join(searchable, long, "_text_id").join(hint_small(long), "pattern_compact")
+    else:
+        close = contains_join(searchable, long).withColumn("edits", F.lit(0))
     short = patterns.filter(F.length("pattern_compact").between(1, SUBSTRING_LENGTH - 1))
     longest = F.coalesce(short.agg(F.max(F.size(F.split("pattern_words", " "))).alias("n")).scalar(), F.lit(1))
     lengths = F.sequence(F.lit(1), F.col("_longest"))
@@ -335,17 +365,70 @@ def classify_by_join(
         ),
     )
     worded = searchable.withColumn("_longest", longest).withColumn("pattern_words", F.explode_outer(F.array_distinct(runs))).join(hint_small(short), "pattern_words")
-    columns = [key, "document_type", "position", "threshold", "side", "ordinal", "weight", "name"]
-    matched = long.select(*columns).unionByName(worded.select(*columns)).distinct()
+    columns = ["_text_id", "document_type", "position", "threshold", "side", "ordinal", "weight", "name", "pattern_ordinal", "pattern"]
+    return close.select(*columns, "edits").unionByName(worded.select(*columns, F.lit(0).alias("edits")))
+
+
+def _limit(minimum: Decimal | None) -> Column:
+    return (F.lit(minimum) if minimum else F.col("threshold")).cast("decimal(12,6)")
+
+
+def _won_by_join(docs: DataFrame, rules: DataFrame, minimum: Decimal | None, text: str, fuzzy: bool) -> DataFrame:
+    """All rows of ``docs`` with document_type, score and signals."""
+    keyed = _identified(docs, text)
+    columns = ["document_type", "position", "threshold", "side", "ordinal", "weight", "name"]
+    matched = _matches(keyed, rules, text, fuzzy).select("_text_id", *columns).distinct()
     signed = F.when(F.col("side") == "E", F.col("weight")).otherwise(-F.col("weight"))
-    scores = matched.groupBy(key, "document_type", "position", "threshold").agg(F.sum(signed).alias("raw"))
+    names = F.array_sort(F.collect_list(F.when(F.col("side") == "E", F.struct("ordinal", "name"))))
+    scores = matched.groupBy("_text_id", "document_type", "position", "threshold").agg(
+        F.when(F.count(signed) == F.count(F.lit(1)), F.sum(signed)).alias("raw"), F.transform(names, lambda n: n["name"]).alias("signals")
+    )
     score = round_even(F.greatest(F.least(F.col("raw"), F.lit(Decimal(1))), F.lit(Decimal(0))), 4).cast(SCORE)
-    threshold = F.lit(minimum) if minimum else F.col("threshold")
-    best = (
-        scores.withColumn("score", score)
-        .filter(F.col("score") >= threshold)
-        .groupBy(key)
-        .agg(F.min(F.struct((-F.col("score")).alias("s"), "position", "document_type", "score")).alias("b"))
+    order = lambda value: F.struct((-value).alias("s"), "position", "document_type", value.alias("score"))
+    scored = scores.withColumn("score", score).filter(F.col("score") >= _limit(minimum))
+    best = scored.groupBy("_text_id").agg(F.min(F.struct(*[order(F.col("score")).alias("o"), "signals"])).alias("b"))
+    # A type without a hit has the score 0; among those that accept it, the first one wins.
+    nought = rules.filter(_limit(minimum) <= 0).agg(F.min(order(F.lit(Decimal(0)).cast(SCORE))).alias("z"))
+    joined = keyed.join(best, "_text_id", "left").join(F.broadcast(nought))
+    hit = F.col("b").isNotNull() & (F.col("z").isNull() | (F.col("b.o") <= F.col("z")))
+    winner = F.when(hit, F.col("b.o")).otherwise(F.col("z"))
+    return joined.withColumns(
+        {
+            "document_type": F.coalesce(winner["document_type"], F.lit(UNKNOWN)),
+            "score": winner["score"],
+            "signals": F.when(hit, F.col("b.signals")).otherwise(F.array().cast("array<string>")),
+        }
+    ).drop("_text_id", "b", "z")
+
+
+def _scored_by_join(docs: DataFrame, rules: DataFrame, text: str, minimum: Decimal | None, fuzzy: bool) -> DataFrame:
+    """As ``_scored``: every text with every type of the catalogue."""
+    keyed = _identified(docs, text)
+    place = ["document_type", "side", "ordinal"]
+    found = _matches(keyed, rules, text, fuzzy).groupBy("_text_id", *place).agg(F.min(F.struct("pattern_ordinal", "pattern", "edits")).alias("h"))
+    types = rules.groupBy("document_type").agg(F.min(F.struct("position", _limit(minimum).alias("threshold"))).alias("t"))
+    numbered = types.select("document_type", "t.threshold", (F.row_number().over(Window.orderBy("t.position", "document_type")) - 1).alias("position"))
+    items = rules.select(*place, "name", F.col("weight").cast("decimal(12,6)").alias("weight")).join(numbered, "document_type")
+    every = keyed.select("_text_id").distinct().crossJoin(items).join(found, ["_text_id", *place], "left")
+    edits = F.col("h.edits")
+    item = F.struct(
+        "name", "weight", F.col("h").isNotNull().alias("matched"), F.col("h.pattern").alias("pattern"),
+        F.when(edits == 0, "EXACT").when(edits > 0, "FUZZY").alias("kind"), edits.alias("edits"),
     )
-    joined = docs.select(key).join(best, key, "left")
-    return joined.select(key, F.coalesce("b.document_type", F.lit(UNKNOWN)).alias("document_type"), F.col("b.score").alias("score"))
+
+    def block(side: str) -> Column:
+        rows = F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("ordinal", item.alias("i")))))
+        return F.transform(rows, lambda r: r["i"]).alias("evidence" if side == "E" else "counter")
+
+    types = every.groupBy("_text_id", "position", "document_type", "threshold").agg(block("E"), block("C"))
+    candidate = F.struct("position", "document_type", "threshold", "evidence", "counter")
+    texts = types.groupBy("_text_id").agg(F.array_sort(F.collect_list(_judged(candidate))).alias("_candidates"))
+    length = F.length(compact_of(fold(F.col(text))))
+    return keyed.withColumn("text_length", length).join(texts, "_text_id", "left").drop("_text_id")
+
+
+def classify_by_join(
+    docs: DataFrame, rules: DataFrame, minimum: Decimal | None = None, key: str = "doc_id", text: str = "text", fuzzy: bool = False
+) -> DataFrame:
+    """key, document_type, score and signals against a rule table of any size: matching and scoring as joins."""
+    return _won_by_join(docs.select(key, text), rules, minimum, text, fuzzy).select(key, "document_type", "score", "signals")

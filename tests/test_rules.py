@@ -12,6 +12,7 @@ from cartorio.functions.dates import parse_date, parse_long_date, parse_money, p
 from cartorio.functions.folding import fold
 from cartorio.operators import classify as cls
 from cartorio.operators import layout, privacy, reading
+from cartorio.sources import rules as catalogue
 from cartorio.sources.rules import load_rules, profile_json
 
 
@@ -65,6 +66,35 @@ def test_classification_cases(spark, fuzzy):
     assert lowered[4] == "A" and lowered[5] == "UNKNOWN" and lowered[8] in ("A", "B")
 
 
+@pytest.mark.parametrize("fuzzy", [True, False])
+def test_both_sides_of_the_catalogue_limit(spark, monkeypatch, fuzzy):
+    zero = profile_json({"seal": ("0.20", ["SELO"]), "office": ("0.30", ["MINISTERIO DA FAZENDA NACIONAL", "FAZENDA"])}, {"other": ("0.60", ["CARTEIRA NACIONAL"])}, threshold="0")
+    texts = [
+        "Cadastro de Pessoas Físicas\nCPF", "CADASTRODEPESSOASFISICAS cpf", "CADASTRO DE PESS0AS FISICAS CPF", "CPF", "", None, " ", "selo", "selo carteira nacional", "selo carte1ra nacional",
+        "ministério da fazenda cadastro de pessoas físicas cpf", "min1ster1o da fazenda naciona1", "CPF", "nothing of it",
+    ]
+    docs = spark.createDataFrame([(i if i % 6 else None, t) for i, t in enumerate(texts)] + [(1, texts[0]), (2, "selo")], "doc_id int, text string")
+    few, more = (
+        load_rules(spark.createDataFrame(types, "document_type string, position int, active boolean, rules_json string"))[0]
+        for types in (RULES, RULES + [("Z", 5, True, zero), ("Y", 5, True, zero)])
+    )
+    made = {
+        "few": lambda: cls.expected_divergence(cls.classify(docs.withColumn("expected_type", F.lit("A")), few, fuzzy=fuzzy)),
+        "more": lambda: cls.classify(docs, more, fuzzy=fuzzy),
+        "minimum": lambda: cls.classify(docs, more, Decimal("0.10"), fuzzy=fuzzy),
+        "explain": lambda: cls.explain_classification(docs, more, fuzzy=fuzzy),
+        "flags": lambda: cls.evidence_flags(docs, more, fuzzy=fuzzy),
+    }
+    for name, make in made.items():
+        within = make()
+        with monkeypatch.context() as m:
+            m.setattr(catalogue, "CATALOGUE_LIMIT_ROWS", 3)
+            beyond = make()
+        assert within.dtypes == beyond.dtypes, name
+        want, got = (sorted(map(repr, df.collect())) for df in (within, beyond))
+        assert want == got and want, name
+
+
 def test_explanation_names_kind_edits_and_reason(spark):
     rules = load_rules(spark.createDataFrame(RULES, "document_type string, position int, active boolean, rules_json string"))[0]
     docs = spark.createDataFrame([(1, "CADASTRO DE PESS0AS FISICAS CPF"), (2, "cpf"), (3, " ")], "doc_id int, text string")

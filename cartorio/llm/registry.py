@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartorio.llm import bpe, chat_format, license_scan, line_dedup, mixing, mpeg_audio, ngram_lm, quality_rules, warc
+from cartorio.llm import bpe, chat_format, lexical_search, license_scan, line_dedup, mixing, mpeg_audio, ngram_lm, quality_rules, spelling, url_filter, warc
 from cartorio.llm.jaccard_join import jaccard_components
 from cartorio.llm.shared import Scratch
 
@@ -90,3 +90,18 @@ def op6(spark: SparkSession, root: str) -> DataFrame:
 def op4(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
     return license_scan.by_document(docs, license_scan.scan_licenses(docs))
+
+
+@query("op11_ranked_search", lexical_search.ORACLE)
+def op11(spark: SparkSession, root: str) -> DataFrame:
+    return lexical_search.search(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
+@query("op12_url_filters", url_filter.oracle_sql())
+def op12(spark: SparkSession, root: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, root, "pages"), url_filter.outcomes_of(table(spark, root, "labels")))
+
+
+@query("op13_spelling_variants", spelling.ORACLE)
+def op13(spark: SparkSession, root: str) -> DataFrame:
+    return spelling.groups(table(spark, root, "documents"))

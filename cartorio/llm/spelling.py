@@ -14,7 +14,7 @@ by exactly one inserted, deleted or replaced code point. ``groups`` turns them i
 
        I' = (I | Z) & B[i + 1, x_i]      R' = (R & B[i, x_i]) | (Z & ~B[i, x_i])      Z' = Z & B[i, x_i]
 
-   A deletion is an insertion seen from the other word, so asking from the shorter side finds each pair once.
+   A deletion is an insertion seen from the other word, so only the shorter word of a pair, or the first one, asks.
 3. Where the error may stand in two windows, as in a run of one letter, its last place counts: Z holds at the beginning
    of the window and no longer at its end.
 """
@@ -132,7 +132,9 @@ class PositionIndex:
         hits = np.flatnonzero(found)
         if len(hits):
             rows, bits = np.nonzero(np.unpackbits(found[hits].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            yield ask[hits[rows]], at[hits[rows]] * 64 + bits
+            asked, other = ask[hits[rows]], at[hits[rows]] * 64 + bits
+            once = (self.lengths[other] > length) | (other > asked)  # words of one length find each other
+            yield asked[once], other[once]
 
 
 def _best(words: np.ndarray, counts: np.ndarray, ends: np.ndarray, others: np.ndarray) -> pa.RecordBatch:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from functools import reduce
+from functools import reduce, wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,3 +52,17 @@ def equals_if(column: Column, value) -> Column | None:
 def at_rank(value: Column, order: Iterable[str]) -> Column:
     """Position of a value in a fixed list, from 0; null for anything else."""
     return first_case([(value == name, F.lit(rank)) for rank, name in enumerate(order)])
+
+
+def built_once(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Keeps large expressions of equal arguments for as long as the JVM they live in: building one takes thousands of calls."""
+    kept: dict = {}
+
+    @wraps(build)
+    def get(*given):
+        key = (id(SparkContext._gateway), *given)
+        if key not in kept:
+            kept[key] = build(*given)
+        return kept[key]
+
+    return get

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cartorio.bounds import literal_table
 from cartorio.functions import machine_zone as mrz
 from cartorio.functions.dates import iso, parse_date, parse_long_date, parse_money, plausible
-from cartorio.functions.expressions import bind, trim_chars
+from cartorio.functions.expressions import bind, built_once, trim_chars
 from cartorio.functions.folding import clean_person_name, fold, fold_chars
 from cartorio.functions.check_digits import cep_normalize, cnpj_normalize, cnpj_valid, cpf_normalize, cpf_valid
 from cartorio.operators.fields import CONFIDENCE, mean_confidence, policy
@@ -23,11 +23,15 @@ from cartorio.operators.layout import line_at, merge_rows, prose_index
 from cartorio.operators.quality import CHECK_DIGIT_INVALID, CHECK_DIGIT_VALID, DATE_INVALID, DATE_VALID, FORMAT_VALID, POSTAL_CODE_VALID, STATE_VALID
 from cartorio.plans import readers as r
 from cartorio.plans import types as spec
+from cartorio.session import cut_lineage
 
 KEYS = ["doc_id", "document_type"]
 ORDER = ["pass", "o1", "o2", "o3", "o4"]
 ADDRESS_PATHS = ("address", "postalCode", "city", "state")
 PARENT_PATHS = ("fatherName", "motherName")
+#: Labels of a block of lines, read as a whole.
+BLOCK_READERS = {"BR_CIN": "PARENTS", "BR_CCMEI": "BUSINESS_ADDRESS"}
+PLACE = "struct<line_no:bigint,confidence:double,bbox:array<double>,o1:bigint,o2:bigint>"
 PAYLOAD = ["raw", "normalized", "status", "messages", "confidence", "page", "line_no", "bbox"]
 
 
@@ -44,6 +48,9 @@ def _field_map() -> Column:
                 by_label.setdefault(f"{t.name}|{label}", []).append(
                     f"named_struct('path', '{f.path}', 'reader', '{f.reader}', 'label_ord', {ordinal}, 'minimum', {f.minimum}, 'kind', '{f.kind}')"
                 )
+        for label in t.block_labels:
+            reader = BLOCK_READERS[t.name]
+            by_label.setdefault(f"{t.name}|{label}", []).append(f"named_struct('path', '{reader}', 'reader', '{reader}', 'label_ord', 0, 'minimum', 0, 'kind', '')")
     return F.expr("map(" + ", ".join(f"'{key}', array({', '.join(rows)})" for key, rows in by_label.items()) + ")")
 
 
@@ -56,34 +63,48 @@ def matched_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def field_candidates(candidates: DataFrame) -> DataFrame:
-    """Candidates of label lines, once for every field that uses the label; longer labels are not this label."""
+def _labelled(candidates: DataFrame) -> DataFrame:
+    """Candidates of label lines, once for every field, or block of fields, that uses the label; longer labels are not this label."""
     fields = F.try_element_at(_field_map(), F.concat_ws("|", "document_type", "label"))
-    used = candidates.filter(~F.col("longer")).withColumn("f", F.explode_outer(fields)).filter("f IS NOT NULL")
+    used = candidates.filter(~F.col("longer")).withColumn("f", F.explode(fields))
     return used.select("*", "f.*").drop("f")
 
 
+def field_candidates(candidates: DataFrame) -> DataFrame:
+    """Candidates of the fields that are read from one label and one value."""
+    return _labelled(candidates).filter(~F.col("reader").isin(*BLOCK_READERS.values()))
+
+
+def _at(items: Column, line_no: Column | None = None, confidence: Column | None = None, bbox: Column | None = None, o1: Column | None = None, o2: Column | None = None) -> Column:
+    """Alternatives with the line that they are reported at and their order, where these are not those of the row."""
+    given = {"line_no": line_no, "confidence": confidence, "bbox": bbox, "o1": o1, "o2": o2}
+    kinds = {"confidence": "double", "bbox": "array<double>"}
+    at = F.struct(*[(F.lit(None) if c is None else c).cast(kinds.get(n, "bigint")).alias(n) for n, c in given.items()])
+    return F.transform(items.cast(f"array<{r.ALTERNATIVE}>"), lambda a: F.struct(a.alias("a"), at.alias("at")))
+
+
 def _shape(df: DataFrame, items: Column, penalty: Column | float = 0.0, orders: dict[str, Column] | None = None) -> DataFrame:
-    """Alternatives of an array column, one row each, with the value policy applied.
+    """Alternatives of an array column (see ``_at``), one row each, with the value policy applied.
 
-    ``df`` carries page, line_no, confidence and bbox of the line a value is reported at.
+    ``df`` carries page, line_no, confidence and bbox of the line a value is reported at, unless it says otherwise.
     """
     penalty = penalty if isinstance(penalty, Column) else F.lit(penalty)
-    zero = F.lit(0).cast("bigint")
-    ranks = {o: (orders or {}).get(o, zero).cast("bigint").alias(o) for o in ORDER[1:]}
+    ranks = {o: (orders or {}).get(o, F.lit(0)).cast("bigint").alias(o) for o in ORDER[1:]}
     long = df.select(
-        *KEYS, "page", "line_no", F.col("confidence").cast("double").alias("_c"), "bbox", penalty.cast("double").alias("_p"), *ranks.values(),
-        F.explode_outer(items).alias("a"),
-    ).filter("a IS NOT NULL")
-    found = F.col("a.status") != "NOT_FOUND"
-    values = policy(
-        F.col("_c").cast("decimal(5,4)"), (F.col("_p") + F.col("a.extra")).cast("decimal(5,4)"), F.col("a.status"), F.col("a.messages"), F.col("a.found")
-    )
+        *KEYS, "page", "line_no", F.col("confidence").cast("double").alias("_c"), F.col("bbox").cast("array<double>").alias("bbox"), penalty.cast("double").alias("_p"),
+        *ranks.values(), F.explode(items).alias("x"),
+    ).filter("x.a IS NOT NULL")
+    a, at = F.col("x.a"), F.col("x.at")
+    # An alternative with a place of its own is reported there, whatever is known of the line.
+    line_no, bbox = (F.when(at["line_no"].isNotNull(), at[c]).otherwise(F.col(c)) for c in ("line_no", "bbox"))
+    confidence = F.when(at["line_no"].isNotNull(), at["confidence"]).otherwise(F.col("_c"))
+    found = a["status"] != "NOT_FOUND"
+    values = policy(confidence.cast("decimal(5,4)"), (F.col("_p") + a["extra"]).cast("decimal(5,4)"), a["status"], a["messages"], a["found"])
     return long.select(
-        *KEYS, F.col("a.path").alias("path"), F.col("a.pass").alias("pass"), *ORDER[1:],
-        F.col("a.raw").alias("raw"), F.col("a.normalized").alias("normalized"), values["status"].alias("status"), values["messages"].alias("messages"),
+        *KEYS, a["path"].alias("path"), a["pass"].alias("pass"), F.coalesce(at["o1"], "o1").alias("o1"), F.coalesce(at["o2"], "o2").alias("o2"), *ORDER[3:],
+        a["raw"].alias("raw"), a["normalized"].alias("normalized"), values["status"].alias("status"), values["messages"].alias("messages"),
         F.when(found, values["confidence"]).cast(CONFIDENCE).alias("confidence"), F.when(found, F.col("page").cast("int")).alias("page"),
-        F.when(found, F.col("line_no").cast("bigint")).alias("line_no"), F.when(found, F.col("bbox").cast("array<double>")).alias("bbox"),
+        F.when(found, line_no.cast("bigint")).alias("line_no"), F.when(found, bbox).alias("bbox"),
     )
 
 
@@ -91,64 +112,78 @@ def _shape(df: DataFrame, items: Column, penalty: Column | float = 0.0, orders:
 
 
 def label_alternatives(candidates: DataFrame, today: date) -> DataFrame:
-    usable = field_candidates(candidates).filter(F.trim("text") != "")
-    items = r.read_candidate(F.col("reader"), F.col("path"), F.col("text"), F.col("following"), F.col("minimum"), F.col("kind"), today)
-    orders = {"o1": F.col("label_ord"), "o2": F.col("label_line"), "o3": F.col("rank")}
-    return _shape(usable, items, F.col("penalty"), orders)
+    """Readings next to labels, and of the blocks under block labels, in one pass over the candidates."""
+    block = F.col("reader").isin(*BLOCK_READERS.values())
+    usable = _labelled(candidates).filter(F.when(block, F.col("rank") == 0).otherwise(F.trim("text") != ""))
+    return _shape(usable, _label_readings(today), F.col("penalty"), {"o1": F.col("label_ord"), "o2": F.col("label_line"), "o3": F.col("rank")})
 
 
-def filiation_alternatives(candidates: DataFrame) -> DataFrame:
+@built_once
+def _label_readings(today: date) -> Column:
+    single = r.read_candidate(F.col("reader"), F.col("path"), F.col("text"), F.col("following"), F.col("minimum"), F.col("kind"), today)
+    return F.when(F.col("reader") == "PARENTS", _parents()).when(F.col("reader") == "BUSINESS_ADDRESS", _business_address()).otherwise(_at(single))
+
+
+def _block_lines(first_text: Column) -> Column:
+    """Lines of a block: what stands behind the label's colon, then the lines below it."""
+    own = F.struct(first_text.alias("text"), F.col("line_no"), F.col("confidence").cast("double").alias("confidence"), F.col("bbox"))
+    under = F.transform("following", lambda f: F.struct(F.trim(f["text"]).alias("text"), f["line_no"].alias("line_no"), f["confidence"].alias("confidence"), f["bbox"].alias("bbox")))
+    return F.concat(F.array_compact(F.array(F.when(first_text != "", own))), under)
+
+
+def _inline_text() -> Column:
+    return F.when(F.col("line_text").contains(":"), r.after_colon(F.col("line_text")))
+
+
+def _parents() -> Column:
     """Parents in the order they are printed under the filiation label."""
-    lines = candidates.filter((F.col("document_type") == "BR_CIN") & (F.col("label") == "FILIACAO") & (F.col("rank") == 0))
-    inline = F.when(F.col("line_text").contains(":"), r.after_colon(F.col("line_text")))
-    own = F.struct(inline.alias("raw"), clean_person_name(inline).alias("name"), F.col("line_no"), F.col("confidence"), F.col("bbox"))
-    under = F.transform("following", lambda f: F.struct(F.trim(f["text"]).alias("raw"), clean_person_name(f["text"]).alias("name"), f["line_no"].alias("line_no"), f["confidence"].alias("confidence"), f["bbox"].alias("bbox")))
-    named = lines.withColumn("_names", F.filter(F.concat(F.array(own), under), lambda n: n["name"].isNotNull())).filter(F.size("_names") > 0)
-    out = None
-    for position, path in enumerate(("fatherName", "motherName")):
-        picked = named.withColumn("_n", F.get("_names", F.lit(position)))
-        at = picked.withColumns({"line_no": F.col("_n.line_no"), "confidence": F.col("_n.confidence"), "bbox": F.col("_n.bbox")})
-        item = F.when(F.col("_n").isNotNull(), r.alternative(path, 2, F.col("_n.raw"), F.col("_n.name"), "UNCERTAIN", ["FILIATION_ORDER_ASSUMED"], 0.05, False)).otherwise(r.missing(path, 2))
-        rows = _shape(at, r.listed(item), 0.0, {"o1": F.col("label_line")})
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-def business_address_alternatives(candidates: DataFrame) -> DataFrame:
+    def read(names: Column) -> Column:
+        def one(position: int, path: str) -> Column:
+            def item(n: Column) -> Column:
+                found = r.alternative(path, 2, n["line"]["text"], n["name"], "UNCERTAIN", ["FILIATION_ORDER_ASSUMED"], 0.05, False)
+                return _at(r.listed(F.when(n.isNotNull(), found).otherwise(r.missing(path, 2))), n["line"]["line_no"], n["line"]["confidence"], n["line"]["bbox"])
+
+            return bind(F.get(names, F.lit(position)), item)
+
+        both = F.concat(*[one(n, path) for n, path in enumerate(PARENT_PATHS)])
+        return F.when(F.size(names) > 0, both).otherwise(F.slice(both, 1, 0))
+
+    lines = F.transform(_block_lines(_inline_text()), lambda line: F.struct(line.alias("line"), clean_person_name(line["text"]).alias("name")))
+    return bind(F.filter(lines, lambda n: n["name"].isNotNull()), read)
+
+
+def _business_address() -> Column:
     """Address block of a certificate: the value behind the label and up to three lines below it."""
-    lines = candidates.filter((F.col("document_type") == "BR_CCMEI") & F.col("label").isin(*spec.CCMEI.block_labels) & (F.col("rank") == 0))
-    inline = F.when(F.col("line_text").contains(":"), r.after_colon(F.col("line_text")))
-    part = lambda text, at: F.struct(text.alias("text"), at["line_no"].alias("line_no"), at["confidence"].alias("confidence"), at["bbox"].alias("bbox"))
-    own = F.when(inline != "", part(inline, {"line_no": F.col("line_no"), "confidence": F.col("confidence"), "bbox": F.col("bbox")}))
-    parts = F.concat(F.array_compact(F.array(own)), F.transform("following", lambda f: part(F.trim(f["text"]), f)))
-    block = lines.withColumn("_parts", parts).filter(F.size("_parts") > 0)
-    block = block.withColumn("_raw", F.array_join(F.transform("_parts", lambda p: p["text"]), " "))
-    first = {c: F.get("_parts", F.lit(0))[c] for c in ("line_no", "confidence", "bbox")}
-    cep = r.first_match(F.col("_raw"), r.POSTAL_CODE)
-    whole = r.listed(
-        r.alternative("address", 1, F.col("_raw"), trim_chars(fold(F.col("_raw")), " -:.,")),
-        F.when(cep_normalize(cep).isNotNull(), r.alternative("postalCode", 1, cep, cep_normalize(cep), messages=[POSTAL_CODE_VALID])).otherwise(r.missing("postalCode", 1)),
-    )
-    order = {"o1": F.col("label_line")}
-    rows = _shape(block.withColumns(first), whole, 0.0, order)
-    cities = F.filter(
-        F.transform("_parts", lambda p: F.struct(r.city_and_state(fold(p["text"])).alias("v"), p["line_no"].alias("line_no"), p["confidence"].alias("confidence"), p["bbox"].alias("bbox"))),
-        lambda c: c["v"].isNotNull(),
-    )
-    placed = block.withColumn("_city", F.get(cities, F.lit(0))).withColumns({c: F.col(f"_city.{c}") for c in ("line_no", "confidence", "bbox")})
-    there = F.col("_city").isNotNull()
-    both = r.listed(
-        F.when(there, r.alternative("city", 1, F.col("_city.v.city"), F.col("_city.v.city"), extra=0.05)).otherwise(r.missing("city", 1)),
-        F.when(there, r.alternative("state", 1, F.col("_city.v.uf"), F.col("_city.v.uf"), messages=[STATE_VALID], extra=0.05)).otherwise(r.missing("state", 1)),
-    )
-    return rows.unionByName(_shape(placed, both, 0.0, order))
+    def read(parts: Column) -> Column:
+        first = F.get(parts, F.lit(0))
+        raw = F.array_join(F.transform(parts, lambda p: p["text"]), " ")
+
+        def whole(text: Column) -> Column:
+            cep = r.first_match(text, r.POSTAL_CODE)
+            code = F.when(cep_normalize(cep).isNotNull(), r.alternative("postalCode", 1, cep, cep_normalize(cep), messages=[POSTAL_CODE_VALID])).otherwise(r.missing("postalCode", 1))
+            return _at(r.listed(r.alternative("address", 1, text, trim_chars(fold(text), " -:.,")), code), first["line_no"], first["confidence"], first["bbox"])
+
+        cities = F.filter(F.transform(parts, lambda p: F.struct(r.city_and_state(fold(p["text"])).alias("v"), p.alias("p"))), lambda c: c["v"].isNotNull())
+
+        def placed(c: Column) -> Column:
+            there = c.isNotNull()
+            both = r.listed(
+                F.when(there, r.alternative("city", 1, c["v"]["city"], c["v"]["city"], extra=0.05)).otherwise(r.missing("city", 1)),
+                F.when(there, r.alternative("state", 1, c["v"]["uf"], c["v"]["uf"], messages=[STATE_VALID], extra=0.05)).otherwise(r.missing("state", 1)),
+            )
+            return _at(both, c["p"]["line_no"], c["p"]["confidence"], c["p"]["bbox"])
+
+        every = F.concat(bind(raw, whole), bind(F.get(cities, F.lit(0)), placed))
+        return F.when(F.size(parts) > 0, every).otherwise(F.slice(every, 1, 0))
+
+    return bind(_block_lines(_inline_text()), read)
 
 
 # ---------------------------------------------------------------- anywhere in the document
 
 
-def line_alternatives(lines: DataFrame) -> DataFrame:
-    """Alternatives that need no label: numbers anywhere, postal codes, streets and cities by shape, services."""
+def line_alternatives(lines: DataFrame, today: date) -> DataFrame:
+    """Alternatives that need no label: numbers anywhere, postal codes, streets and cities by shape, services, a card's longest name."""
     kind, text, folded = F.col("document_type"), F.col("text"), F.col("folded")
     address = kind == "BR_PROOF_OF_ADDRESS"
     cpf_path = F.when(kind == "BR_CCMEI", "holderCpf").when(address, "holderDocument#cpf").otherwise("cpf")
@@ -174,55 +209,74 @@ def line_alternatives(lines: DataFrame) -> DataFrame:
             test = test | folded.contains(word)
         services.append(F.when(test, r.alternative(f"serviceType#{name}", 2, F.trim(text), F.lit(name), messages=["SERVICE_TYPE_KEYWORD"], extra=0.10)))
     items = F.concat(
-        F.when(kind.isin(*_types("CPF", "CPF_OR_CNPJ")), r.anywhere_number(cpf_path, r.cpf_checked(text), True)).otherwise(r.listed()),
+        F.when(kind.isin(*_types("CPF", "CPF_OR_CNPJ"), "BR_CPF_CARD"), r.anywhere_number(cpf_path, r.cpf_checked(text), True)).otherwise(r.listed()),
         F.when(kind.isin(*_types("CNPJ", "CPF_OR_CNPJ")), r.anywhere_number(cnpj_path, r.cnpj_checked(text), False)).otherwise(r.listed()),
         F.when(address, F.concat(r.listed(by_cep, by_street, *services), by_city)).otherwise(r.listed()),
     )
-    labelled = [t.name for t in spec.REGISTRY.values() if t.fields]
-    return _shape(lines.filter(kind.isin(*labelled)), items, 0.0, {"o1": F.col("line_no")})
+    card = kind == "BR_CPF_CARD"
+    every = F.concat(_at(items), F.when(card, _card_shapes(today)).otherwise(F.array().cast(f"array<struct<a:{r.ALTERNATIVE},at:{PLACE}>>")))
+    readable = [t.name for t in spec.REGISTRY.values() if t.fields] + ["BR_CPF_CARD"]
+    return _shape(lines.filter(kind.isin(*readable)), every, 0.0, {"o1": F.col("line_no")})
+
+
+def _is_header(value: Column) -> Column:
+    test = F.lit(False)
+    for line in spec.CPF_CARD_HEADERS:
+        test = test | value.contains(line) | F.contains(F.lit(line), value)
+    return test
+
+
+def _not_birth() -> Column:
+    test = F.lit(False)
+    for marker in spec.NOT_BIRTH_MARKERS:
+        test = test | F.col("folded").contains(marker)
+    return test
+
+
+def _birth_dates(today: date) -> Column:
+    dates = F.transform(r.matches(F.col("text"), r.DATE), lambda m: F.struct(m.alias("raw"), parse_date(m).alias("day")))
+    return F.filter(dates, lambda d: F.coalesce(plausible(d["day"], F.lit("BIRTH"), today), F.lit(False)))
+
+
+def _card_shapes(today: date) -> Column:
+    """Readings of a card without its labels: the longest name, the earliest date."""
+    text, folded = F.col("text"), F.col("folded")
+    name = bind(clean_person_name(text), lambda n: _at(
+        r.listed(F.when(n.isNotNull() & ~_is_header(folded) & ~_is_header(n), r.alternative("name", 2, text, n, "UNCERTAIN", extra=r.FALLBACK))),
+        o1=-F.length(n), o2=F.col("line_no"),
+    ))
+    born = F.transform(_birth_dates(today), lambda d: F.get(_at(
+        r.listed(r.alternative("birthDate", 2, d["raw"], iso(d["day"]), "UNCERTAIN", extra=r.FALLBACK)), o1=F.unix_date(d["day"]), o2=F.col("line_no")
+    ), F.lit(0)))
+    return F.concat(name, F.when(~_not_birth(), born).otherwise(F.slice(born, 1, 0)))
 
 
 def cpf_card_alternatives(lines: DataFrame, today: date) -> DataFrame:
-    """The card has its values on the label line or one of the two lines after it."""
+    """The card has its values on the label line or one of the two lines after it.
+
+    Lines and what is asked of them meet as rows of one key, so the lines are read once.
+    """
     card = lines.filter(F.col("document_type") == "BR_CPF_CARD")
     folded, text = F.col("folded"), F.col("text")
     has = lambda labels: F.exists(F.array(*[F.lit(l) for l in labels]), lambda l: F.contains(folded, l))
     fields = F.array_compact(F.array(*[F.when(has(labels), F.lit(path)) for path, labels in spec.CPF_CARD_LABELS.items()]))
-    asked = card.select("doc_id", F.col("line_no").alias("label_line"), F.explode_outer(fields).alias("field")).filter("field IS NOT NULL")
-    asked = asked.withColumn("offset", F.explode_outer(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("line_no", F.col("label_line") + F.col("offset"))
-    near = card.join(asked, ["doc_id", "line_no"])
-    not_birth = F.lit(False)
-    for marker in spec.NOT_BIRTH_MARKERS:
-        not_birth = not_birth | folded.contains(marker)
-
-    def header(value: Column) -> Column:
-        test = F.lit(False)
-        for line in spec.CPF_CARD_HEADERS:
-            test = test | value.contains(line) | F.contains(F.lit(line), value)
-        return test
+    own = F.struct("page", "text", "folded", F.col("confidence").cast("double").alias("confidence"), F.col("bbox").cast("array<double>").alias("bbox"))
+    sent = F.when(F.size("_fields") > 0, F.array(*[F.struct((F.col("line_no") + n).alias("line_no"), F.lit(None).alias("own"), F.struct(F.lit(n).alias("offset"), F.col("_fields").alias("fields")).alias("ask")) for n in range(3)]))
+    kept = F.array(F.struct("line_no", own.alias("own"), F.lit(None).alias("ask")))
+    kind = "array<struct<line_no:bigint,own:struct<page:int,text:string,folded:string,confidence:double,bbox:array<double>>,ask:struct<offset:int,fields:array<string>>>>"
+    rows = card.withColumn("_fields", fields).select(*KEYS, F.explode(F.concat(kept.cast(kind), F.coalesce(sent.cast(kind), F.array().cast(kind)))).alias("m")).select(*KEYS, "m.*")
+    met = rows.groupBy(*KEYS, "line_no").agg(F.max("own").alias("own"), F.collect_set("ask").alias("asks")).filter("own IS NOT NULL AND size(asks) > 0")
+    near = met.select(*KEYS, "line_no", "own.*", F.explode("asks").alias("q")).select("*", "q.offset", F.explode("q.fields").alias("field"))
 
     rest = F.ltrim(F.substr(folded, F.lit(len("NOME") + 1)), F.lit(" :-"))
     bare = F.when(folded.startswith("NOME") & (rest != ""), rest).otherwise(text)
-    name = clean_person_name(bare)
-    dates = F.transform(r.matches(text, r.DATE), lambda m: F.struct(m.alias("raw"), parse_date(m).alias("day")))
-    good_dates = F.filter(dates, lambda d: F.coalesce(plausible(d["day"], F.lit("BIRTH"), today), F.lit(False)))
-    born = F.get(good_dates, F.lit(0))
+    born = F.get(_birth_dates(today), F.lit(0))
     items = (
         F.when(F.col("field") == "cpf", r.near_number("cpf", r.cpf_checked(text)))
-        .when(F.col("field") == "name", bind(name, lambda n: r.listed(F.when(n.isNotNull() & ~header(n), r.alternative("name", 1, F.trim(bare), n)))))
-        .otherwise(bind(born, lambda b: r.listed(F.when(b.isNotNull() & ~not_birth, r.alternative("birthDate", 1, b["raw"], iso(b["day"]), messages=[DATE_VALID])))))
-    )
-    labelled = _shape(near, items, F.col("offset") * 0.05, {"o1": F.col("label_line"), "o2": F.col("offset")})
-    own = clean_person_name(text)
-    longest = bind(own, lambda n: r.listed(F.when(n.isNotNull() & ~header(folded) & ~header(n), r.alternative("name", 2, text, n, "UNCERTAIN", extra=r.FALLBACK))))
-    by_length = _shape(card, longest, 0.0, {"o1": -F.length(own), "o2": F.col("line_no")})
-    numbers = _shape(card, r.anywhere_number("cpf", r.cpf_checked(text), True), 0.0, {"o1": F.col("line_no")})
-    old = card.filter(~not_birth).withColumn("_d", F.explode_outer(good_dates)).filter("_d IS NOT NULL")
-    earliest = _shape(
-        old, r.listed(r.alternative("birthDate", 2, F.col("_d.raw"), iso(F.col("_d.day")), "UNCERTAIN", extra=r.FALLBACK)), 0.0,
-        {"o1": F.unix_date("_d.day"), "o2": F.col("line_no")},
+        .when(F.col("field") == "name", bind(clean_person_name(bare), lambda n: r.listed(F.when(n.isNotNull() & ~_is_header(n), r.alternative("name", 1, F.trim(bare), n)))))
+        .otherwise(bind(born, lambda b: r.listed(F.when(b.isNotNull() & ~_not_birth(), r.alternative("birthDate", 1, b["raw"], iso(b["day"]), messages=[DATE_VALID])))))
     )
-    return labelled.unionByName(by_length).unionByName(numbers).unionByName(earliest)
+    return _shape(near, _at(items), F.col("offset") * 0.05, {"o1": F.col("line_no") - F.col("offset"), "o2": F.col("offset")})
 
 
 # ---------------------------------------------------------------- machine-readable zone
@@ -264,7 +318,7 @@ def zone_alternatives(zones: DataFrame) -> DataFrame:
         .when(valid, r.alternative("mrz", 1, F.col("raw"), value, "VALID", ["MRZ_CHECK_VALID"], 0.0, False))
         .otherwise(r.alternative("mrz", 1, F.col("raw"), value, "INVALID", ["MRZ_CHECK_INVALID"], 0.0, False))
     )
-    return _shape(zones, r.listed(item))
+    return _shape(zones, _at(r.listed(item)))
 
 
 # ---------------------------------------------------------------- prose
@@ -305,10 +359,9 @@ def _collapse(value: Column) -> Column:
     return trim_chars(F.regexp_replace(F.trim(value), r"\s+", " "), " ,;.")
 
 
-def contract_alternatives(lines: DataFrame, today: date) -> DataFrame:
-    """Fields of a company contract, read from its running text."""
-    mine = lines.filter(F.col("document_type") == "BR_SOCIAL_CONTRACT")
-    prose = prose_index(mine, "doc_id").withColumn("plain", fold_chars(F.col("prose")))
+@built_once
+def _contract_readings(today: date) -> Column:
+    """Alternatives in the running text of a contract, with the line that each is reported at."""
     original, plain, starts = F.col("prose"), F.col("plain"), F.col("starts")
     out_of = lambda item: F.substr(original, item["at"] + 1, F.length(item["value"]))
 
@@ -378,11 +431,17 @@ def contract_alternatives(lines: DataFrame, today: date) -> DataFrame:
     numbers = bind(located(original, COMPANY_NUMBER), numbered)
     people = bind(located(original, PARTNER), partners)
     kind = f"array<struct<a:{r.ALTERNATIVE},n:bigint>>"
-    every = F.concat(single.cast(kind), numbers.cast(kind), people.cast(kind))
-    long = prose.select("doc_id", F.posexplode_outer(every).alias("ordinal", "x")).filter("x IS NOT NULL")
+    return F.concat(single.cast(kind), numbers.cast(kind), people.cast(kind))
+
+
+def contract_alternatives(lines: DataFrame, today: date) -> DataFrame:
+    """Fields of a company contract, read from its running text."""
+    mine = lines.filter(F.col("document_type") == "BR_SOCIAL_CONTRACT")
+    prose = prose_index(mine, "doc_id").withColumn("plain", fold_chars(F.col("prose")))
+    long = prose.select("doc_id", F.posexplode_outer(_contract_readings(today)).alias("ordinal", "x")).filter("x IS NOT NULL")
     at = mine.select(*KEYS, "page", "line_no", "confidence", "bbox")
     joined = long.select("doc_id", "ordinal", "x.a", F.col("x.n").alias("line_no")).join(at, ["doc_id", "line_no"])
-    return _shape(joined, F.array("a").cast(f"array<{r.ALTERNATIVE}>"), 0.0, {"o1": F.col("ordinal")})
+    return _shape(joined, _at(F.array("a")), 0.0, {"o1": F.col("ordinal")})
 
 
 # ---------------------------------------------------------------- choice
@@ -400,6 +459,12 @@ def _best(variant: str | None) -> Column:
     return F.min(F.when(mine, value))
 
 
+def leading(alternatives: DataFrame) -> DataFrame:
+    """The best alternative of every field, or variant of one, of a document: a minimum, reduced before it is shuffled."""
+    value = F.struct(*ORDER, *PAYLOAD)
+    return alternatives.groupBy(*KEYS, "path").agg(F.min(value).alias("v")).select(*KEYS, "path", "v.*")
+
+
 def choose(alternatives: DataFrame) -> DataFrame:
     """Best alternative per document and field: one grouped minimum, reduced before it is shuffled."""
     named = alternatives.withColumns({"variant": F.get(F.split("path", "#"), F.lit(1)), "path": F.substring_index("path", "#", 1)})
@@ -450,12 +515,12 @@ def extract_fields(lines: DataFrame, today: date) -> DataFrame:
         F.lit(None).cast("int").alias("page"), F.lit(None).cast("bigint").alias("line_no"), F.lit(None).cast("array<double>").alias("bbox"),
     )
     parts = [
-        label_alternatives(candidates, today), filiation_alternatives(candidates), business_address_alternatives(candidates),
-        line_alternatives(known), cpf_card_alternatives(known, today), zone_alternatives(find_zones(known, today)), contract_alternatives(known, today),
+        label_alternatives(candidates, today), line_alternatives(known, today), cpf_card_alternatives(known, today), zone_alternatives(find_zones(known, today)), contract_alternatives(known, today),
     ]
     every = nothing
     for part in parts:
-        every = every.unionByName(part)
+        # A way of reading is a job of its own that leaves a row per field: smaller plans, and less to repeat after a loss.
+        every = every.unionByName(cut_lineage(leading(part)))
     return _compare_zone(choose(every))
 
 

@@ -39,6 +39,10 @@ WITNESSES = 28
 #: Largest block, or part of one, that a task holds at once.
 CHUNK = 4096
 LEAF = 64
+#: Bits that tell a scan which rows are wanted, a power of two (8 MB for the driver and each task), and bits in a row of them.
+BITS, BUCKET = 1 << 26, 32768
+#: Stands for a null id where rows are told apart.
+NO_ID = -1
 #: Names that a task remembers to leave out repeats early.
 REMEMBERED = 500_000
 _U = np.uint64
@@ -175,14 +179,33 @@ def count_vector(tokens: np.ndarray) -> np.ndarray:
     return np.bincount((tokens >> _U(65 - groups.bit_length())).astype(np.int64), minlength=groups).astype(np.uint16)
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, sets in _sets(batches):
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([count_vector(s).tobytes() for s in sets], pa.binary())], ["node", "counts"])
+def row_bits(wanted: DataFrame) -> np.ndarray:
+    """Bits of the rows (node, first) that a scan is to hand on: BITS of them, whatever the number of rows.
 
+    The more rows there are, the more others pass; joins by node leave them out.
+    """
+    place = F.col("node").bitwiseXOR(F.coalesce("first", F.lit(NO_ID))).bitwiseAND(BITS - 1)
+    packed = wanted.select(place.alias("p")).groupBy(F.floor(F.col("p") / BUCKET).alias("bucket")).agg(F.bitmap_construct_agg(F.col("p") % BUCKET).alias("bits"))
+    bits = np.zeros(BITS // 8, np.uint8)
+    for row in packed.collect():
+        at = row.bucket * BUCKET // 8
+        bits[at : at + BUCKET // 8] = np.frombuffer(row.bits, np.uint8)
+    return bits
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, sets in _sets(batches):
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "tokens"])
+
+def _rows_of(bits: np.ndarray, make, name: str):
+    """From texts to (node, what ``make`` makes of a set), for rows whose bit is set."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _sets(batches):
+            ids = batch.column("doc_id").fill_null(NO_ID).to_numpy()
+            nodes = np.array([_identity(s)[0] for s in sets], _U).view(np.int64)
+            places = (nodes ^ ids) & (BITS - 1)
+            asked = np.flatnonzero((bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1)
+            made = [make(sets[i]).tobytes() for i in asked.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[asked]), pa.array(made, pa.binary())], ["node", name])
+
+    return work
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,10 +423,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     Links and sets are as in the module's text. A text that is null, empty or without words has no shingles
     and is linked with nothing: component_id is its own id. Repeated rows and equal texts share a component,
-    the smallest id in it names it. Other columns are ignored; an empty table gives an empty one.
+    the smallest id in it names it. Sets are told apart by their contents, so an id may stand on several texts, each
+    in its own component, and a text of null ids alone links others but names nothing: a component without any id
+    has a null one. Texts are whole, however long. Other columns are ignored; an empty table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = scratch.keep(docs.mapInArrow(_classes, "doc_id long, n long, node long, twin long"), "classes")
     classes = named.filter("n > 0").groupBy("node", "twin", "n").agg(F.min("doc_id").alias("first"))
 
@@ -411,17 +436,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     blocks = keys.mapInArrow(_blocks, "block long, part int, node long").dropDuplicates(["block", "part", "node"])
     blocks = scratch.keep(blocks, "blocks")
 
-    members = scratch.keep(blocks.select("node").distinct().join(classes, "node").select("node", F.col("first").alias("doc_id")), "members")
+    members = scratch.keep(blocks.select("node").distinct().join(classes, "node").select("node", "first"), "members")
 
-    def texts(of: DataFrame) -> DataFrame:
-        return of.join(docs, "doc_id").dropDuplicates(["node"]).select("node", "text")
+    def made(wanted: DataFrame, make, column: str, name: str) -> DataFrame:
+        """(node, column) of the wanted classes, in a scan of the documents: texts stay where they are read."""
+        rows = scratch.keep(docs.mapInArrow(_rows_of(row_bits(wanted), make, column), f"node long, {column} binary"), name)
+        return rows.groupBy("node").agg(F.first(column).alias(column))
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """Pairs that whole sets confirm; only sets of nodes in pairs are made."""
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        return verify(pairs, scratch.keep(texts(members.join(ends, "node")).mapInArrow(_tokens, "node long, tokens binary"), name))
+        return verify(pairs, made(members.join(ends, "node"), lambda tokens: tokens, "tokens", name))
 
-    counts = scratch.keep(texts(members).mapInArrow(_vectors, "node long, counts binary"), "counts")
+    counts = made(members, count_vector, "counts", "counts")
     apart = docs.sparkSession.createDataFrame([], "node long, component long")
     # First the likeliest partner of every member of a block, which joins up what belongs together; then all the rest.
     near = scratch.keep(tree_join(blocks, counts, apart, nearest=True), "near")

@@ -465,3 +465,14 @@ def test_stages_keep_odd_rows_going(spark, odd, empty):
             out = stage(spark, rows, ROOT)
             assert name == "byte_bpe" or out.columns == list(corpus_pipeline.COLUMNS)
             assert out.count() >= 0
+
+
+def test_jaccard_of_shared_and_null_ids(spark):
+    rnd = random.Random(12)
+    a, b = speech(rnd, 80), speech(rnd, 80)
+    near_a, near_b = a[:75] + speech(rnd, 5), b[:75] + speech(rnd, 5)
+    c, near_c = speech(rnd, 90), None
+    near_c = c[:86] + speech(rnd, 4)
+    rows = [(1, a), (1, b), (2, near_a), (3, near_b), (None, c), (7, near_c), (None, speech(rnd, 30)), (1, a)]
+    got = jaccard_components(spark.createDataFrame(rows_of([(i, " ".join(t)) for i, t in rows]), SCHEMA)).collect()
+    assert sorted([(r.doc_id if r.doc_id is not None else -1, r.component_id if r.component_id is not None else -1) for r in got]) == [(-1, -1), (-1, 7), (1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (7, 7)]

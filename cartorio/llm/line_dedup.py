@@ -61,7 +61,8 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def line_table(docs: DataFrame) -> DataFrame:
     """(d, x, at, words, high, low): lines with a word, numbered from 0 in their document, and their 128-bit digests."""
-    return _keyed(docs.select("doc_id", "text")).select("d", "x", "text").dropDuplicates(_KEY).mapInArrow(_lines, "d long, x long, at int, words int, high long, low long")
+    lines = _keyed(docs.select("doc_id", "text")).select("d", "x", "text").mapInArrow(_lines, "d long, x long, at int, words int, high long, low long")
+    return lines.dropDuplicates([*_KEY, "at"])  # rows of one id and text count once; texts stay where they are read
 
 
 def _ranked(rows: DataFrame, by: list[str], scratch: Scratch, name: str) -> DataFrame:

@@ -201,7 +201,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """Records of the files in ``manifest``: page_id, payload_bytes, payload_digest, record_type, refers_to, intact, path.
 
     Sizes and digests of responses are those of the payload read; a revisit names its own. ``intact`` is false
-    where a digest, a length or the end mark is wrong.
+    where a digest, a length or the end mark is wrong. Files are read in tasks of their own; an empty manifest gives no rows.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,4 +217,5 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, RECORD_ARROW)
 
-    return manifest.select("path").repartition("path").mapInArrow(read, RECORD)
+    # A file for each task: paths are few bytes, and would be put together otherwise.
+    return manifest.select("path").repartition(max(1, manifest.count())).mapInArrow(read, RECORD)

@@ -45,7 +45,7 @@ MIN_WORDS, MAX_REPEAT = 50, 50
 
 def behind(df: DataFrame, names: list[str], columns: list[Column]) -> DataFrame:
     """``names`` and ``columns`` worked out once a row: a filter or projection above a generator can't be merged into them."""
-    return df.select(*[df[c] for c in names], F.inline(F.array(F.struct(*columns))))
+    return df.select(*[df[f"`{c}`"] for c in names], F.inline(F.array(F.struct(*columns))))
 
 
 def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -53,43 +53,47 @@ def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
 
     n_words, word_chars, n_symbols, n_stop_words, n_lines (lines with a word), n_dup_lines (equal to an earlier
     one) and n_repeat_words (words in 3-word windows that occur twice or more). Null counts as empty: all 0.
-    Input columns of these names are replaced. Windows are compared by 64-bit hashes less the bits of a position.
+    Input columns of these names are replaced, all others are kept, whatever their names. Windows are compared by
+    64-bit hashes.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words"]
     kept = [c for c in docs.columns if c not in made]
-    body = F.coalesce(F.col(text), F.lit(""))
+    free = "_"  # begins no name of the row, so that names made here meet no others
+    while any(c.lower().startswith(free) for c in docs.columns):
+        free += "_"
+    text_, words_, lines_, windows_ = (free + n for n in ("text", "words", "lines", "windows"))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     bare = F.btrim(body, F.lit(BLANKS))
     words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[\\x20\\x09-\\x0D]+"))
     lines = F.filter(F.split(body, "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
     # What a lambda reads must be a value of the row below: merged into the lambda, it would be worked out for every element.
-    first = behind(docs, kept, [body.alias("_text"), words.alias("_words"), lines.alias("_lines")])
-    n = F.size("_words")
-    windows = F.when(n < 3, F.array().cast("array<bigint>")).otherwise(
+    first = behind(docs, kept, [body.alias(text_), words.alias(words_), lines.alias(lines_)])
+    n = F.size(words_)
+    windows = F.when(n < 3, F.array().cast("array<struct<h:bigint,i:int>>")).otherwise(
         F.transform(
             F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))),
-            lambda i: F.call_function("shiftleft", F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)), F.length(F.bin(n))).bitwiseOR(i.cast("long")),
+            lambda i: F.struct(F.xxhash64(F.get(words_, i), F.get(words_, i + 1), F.get(words_, i + 2)).alias("h"), i.alias("i")),
         )
     )
     counts = [
         n.cast("long").alias("n_words"),
-        F.length(F.translate("_text", BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.size(F.filter("_words", lambda w: w.isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.length(F.bin(n)).alias("_bits"),
-        F.sort_array(windows).alias("_windows"),
+        F.length(F.translate(text_, BLANKS, "")).cast("long").alias("word_chars"),
+        (F.length(text_) - F.length(F.translate(text_, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.size(F.filter(words_, lambda w: w.isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.size(lines_).cast("long").alias("n_lines"),
+        (F.size(lines_) - F.size(F.array_distinct(lines_))).cast("long").alias("n_dup_lines"),
+        F.sort_array(windows).alias(windows_),
     ]
     second = behind(first, kept, counts)
 
     def same(a: Column, b: Column) -> Column:
-        return F.call_function("shiftrightunsigned", a, F.col("_bits")) == F.call_function("shiftrightunsigned", b, F.col("_bits"))
+        return a["h"] == b["h"]
 
     again = F.filter(
-        "_windows",
-        lambda x, i: F.coalesce(same(x, F.get("_windows", i - 1)), F.lit(False)) | F.coalesce(same(x, F.get("_windows", i + 1)), F.lit(False)),
+        windows_,
+        lambda x, i: F.coalesce(same(x, F.get(windows_, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(windows_, i + 1)), F.lit(False)),
     )
-    starts = F.sort_array(F.transform(again, lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bits")) - 1)))
+    starts = F.sort_array(F.transform(again, lambda x: x["i"].cast("long")))
     covered = F.aggregate(
         starts,
         F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n")),
@@ -116,7 +120,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
     every = F.lit(True)
     for rule in rules:
         every = every & passes(rule)
-    rest = [c for c in measured.columns if c not in ("base_failed", "failed_rules", "kept")]
+    rest = [f"`{c}`" for c in measured.columns if c not in ("base_failed", "failed_rules", "kept")]
     return measured.select(*rest, base.alias("base_failed"), failed.alias("failed_rules"), (~base & every).alias("kept"))
 
 

@@ -476,3 +476,50 @@ def test_jaccard_of_shared_and_null_ids(spark):
     rows = [(1, a), (1, b), (2, near_a), (3, near_b), (None, c), (7, near_c), (None, speech(rnd, 30)), (1, a)]
     got = jaccard_components(spark.createDataFrame(rows_of([(i, " ".join(t)) for i, t in rows]), SCHEMA)).collect()
     assert sorted([(r.doc_id if r.doc_id is not None else -1, r.component_id if r.component_id is not None else -1) for r in got]) == [(-1, -1), (-1, 7), (1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (7, 7)]
+
+
+def test_quality_with_clashing_names(spark):
+    clashing = ["_text", "_words", "_lines", "_bits", "_windows", "_row", "_source", "n_words", "kept", "a.b"]
+    docs = spark.createDataFrame([(1, "one two three one two three " * 20, *clashing), (2, None, *clashing)], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in clashing))
+    rows = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert rows[1].n_words == 120 and rows[1].n_repeat_words == 120 and rows[2].n_words == 0 and rows[1]._windows == "_windows" and rows[1]["a.b"] == "a.b"
+
+
+def test_language_model_base_columns(spark):
+    rnd = random.Random(21)
+    texts = {i: " ".join(speech(rnd, rnd.randint(0, 30))) + (" Odd" if i % 7 == 0 else "") for i in range(60)}
+    docs = spark.createDataFrame(rows_of(texts.items()), SCHEMA).select("doc_id", "text", ngram_lm.held_out(F.col("doc_id")).alias("held_out"))
+    import tempfile
+
+    model = ngram_lm.train(docs.filter("NOT held_out"), tempfile.mkdtemp(prefix="spark-"))
+    got = {r.doc_id: r for r in ngram_lm.score_texts(docs, model, ("doc_id", "held_out")).collect()}
+    out = {i for i in texts if zlib.crc32(str(i).encode()) % 5 == 1}
+    counts = __import__("collections").Counter(w for i, t in texts.items() if i not in out for w in [*plain.words(t), None])
+    total = sum(counts.values())
+    assert model.tokens == total and {i for i, r in got.items() if r.held_out} == out
+    for i, t in texts.items():
+        tokens = [*plain.words(t), None]
+        base = sum(np.log10((counts[w] + 0.5) / (total + 0.5 * (len(counts) + 1))) for w in tokens)
+        assert got[i].n_tokens == len(tokens) and got[i].n_known == sum(counts[w] > 0 for w in tokens) and abs(got[i].base_score - base) < 1e-6
+
+
+def test_warc_digests_of_random_pages(spark):
+    import tempfile
+
+    rnd = random.Random(31)
+    bodies = ["", "<p>é漢</p>", *("".join(rnd.choice("ab<>é ") for _ in range(rnd.randint(1, 400))) for _ in range(20))]
+    pages = [(i, f"http://h{i % 3}.example/{i}", rnd.choice([*bodies, None])) for i in range(90)]
+    folder = tempfile.mkdtemp(prefix="spark-")
+    manifest = warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), folder, roll_bytes=2000)
+    found = warc.read_archives(manifest, folder)
+    assert found.rdd.getNumPartitions() >= manifest.count() > 3
+    last = {}
+    for i, _, html in pages:
+        last[html or ""] = i
+    for r in found.collect():
+        body = (pages[r.page_id][2] or "").encode()
+        assert r.payload_bytes == len(body) and r.payload_digest == base64.b32encode(hashlib.sha1(body).digest()).decode() and r.intact
+        first = last[body.decode()] == r.page_id
+        assert (r.record_type, r.refers_to) == (("response", None) if first else ("revisit", last[body.decode()]))
+    none = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), folder + "/none")
+    assert warc.read_archives(none, folder + "/none").count() == 0

@@ -33,9 +33,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones, that with the smallest id. Rows without an id stay."""
+    """One document of each group of linked ones, that with the smallest id.
+
+    Of equal rows one stays; an id that stands on different texts keeps one row of each. Rows without an id stay.
+    """
     first = jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.select(*COLUMNS).filter("doc_id IS NOT NULL").join(first, "doc_id", "left_semi")
+    # The rows of an id are together after the join, so leaving out repeats needs no further exchange.
+    named = docs.select(*COLUMNS).filter("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.select(*COLUMNS).filter("doc_id IS NULL"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ from cartorio.functions.folding import compact_of, fold
 from cartorio.gallery.base import query
 from cartorio.gallery.texts import SEARCH
 from cartorio.sources.lines import rebuild_blocks
+from cartorio.session import shared_folder
+from cartorio.streaming import incremental
 from cartorio.streaming.states import depth_per_minute as per_minute
 
 
@@ -64,3 +67,22 @@ def capture_read(t):
     return rebuild_blocks(broken).groupBy("doc_id", "input").agg(F.count(F.lit(1)).alias("blocks"))
 
 
+
+
+@query(
+    "published_fields",
+    "WITH a AS (SELECT user_id AS doc_id, CAST(event_id % 5 AS INTEGER) AS attempt, event_id % 3 AS batch, event_id, event_type FROM events), "
+    "n AS (SELECT doc_id, max(attempt * 10 + batch) AS last FROM a GROUP BY 1) "
+    "SELECT doc_id, attempt, concat('field-', event_id) AS path, event_type AS normalized FROM a JOIN n USING (doc_id) WHERE attempt * 10 + batch = last AND event_type <> 'click'",
+)
+def published_fields(t):
+    """Attempts at documents stored in three batches, one of them twice, with a snapshot in between; what counts in the end."""
+    folder = f"{shared_folder(t.spark)}/published-{uuid.uuid4().hex}"
+    rows = t.events.select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 5).cast("int").alias("attempt"), F.concat(F.lit("field-"), "event_id").alias("path"), F.col("event_type").alias("normalized"), (F.col("event_id") % 3).alias("batch"))
+    for batch in (0, 0, 1, 2):
+        mine = rows.filter(F.col("batch") == batch).drop("batch")
+        attempts = mine.groupBy("doc_id", "attempt").agg(F.min("normalized").alias("document_type"))
+        incremental.publish(mine.filter("normalized <> 'click'"), attempts, batch, folder)
+        if batch == 1:
+            incremental.compact(t.spark, folder)
+    return incremental.published(t.spark, folder).select("doc_id", "attempt", "path", "normalized")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartorio.functions.expressions import first_case
@@ -147,49 +147,87 @@ def duplicate_groups(digested: DataFrame, key: str = "doc_id") -> DataFrame:
     return groups.filter(F.col("copies") > 1)
 
 
+#: A key's uploads are looked through in this many parts of its life time, so that no key is sorted as a whole.
+PARTS_OF_LIFE = 96
+
+
+def _micros(moment: Column) -> Column:
+    """Microseconds of the calendar, so that no time zone has a say."""
+    minutes = (F.unix_date(F.to_date(moment)) * 24 + F.hour(moment)) * 60 + F.minute(moment)
+    return minutes.cast("long") * 60_000_000 + (F.extract(F.lit("SECOND"), moment) * 1_000_000).cast("long")
+
+
+def _next_openings(nodes: DataFrame, life: int) -> DataFrame:
+    """(key, node, next): the first upload of the key at or after a node's time and its life.
+
+    ``nodes``: key, at (microseconds), node (struct that begins with at). The answer is in the part of time that the end of
+    the life falls into, or is the first upload of the next part that has any.
+    """
+    width = max(life // PARTS_OF_LIFE, 1)
+    part = lambda at: F.floor(at / width)
+    none = F.lit(None).cast(nodes.schema["node"].dataType)
+    there = nodes.select("key", part(F.col("at")).alias("part"), "at", F.col("node").alias("upload"), none.alias("asks"))
+    ends = nodes.select("key", part(F.col("at") + life).alias("part"), (F.col("at") + life).alias("at"), none.alias("upload"), F.col("node").alias("asks"))
+    # From the latest on, all uploads so far are at or after a row.
+    later = Window.partitionBy("key", "part").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    asked = there.unionByName(ends).withColumn("found", F.min("upload").over(later)).filter("asks IS NOT NULL").select("key", "part", "asks", "found")
+    asked = cut_lineage(asked)
+    firsts = there.groupBy("key", "part").agg(F.min("upload").alias("first"))
+    open_parts = asked.filter("found IS NULL").select("key", "part").distinct().withColumn("first", none)
+    onward = Window.partitionBy("key").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    marked = firsts.unionByName(open_parts).groupBy("key", "part").agg(F.max("first").alias("first"))
+    after = marked.select("key", "part", F.min("first").over(onward).alias("after"))
+    placed = asked.join(after, ["key", "part"], "left")
+    return placed.select("key", F.col("asks").alias("node"), F.coalesce("found", "after").alias("next")).filter("next IS NOT NULL")
+
+
 def replay_guard(uploads: DataFrame, ttl_hours: int = 24, live: DataFrame | None = None) -> DataFrame:
     """NEW, REPLAY or CONFLICT per upload with an idempotency key, and the upload it is answered from.
 
     A key is live for the whole time after the upload that opened it; a later upload under a live
     key replays it (same digest) or conflicts (other digest); under an expired key it opens a new
-    record. The log is worked off in slices as long as the life time: a slice holds at most one
-    opening per key, so each slice is one partial aggregate and two joins with one row per key, and
-    no key is ever gathered. A daily run with yesterday's ``live`` records takes one or two slices.
+    record. Every upload points to the one that would open the key after it, had it opened it itself. The
+    openings are what can be reached from a key's first upload; pointers to the 2nd, 4th, 8th ... opening find them in
+    as many rounds as their number has digits in base two, however long the log is. Openings are a life apart, so each
+    upload is answered by the one of its own slice of time or of the slice before, by equality joins.
 
     Columns read: key, upload_id, digest, uploaded_at. ``live``: key, opened_at, opened_by, opened_digest.
+    Uploads without a key are left out; repeated rows are answered alike.
     """
-    ttl = F.make_dt_interval(hours=F.lit(ttl_hours))
+    life = ttl_hours * 3_600_000_000
     keyed = uploads.filter(F.col("key").isNotNull())
-    # Hours of the calendar, so that no time zone has a say in where a slice ends.
-    slice_of = F.floor((F.unix_date(F.to_date("uploaded_at")) * 24 + F.hour("uploaded_at")) / ttl_hours)
-    bounds = keyed.agg(F.min(slice_of).alias("low"), F.max(slice_of).alias("high")).first()
-    record = "key string, opened_at timestamp_ntz, opened_by {}, opened_digest string".format(
-        uploads.schema["upload_id"].dataType.simpleString()
-    )
-    state = live if live is not None else uploads.sparkSession.createDataFrame([], record)
-    newest = F.max(F.struct("opened_at", "opened_by", "opened_digest")).alias("o")
-    verdicts = None
-    for number in range(bounds["low"], bounds["high"] + 1) if bounds["low"] is not None else ():
-        part = keyed.filter(slice_of == number).join(state, "key", "left")
-        free = part.filter(F.col("opened_at").isNull() | (F.col("uploaded_at") >= F.col("opened_at") + ttl))
-        first = F.min(F.struct("uploaded_at", "upload_id", "digest")).alias("o")
-        opened = free.groupBy("key").agg(first).select(
-            "key",
-            F.col("o.uploaded_at").alias("opened_at"),
-            F.col("o.upload_id").alias("opened_by"),
-            F.col("o.digest").alias("opened_digest"),
-        )
-        opened = cut_lineage(opened)
-        fresh = opened.withColumnsRenamed({"opened_at": "_at", "opened_by": "_by", "opened_digest": "_digest"})
-        judged = part.join(fresh, "key", "left").withColumn(
-            "_new", F.col("_at").isNotNull() & (F.struct("uploaded_at", "upload_id") >= F.struct(F.col("_at"), F.col("_by")))
-        )
-        answered = F.when(F.col("_new"), F.col("_by")).otherwise(F.col("opened_by"))
-        digest = F.when(F.col("_new"), F.col("_digest")).otherwise(F.col("opened_digest"))
-        outcome = F.when(answered == F.col("upload_id"), "NEW").when(digest == F.col("digest"), "REPLAY").otherwise("CONFLICT")
-        rows = judged.select(*uploads.columns, outcome.alias("outcome"), answered.alias("answered_by"))
-        verdicts = rows if verdicts is None else verdicts.unionByName(rows)
-        state = state.unionByName(opened).groupBy("key").agg(newest).select("key", "o.*")
-    if verdicts is None:
-        return keyed.withColumns({"outcome": F.lit(None).cast("string"), "answered_by": F.lit(None).cast(uploads.schema["upload_id"].dataType)})
-    return verdicts
+    at = _micros(F.col("uploaded_at"))
+    node = F.struct(at.alias("at"), F.col("upload_id").alias("by"), F.col("digest").alias("digest"))
+    nodes = keyed.select("key", at.alias("at"), node.alias("node")).distinct()
+    if live is not None:
+        old = live.select("key", F.struct(_micros(F.col("opened_at")).alias("at"), F.col("opened_by").alias("by"), F.col("opened_digest").alias("digest")).alias("live"))
+        old = old.groupBy("key").agg(F.max("live").alias("live"))
+        nodes = nodes.join(old, "key", "left")
+    else:
+        nodes = nodes.withColumn("live", F.lit(None).cast(nodes.schema["node"].dataType))
+    nodes = cut_lineage(nodes)
+    span = nodes.agg(F.min("at").alias("low"), F.max("at").alias("high")).first()
+    rounds = ((span["high"] - span["low"]) // life).bit_length() if span["low"] is not None else 0
+
+    free = nodes.filter(F.col("live").isNull() | (F.col("at") >= F.col("live.at") + life))
+    opened = cut_lineage(free.groupBy("key").agg(F.min("node").alias("node")))
+    jumps = cut_lineage(_next_openings(free.select("key", "at", "node"), life)) if rounds else None
+    for turn in range(rounds):
+        reached = opened.join(jumps, ["key", "node"]).select("key", F.col("next").alias("node"))
+        opened = cut_lineage(opened.unionByName(reached))
+        if turn + 1 < rounds:
+            ahead = jumps.select("key", F.col("node").alias("next"), F.col("next").alias("further"))
+            jumps = cut_lineage(jumps.join(ahead, ["key", "next"]).select("key", "node", F.col("further").alias("next")))
+
+    slice_of = lambda moment: F.floor(moment / life)
+    records = opened.unionByName(nodes.filter("live IS NOT NULL").select("key", F.col("live").alias("node")).distinct())
+    records = records.withColumn("_slice", slice_of(F.col("node.at")))
+    # A slice of time is as long as a life, so it has one opening of a key, and a live record before it at most.
+    own = records.groupBy("key", "_slice").agg(F.max("node").alias("_late"), F.min("node").alias("_early"))
+    before = own.select("key", (F.col("_slice") + 1).alias("_slice"), F.col("_late").alias("_before"))
+    asked = keyed.withColumns({"_node": node, "_slice": slice_of(at)}).join(own, ["key", "_slice"], "left").join(before, ["key", "_slice"], "left")
+    place = lambda record: F.struct(record["at"], record["by"])
+    holds = lambda record: F.when(record.isNotNull() & (place(record) <= place(F.col("_node"))), record)
+    record = F.coalesce(*[holds(F.col(c)) for c in ("_late", "_early", "_before")])
+    outcome = F.when(F.col("_r.by") == F.col("upload_id"), "NEW").when(F.col("_r.digest") == F.col("digest"), "REPLAY").otherwise("CONFLICT")
+    return asked.withColumn("_r", record).select(*uploads.columns, outcome.alias("outcome"), F.col("_r.by").alias("answered_by"))

@@ -18,6 +18,10 @@ def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
 
 
+def _micros(moment: datetime) -> int:
+    return int(pd.Timestamp(moment).value // 1000)
+
+
 def _millis(moment: datetime) -> int:
     return int(pd.Timestamp(moment).value // 1_000_000)
 
@@ -28,38 +32,50 @@ def _sorted(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame | No
 
 
 class ReplayGuard(StatefulProcessor):
-    """One record per key: who opened it, when, with which digest. Twin: ``intake.replay_guard``."""
+    """One record per key: who opened it, when, with which digest. A timer at the end of its life clears it, so
+    state holds live keys only. Twin: ``intake.replay_guard``."""
 
     def __init__(self, ttl_hours: int = 24):
         self.ttl = pd.Timedelta(hours=ttl_hours)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.record = handle.getValueState("record", "opened_at timestamp, opened_by bigint, digest string")
+        self.handle = handle
+        self.record = handle.getValueState("record", "opened_at timestamp, opened_by bigint, digest string, timer bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         batch = _sorted(rows, ["uploaded_at", "upload_id"])
         if batch is None:
             return
-        live = self.record.get() if self.record.exists() else None
+        known = self.record.get() if self.record.exists() else None
+        live = known
         out = []
         for row in batch.itertuples():
             if live is None or row.uploaded_at >= pd.Timestamp(live[0]).tz_localize(None) + self.ttl:
-                live = (row.uploaded_at.to_pydatetime(), int(row.upload_id), row.digest)
+                live = (row.uploaded_at.to_pydatetime(), int(row.upload_id), row.digest, -(-_micros(row.uploaded_at + self.ttl) // 1000))
                 outcome = "NEW"
             else:
                 outcome = "REPLAY" if row.digest == live[2] else "CONFLICT"
             out.append((int(row.upload_id), outcome, live[1]))
-        self.record.update(live)
+        if live is not known:
+            if known is not None:
+                self.handle.deleteTimer(known[3])
+            self.handle.registerTimer(live[3])
+            self.record.update(live)
         yield pd.DataFrame(out, columns=["upload_id", "outcome", "answered_by"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.record.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def replay_stream(uploads: DataFrame, ttl_hours: int = 24) -> DataFrame:
-    """Columns read: key, upload_id, digest, uploaded_at (timestamp). Uploads of a key must arrive in time order."""
-    return uploads.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=ReplayGuard(ttl_hours), outputStructType="upload_id bigint, outcome string, answered_by bigint", outputMode="Append", timeMode="None"
+def replay_stream(uploads: DataFrame, ttl_hours: int = 24, delay: str = "1 hour") -> DataFrame:
+    """Columns read: key, upload_id, digest, uploaded_at (timestamp). Uploads of a key must arrive in time order, ``delay`` late at most."""
+    keyed = uploads.filter("key IS NOT NULL").withWatermark("uploaded_at", delay)
+    return keyed.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=ReplayGuard(ttl_hours), outputStructType="upload_id bigint, outcome string, answered_by bigint", outputMode="Append", timeMode="EventTime"
     )
 
 

@@ -116,7 +116,71 @@ def test_incremental_processing_equals_batch_and_replaces(spark):
     incremental.run_incremental(spark, source, target, checkpoint, rules, date(2024, 6, 1))
     first = {(r["doc_id"], r["path"]): (r["status"], r["normalized"]) for r in incremental.published(spark, target).collect()}
     assert first[(1, "cpf")] == ("VALID", "52998224725") and first[(2, "cpf")] == ("INVALID", None) and first[(1, "birthDate")] == ("VALID", "1985-03-14")
+    # Two attempts in one batch, of which the last one counts, and a last attempt that is of no known class.
     arrive("c", 2, 2, card("ANA SOUZA", "111.444.777-35"))
+    arrive("d", 2, 3, card("ANA LIMA", "529.982.247-25"))
+    arrive("e", 1, 2, [{"page": 1, "imageWidth": 9, "imageHeight": 9, "durationMs": 5, "blocks": [{"text": "nada", "confidence": 0.9, "boundingBox": [0, 0, 9, 0, 9, 9, 0, 9]}]}])
     incremental.run_incremental(spark, source, target, checkpoint, rules, date(2024, 6, 1))
+    stored = spark.read.parquet(f"{target}/fields").filter("doc_id = 2 AND path IN ('cpf', 'name')").select("attempt", "path", "normalized").collect()
+    assert sorted(tuple(r) for r in stored) == [(1, "cpf", None), (1, "name", "ANA SOUZA"), (2, "cpf", "11144477735"), (2, "name", "ANA SOUZA"), (3, "cpf", "52998224725"), (3, "name", "ANA LIMA")]
     again = {(r["doc_id"], r["path"]): (r["status"], r["normalized"]) for r in incremental.published(spark, target).collect()}
-    assert again[(2, "cpf")] == ("VALID", "11144477735") and again[(1, "name")] == first[(1, "name")] and len(again) == len(first)
+    assert again[(2, "cpf")] == ("VALID", "52998224725") and not any(doc == 1 for doc, _ in again)
+    attempts = {(r["doc_id"], r["attempt"]): r["document_type"] for r in incremental.current_attempts(spark, target).collect()}
+    assert attempts == {(1, 2): "UNKNOWN", (2, 3): "BR_CPF_CARD"}
+
+
+def test_store_replaces_batches_and_compacts(spark):
+    target = tempfile.mkdtemp(prefix="spark-")
+
+    def batch(number, rows):
+        fields = spark.createDataFrame([(d, a, "p", v) for d, a, v in rows if v is not None], "doc_id long, attempt int, path string, normalized string")
+        attempts = spark.createDataFrame([(d, a, "T" if v else "UNKNOWN") for d, a, v in rows], "doc_id long, attempt int, document_type string")
+        incremental.publish(fields, attempts, number, target)
+
+    def state():
+        return sorted((r["doc_id"], r["attempt"], r["normalized"]) for r in incremental.published(spark, target).collect())
+
+    batch(0, [(1, 1, "a"), (2, 1, "b"), (3, 1, "c")])
+    batch(1, [(1, 2, "d"), (2, 2, None)])
+    batch(1, [(1, 2, "e"), (2, 2, None)])  # the same batch again
+    assert state() == [(1, 2, "e"), (3, 1, "c")]
+    assert incremental.compact(spark, target) == 1 and state() == [(1, 2, "e"), (3, 1, "c")]
+    batch(2, [(3, 1, "again"), (2, 3, "f")])  # an attempt told twice: the later batch counts
+    batch(3, [(1, 3, None)])
+    assert state() == [(2, 3, "f"), (3, 1, "again")]
+    assert incremental.compact(spark, target) == 3 and incremental.compact(spark, target) == 3 and state() == [(2, 3, "f"), (3, 1, "again")]
+
+
+def test_replay_guard_over_long_logs(spark):
+    """Openings of keys with gaps, ties and live records, against a walk through the log; as many jobs for ten years as for ten days, but for the rounds."""
+    import random
+
+    rnd = random.Random(3)
+    rows = [(rnd.choice("abcd"), n, rnd.choice("xy"), START + timedelta(hours=rnd.choice([rnd.randint(0, 90), rnd.randint(0, 9000), 24 * rnd.randint(0, 9)]))) for n in range(400)]
+    live = [("a", START - timedelta(hours=20), -1, "x"), ("c", START - timedelta(hours=30), -2, "y")]
+    schema = "key string, upload_id bigint, digest string, uploaded_at timestamp_ntz"
+    held, want = {k: (at, by, digest) for k, at, by, digest in live}, {}
+    for key, n, digest, at in sorted(rows, key=lambda r: (r[3], r[1])):
+        record = held.get(key)
+        if record is None or at >= record[0] + timedelta(hours=24):
+            held[key] = record = (at, n, digest)
+        want[n] = ("NEW" if record[1] == n else "REPLAY" if record[2] == digest else "CONFLICT", record[1])
+    uploads = spark.createDataFrame(rows, schema)
+    old = spark.createDataFrame(live, "key string, opened_at timestamp_ntz, opened_by bigint, opened_digest string")
+    assert {r["upload_id"]: (r["outcome"], r["answered_by"]) for r in intake.replay_guard(uploads, live=old).collect()} == want
+    assert intake.replay_guard(uploads.limit(0)).count() == 0
+
+
+def test_replay_state_is_cleared_after_its_life(spark):
+    folder, checkpoint = tempfile.mkdtemp(prefix="spark-"), tempfile.mkdtemp(prefix="spark-")
+    schema = "key string, upload_id bigint, digest string, uploaded_at timestamp"
+    rows = [("a", 1, "x", START), ("b", 2, "x", START + timedelta(hours=30)), ("c", 3, "x", START + timedelta(hours=80)), ("c", 4, "x", START + timedelta(hours=81))]
+    states.use_rocksdb(spark)
+    for number, row in enumerate(rows):
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").json(f"{folder}/part={number:03d}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{folder}/part=*")
+    query = states.replay_stream(stream).writeStream.format("memory").queryName("cleared").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    left = spark.read.format("statestore").option("stateVarName", "record").load(checkpoint)
+    assert [r["key"]["key"] for r in left.select("key").collect()] == ["c"]
+    assert sorted(tuple(r) for r in spark.table("cleared").collect()) == [(1, "NEW", 1), (2, "NEW", 2), (3, "NEW", 3), (4, "REPLAY", 3)]

@@ -40,14 +40,15 @@ def fuzzy_sql_function(t):
 
 @query(
     "offsets_udtf",
-    "SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z]+tion')) AS BIGINT) AS matches FROM documents WHERE regexp_matches(text, '[A-Za-z]+tion')",
+    "SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z]+tion')) AS BIGINT) AS matches, md5(array_to_string(regexp_extract_all(text, '[A-Za-z]+tion'), ' ')) AS digest FROM documents WHERE regexp_matches(text, '[A-Za-z]+tion')",
 )
 def offsets_udtf(t):
-    """Matches with offsets as a table function, checked against the text they point into."""
+    """Matches with offsets as a SQL table function: what stands at the offsets is what was matched, in order."""
     offsets.register_sql(t.spark)
     t.documents.createOrReplaceTempView("offset_documents")
-    found = t.spark.sql("SELECT d.doc_id, m.value, substring(d.text, m.start + 1, m.finish - m.start) AS again FROM offset_documents d, LATERAL regex_offsets(d.text, '[A-Za-z]+tion') m")
-    return found.groupBy("doc_id").agg(F.count_if(F.col("value") == F.col("again")).alias("matches"))
+    found = t.spark.sql("SELECT d.doc_id, m.start, substring(d.text, m.start + 1, m.finish - m.start) AS again FROM offset_documents d, LATERAL regex_offsets(d.text, '[A-Za-z]+tion') m")
+    in_order = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "again"))), lambda m: m["again"]), " ")
+    return found.groupBy("doc_id").agg(F.count("*").alias("matches"), F.md5(in_order.cast("binary")).alias("digest"))
 
 
 @query(

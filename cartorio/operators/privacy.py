@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartorio.bounds import catalogue_rows, hint_small
+from cartorio.functions.offsets import replace_matches
 from cartorio.functions.check_digits import cnh_valid, cnpj_valid, cpf_valid, voter_valid
 from cartorio.functions.expressions import bind, first_case
 from cartorio.functions.folding import fold_compat
@@ -189,21 +190,14 @@ def mask_lines(lines: DataFrame, masks: DataFrame, allowed: DataFrame | None = N
 
 def mask_dates(text: Column) -> Column:
     """Day and month kept, the year moved to 2030..2049 by its remainder of twenty."""
-    shapes = ((r"\b([0-9]{2}/[0-9]{2}/)([0-9]{4})\b", "dmy"), (rf"(?iu)\b((?:{MONTHS})/)([0-9]{{4}})\b", "month"))
     out = text
-    for shape, _ in shapes:
-        marked = F.regexp_replace(out, shape, "\u0001$1\u0002$2\u0003")
-        parts = F.split(marked, "[\u0001\u0003]")
-
-        def year(part: Column) -> Column:
-            head, tail = F.substring_index(part, "\u0002", 1), F.substring_index(part, "\u0002", -1)
-            moved = (F.lit(2030) + F.substring(tail, 1, 4).try_cast("int") % 20).cast("int").cast("string")
-            return F.when(part.contains("\u0002"), F.concat(head, moved)).otherwise(part)
-
-        out = F.array_join(F.transform(parts, year), "")
+    for shape in (r"\b[0-9]{2}/[0-9]{2}/[0-9]{4}\b", rf"(?iu)\b(?:{MONTHS})/[0-9]{{4}}\b"):
+        # The year is the last four characters of a match.
+        out = replace_matches(out, shape, lambda m: F.concat(F.substring(m, F.lit(1), F.length(m) - 4), (F.lit(2030) + F.substring(m, -4, 4).try_cast("int") % 20).cast("int").cast("string")))
     return out
 
 
+# How streets and cities are written.
 ADDRESS_START = r"(?iu)^(?:R|RUA|AV|AVENIDA|PRA[CÇ]A|ALAMEDA|TRAVESSA|ROD|RODOVIA|ESTRADA)\.?\s+[A-ZÀ-Üa-zà-ü]"
 CITY_STATE_CEP = r"(?iu)^([A-ZÀ-Ü][A-ZÀ-Ü '.]+?)\s*-\s*([A-Z]{2})\s*-?\s*CEP[:\s]*([0-9]{5}-[0-9]{3})$"
 

@@ -16,6 +16,7 @@ from cartorio.functions import machine_zone as mrz
 from cartorio.functions.dates import iso, parse_date, parse_long_date, parse_money, plausible
 from cartorio.functions.expressions import bind, built_once, trim_chars
 from cartorio.functions.folding import clean_person_name, fold, fold_chars
+from cartorio.functions.offsets import cut_at
 from cartorio.functions.check_digits import cep_normalize, cnpj_normalize, cnpj_valid, cpf_normalize, cpf_valid
 from cartorio.operators.fields import CONFIDENCE, mean_confidence, policy
 from cartorio.operators.labels import label_candidates, match_labels, page_neighbours
@@ -24,6 +25,7 @@ from cartorio.operators.quality import CHECK_DIGIT_INVALID, CHECK_DIGIT_VALID, D
 from cartorio.plans import readers as r
 from cartorio.plans import types as spec
 from cartorio.session import cut_lineage
+from cartorio.sources.lines import trim_blank
 
 KEYS = ["doc_id", "document_type"]
 ORDER = ["pass", "o1", "o2", "o3", "o4"]
@@ -336,27 +338,34 @@ COMPANY_NUMBER = ("((?<![0-9A-Za-z]))", r"((?:[0-9A-Za-z]{2}\.\s?[0-9A-Za-z]{3}\
 
 
 def located(text: Column, shape: tuple[str, str, str]) -> Column:
-    """array<struct<at, value, rest>>: every match of a shape with its 0-based offset and the text up to the next match.
+    """array<struct<at, value, rest>>: every match of a shape with its 0-based offset and the text up to the next value."""
+    pattern = "".join(shape)
+    group = lambda n: F.regexp_extract_all(text, F.lit(pattern), F.lit(n))
+    whole = F.zip_with(group(1), group(2), lambda before, value: F.struct(before.alias("before"), value.alias("value")))
+    parts = F.arrays_zip(cut_at(text, pattern).alias("cut"), whole.alias("shape"), group(3).alias("after"))
 
-    The value is fenced in by marks that no text holds, the text is cut at them, and offsets are
-    lengths of the parts before: a regular-expression search with positions from built-ins.
-    """
-    fenced = F.regexp_replace(text, "".join(shape), "$1\u0001$2\u0002$3")
+    def rows(cuts: Column) -> Column:
+        def step(s: Column, p: Column) -> Column:
+            start = s["end"] + F.length(p["cut"]["gap"])
+            value = F.struct((start + F.length(p["shape"]["before"])).alias("at"), p["shape"]["value"].alias("value"))
+            return F.struct((start + F.length(p["cut"]["match"])).alias("end"), F.concat(s["out"], F.array(value)).alias("out"))
+
+        start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<at:int,value:string>>").alias("out"))
+        return F.aggregate(F.filter(cuts, lambda p: p["cut"]["match"].isNotNull()), start, step, lambda s: s["out"])
 
-    def cut(parts: Column) -> Column:
-        def step(s: Column, part: Column) -> Column:
-            value, rest = F.substring_index(part, "\u0002", 1), F.substring_index(part, "\u0002", -1)
-            item = F.struct(s["at"].alias("at"), value.alias("value"), rest.alias("rest"))
-            return F.struct((s["at"] + F.length(value) + F.length(rest)).alias("at"), F.concat(s["out"], F.array(item)).alias("out"))
+    def rested(found: Column) -> Column:
+        def one(m: Column, n: Column) -> Column:
+            begin = m["at"] + F.length(m["value"])
+            stop = F.coalesce(F.get(found, n + 1)["at"], F.length(text))
+            return F.struct(m["at"].alias("at"), m["value"].alias("value"), F.substr(text, begin + 1, stop - begin).alias("rest"))
 
-        start = F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), F.array().cast("array<struct<at:int,value:string,rest:string>>").alias("out"))
-        return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), start, step, lambda s: s["out"])
+        return F.transform(found, one)
 
-    return bind(F.split(fenced, "\u0001"), cut)
+    return bind(bind(parts, rows), rested)
 
 
 def _collapse(value: Column) -> Column:
-    return trim_chars(F.regexp_replace(F.trim(value), r"\s+", " "), " ,;.")
+    return trim_chars(F.regexp_replace(trim_blank(value), rf"{r.S}+", " "), " ,;.")
 
 
 @built_once

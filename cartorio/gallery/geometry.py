@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cartorio.functions.folding import compact_of, fold
 from cartorio.gallery.base import query
+from cartorio.session import cut_lineage
 from cartorio.gallery.texts import LINES, fold_sql
 from cartorio.operators import layout, reading
 from cartorio.sources.lines import flatten_lines, to_lines
@@ -159,28 +160,57 @@ def grid_assessment(t):
     return layout.assess_grids(boxes(t)).select("doc_id", "table_like", "grid_rows", "columns", "grid_confidence", "triggers")
 
 
-_ITEMS = f"items AS (SELECT item_id, 'all' AS sample, regexp_replace({fold_sql('text')}, '[^\\p{{L}}\\p{{Nd}}]+', '', 'g') AS item FROM (SELECT item_id, substr(text, 1, 60) AS text FROM benchmark)), blocks AS (SELECT 'all' AS sample, doc_id AS block_no, regexp_replace({fold_sql('text')}, '[^\\p{{L}}\\p{{Nd}}]+', '', 'g') AS block FROM documents)"
+def _letters_sql(text: str) -> str:
+    return f"regexp_replace({fold_sql(text)}, '[^\\p{{L}}\\p{{Nd}}]+', '', 'g')"
+
+
+# Every line of the benchmark texts is looked for among all lines of all documents.
+_ITEMS = (
+    f"item_lines AS (SELECT item_id AS text_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM benchmark), "
+    f"items AS (SELECT text_id * 1000 + n AS item_id, 'all' AS sample, {_letters_sql('line')} AS item FROM item_lines WHERE {_letters_sql('line')} <> ''), "
+    f"block_lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), "
+    f"blocks AS (SELECT 'all' AS sample, doc_id * 100000 + n AS block_no, {_letters_sql('line')} AS block FROM block_lines)"
+)
+_FOUND = (
+    "f AS (SELECT *, EXISTS (SELECT 1 FROM blocks b WHERE contains(b.block, i.item)) OR EXISTS (SELECT 1 FROM blocks b WHERE abs(length(b.block) - length(i.item)) <= floor(round(greatest(length(b.block), length(i.item)) * 0.1, 9)) "
+    "AND levenshtein(i.item, b.block) <= floor(round(greatest(length(b.block), length(i.item)) * 0.1, 9))) AS found FROM items i)"
+)
 
 
 def _items(t):
-    items = t.benchmark.select("item_id", F.lit("all").alias("sample"), compact_of(fold(F.substring("text", 1, 60))).alias("item"))
-    blocks = t.documents.select(F.lit("all").alias("sample"), F.col("doc_id").alias("block_no"), compact_of(fold(F.col("text"))).alias("block"))
-    return items, blocks
+    def lines(table, number, scale):
+        cut = table.select(number, F.posexplode(F.split("text", "\n")).alias("n", "line"))
+        return cut.select((F.col(number) * scale + F.col("n") + 1).alias("no"), F.lit("all").alias("sample"), compact_of(fold(F.col("line"))).alias("line"))
+
+    items = lines(t.benchmark, "item_id", 1000).select(F.col("no").alias("item_id"), "sample", F.col("line").alias("item")).filter("item <> ''")
+    blocks = lines(t.documents, "doc_id", 100000).select(F.col("no").alias("block_no"), "sample", F.col("line").alias("block"))
+    return cut_lineage(items), cut_lineage(blocks)
 
 
-@query("read_recall", f"WITH {_ITEMS} SELECT item_id, EXISTS (SELECT 1 FROM blocks b WHERE contains(b.block, i.item)) AS found FROM items i")
+@query("read_recall", f"WITH {_ITEMS}, {_FOUND} SELECT item_id, found FROM f")
 def read_recall(t):
     items, blocks = _items(t)
-    return reading.read_recall(items, blocks, similar=False).select("item_id", "found")
+    return reading.read_recall(items, blocks).select("item_id", "found")
 
 
 @query(
     "recall_by_chars",
-    f"WITH {_ITEMS}, f AS (SELECT *, EXISTS (SELECT 1 FROM blocks b WHERE contains(b.block, i.item)) AS found FROM items i) SELECT round(count(*) FILTER (found) / CAST(count(*) AS DOUBLE), 4) AS item_recall, round(coalesce(sum(length(item)) FILTER (found), 0) / CAST(sum(length(item)) AS DOUBLE), 4) AS char_recall, count(*) FILTER (NOT found) AS missing FROM f",
+    f"WITH {_ITEMS}, {_FOUND} SELECT round(count(*) FILTER (found) / CAST(count(*) AS DOUBLE), 4) AS item_recall, round(coalesce(sum(length(item)) FILTER (found), 0) / CAST(sum(length(item)) AS DOUBLE), 4) AS char_recall, count(*) FILTER (NOT found) AS missing FROM f",
 )
 def recall_by_chars(t):
     items, blocks = _items(t)
-    return reading.recall_summary(reading.read_recall(items, blocks, similar=False)).select("item_recall", "char_recall", "missing")
+    return reading.recall_summary(reading.read_recall(items, blocks)).select("item_recall", "char_recall", "missing")
+
+
+@query(
+    "similar_lines",
+    f"WITH {_ITEMS} SELECT item_id, block_no, CAST(levenshtein(item, block) AS INTEGER) AS edits FROM items JOIN blocks ON length(item) >= 3 AND length(block) >= 3 AND abs(length(block) - length(item)) <= floor(round(greatest(length(block), length(item)) * 0.1, 9)) "
+    "AND levenshtein(item, block) <= floor(round(greatest(length(block), length(item)) * 0.1, 9))",
+)
+def similar_lines(t):
+    """Lines of all documents that are like a line of a benchmark text, with their distance."""
+    items, blocks = _items(t)
+    return reading.similar_pairs(items, blocks).select("item_id", "block_no", "edits")
 
 
 @query("expected_values_present", f"WITH {_ITEMS} SELECT item_id, min(block_no) IS NOT NULL AS exact, min(block_no) AS block_no FROM items i LEFT JOIN blocks b ON contains(b.block, i.item) GROUP BY item_id")

@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartorio.bounds import hint_small
 from cartorio.operators.classify import contains_join, grams
+from cartorio.session import cut_lineage
 
 # Fixed value: similarity from which an item counts as read.
 SIMILAR = 0.9
-
-
-def _alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for left, right in batches:
-        out = []
-        for a, b in zip(left, right):
-            matcher = SequenceMatcher(None, a, b)
-            # The quick ratios are upper bounds, so the slow one runs on near matches only.
-            out.append(matcher.real_quick_ratio() >= SIMILAR and matcher.quick_ratio() >= SIMILAR and matcher.ratio() >= SIMILAR)
-        yield pd.Series(out)
+#: Letters of a gram.
+GRAM = 3
 
 
 def _holding(items: DataFrame, blocks: DataFrame, key: str, gram: int = 8) -> DataFrame:
@@ -41,25 +32,76 @@ def contained_items(items: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
     return _holding(items, blocks.select(key, "block"), key).select("item_id").distinct()
 
 
-def similar_items(items: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
-    """Ids of items with a block of nearly the same length and letters.
+def allowed_edits(length: Column, similar: float = SIMILAR) -> Column:
+    """Edits within which a text of ``length`` letters, the longer one of two, is as similar as asked."""
+    return F.floor(F.round(length * (1 - similar), 9)).cast("int")
+
 
-    A ratio of r needs a length between r / (2 - r) and (2 - r) / r of the item's, so both sides
-    meet on length classes; the letter comparison runs in Arrow batches on what is left.
+def _gram_rows(texts: DataFrame, name: str) -> DataFrame:
+    """One row per gram of a text: its columns, gram and its place."""
+    spots = F.sequence(F.lit(1), F.length(name) - (GRAM - 1))
+    grams = F.transform(F.when(F.length(name) >= GRAM, spots).otherwise(F.array().cast("array<int>")), lambda i: F.substring(F.col(name), i, F.lit(GRAM)))
+    return texts.select("*", F.posexplode(grams).alias("place", "gram"))
+
+
+def _leading(rows: DataFrame, by: Sequence[str], length: Column, similar: float) -> DataFrame:
+    """The rarest grams of a text, so many that a similar one shares one of them.
+
+    ``rows`` are the grams of texts that any item has, with ``uses`` and ``known``, the number of such grams of the text.
+    What no item has is rarer than all of these and comes first, so a text may have no leading gram left.
     """
-    low, high = SIMILAR / (2 - SIMILAR), (2 - SIMILAR) / SIMILAR
-    length = F.length("item")
-    asked = items.withColumn("_size", F.explode_outer(F.sequence(F.ceil(length * low).cast("int"), F.floor(length * high).cast("int"))))
-    offered = blocks.withColumn("_size", F.length("block"))
-    pairs = asked.join(offered, [key, "_size"]).filter(F.col("item") != F.col("block"))
-    alike = F.pandas_udf(_alike, "boolean")
-    return pairs.filter(alike(F.col("item"), F.col("block"))).select("item_id").distinct()
+    longest = F.floor(F.round(length / similar, 9))
+    lead = GRAM * allowed_edits(longest, similar) + 1
+    strange = length - (GRAM - 1) - F.col("known")
+    order = Window.partitionBy(*by).orderBy("uses", "gram", "place")
+    return rows.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") + strange <= lead).drop("_nth")
+
+
+def similar_pairs(items: DataFrame, blocks: DataFrame, key: str = "sample", similar: float = SIMILAR) -> DataFrame:
+    """(item_id, block_no, item, block, edits): pairs of a sample within 1 - ``similar`` of the longer one's letters in edits.
+
+    A join on shared grams with a prefix filter. Grams are in one order, from those that fewest items use; of two texts
+    within k edits, one of the first 3 k + 1 grams of both is the same and stands at most k places apart. A block
+    hands on only grams that items have, and none if its first ones are all strange. Lengths and places
+    differ by k at most; the few pairs left are compared with a bound.
+
+    Items: item_id, ``key``, item; blocks: block_no, ``key``, block. ``similar`` has to be over 2/3. Nulls and texts of
+    under three letters are similar to nothing.
+    """
+    if not similar > 2 / 3:
+        raise ValueError("grams decide about similarities of over 2/3 only")
+    asked = _gram_rows(items.select("item_id", key, "item"), "item").withColumn("length", F.length("item"))
+    uses = cut_lineage(asked.groupBy(key, "gram").agg(F.count_distinct("item_id").alias("uses")))
+    kept = asked.join(uses, [key, "gram"]).withColumn("known", F.length("item") - (GRAM - 1))
+    kept = _leading(kept, ["item_id", key], F.col("length"), similar).select("item_id", key, "gram", F.col("place").alias("_place"), F.col("length").alias("_length"))
+
+    # Blocks travel as numbers: their texts are fetched for pairs alone.
+    offered = _gram_rows(blocks.select("block_no", key, "block"), "block").withColumn("length", F.length("block")).drop("block")
+    met = offered.join(hint_small(uses), [key, "gram"])
+    sizes = met.groupBy("block_no", key).agg(F.count("*").alias("known"))
+    lead = GRAM * allowed_edits(F.floor(F.round(F.col("length") / similar, 9)), similar) + 1
+    possible = met.join(sizes, ["block_no", key]).filter(F.col("length") - (GRAM - 1) - F.col("known") < lead)
+    ahead = _leading(possible, ["block_no", key], F.col("length"), similar)
+
+    edits = allowed_edits(F.greatest("length", "_length"), similar)
+    close = (F.abs(F.col("length") - F.col("_length")) <= edits) & (F.abs(F.col("place") - F.col("_place")) <= edits)
+    pairs = ahead.join(hint_small(kept), [key, "gram"]).filter(close).select(key, "item_id", "block_no").distinct()
+    whole = pairs.join(items.select("item_id", key, "item"), ["item_id", key]).join(blocks.select("block_no", key, "block"), ["block_no", key])
+    bound = allowed_edits(F.greatest(F.length("item"), F.length("block")), similar)
+    longest_bound = F.expr("levenshtein(item, block)")
+    return whole.withColumn("edits", longest_bound).filter(F.col("edits") <= bound)
+
+
+def similar_items(items: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+    """Ids of items with a block of nearly the same letters."""
+    return similar_pairs(items, blocks, key).select("item_id").distinct()
 
 
 def read_recall(items: DataFrame, blocks: DataFrame, key: str = "sample", similar: bool = True) -> DataFrame:
     """Items with ``found``: contained in a block of the sample, or similar to one.
 
-    Items: item_id, sample, item; blocks: sample, block; both already folded.
+    Items: item_id, sample, item; blocks: block_no, sample, block; both already folded. Similarity is one less the edits
+    as a share of the longer one's letters.
     """
     found = contained_items(items, blocks, key)
     if similar:

@@ -92,3 +92,57 @@ def kneser_ney(train, texts, order, discounts):
         s = list(begin) * (order - 1) + t
         out.append(sum(math.log10(p(tuple(s[k - order + 1 : k + 1]), order)) for k in range(order - 1, len(s))))
     return out
+
+
+def ranked(docs, items, top=10):
+    """{item: [(document, score)]} of [(id, text)], every row a document."""
+    term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    counts = [(i, Counter(term.findall((t or "").translate(lower)))) for i, t in docs]
+    n = sum(bool(c) for _, c in counts)
+    words = sum(sum(c.values()) for _, c in counts)
+    df = Counter(t for _, c in counts for t in c)
+    out = {}
+    for item, text in items:
+        scores = []
+        for i, c in counts:
+            m = 100 - 90 + (90 * sum(c.values()) * n) // max(words, 1)
+            score = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * ((10**9 * c[t]) // (1000 * c[t] + 8 * m)) for t in set(term.findall((text or "").translate(lower))) if c[t])
+            if score:
+                scores.append((-score, i is None, i or 0))
+        out[item] = [(None if none else i, -s) for s, none, i in sorted(scores)[:top]]
+    return out
+
+
+def spellings(docs):
+    """{word: (n, near words, form, n of the form, root)} of [(id, text)], all pairs of words compared."""
+    import zlib
+
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    counts = Counter()
+    for i, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(lower)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= 7 and n >= 2}
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    forms, out = {}, {}
+    for w, n in words.items():
+        others = sorted((-words[o], o) for o in words if near(w, o))
+        forms[w] = others[0][1] if others and -others[0][0] >= 10 * n else None
+        out[w] = (n, len(others))
+    for w in words:
+        root = w
+        while forms[root]:
+            root = forms[root]
+        out[w] += (forms[w], words[forms[w]] if forms[w] else None, root)
+    return out

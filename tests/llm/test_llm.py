@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import plain
 
 import corpus_pipeline
-from cartorio.llm import bpe, chat_format, license_scan, line_dedup, mixing, mpeg_audio, ngram_lm, quality_rules, warc
+from cartorio.llm import bpe, chat_format, lexical_search, license_scan, line_dedup, mixing, mpeg_audio, ngram_lm, quality_rules, spelling, url_filter, warc
 from cartorio.llm.jaccard_join import RTree, block_keys, count_vector, jaccard_components
 from cartorio.llm.license_texts import NOTICES
 from cartorio.llm.registry import ORACLES, QUERIES, TOKENIZER
@@ -523,3 +523,136 @@ def test_warc_digests_of_random_pages(spark):
         assert (r.record_type, r.refers_to) == (("response", None) if first else ("revisit", last[body.decode()]))
     none = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), folder + "/none")
     assert warc.read_archives(none, folder + "/none").count() == 0
+
+
+# 11 --------------------------------------------------------------------------------------------------------------
+
+ITEMS = "item_id long, text string, doc_id string, term int, shard string"
+
+
+def hits(rows):
+    found = {}
+    for r in sorted(rows, key=lambda r: (r.item_id, r.rank)):
+        found.setdefault(r.item_id, []).append((r.doc_id, r.score))
+        assert r.rank == len(found[r.item_id])
+    return found
+
+
+def test_search_against_plain(spark, odd, empty, monkeypatch):
+    rnd = random.Random(41)
+    docs = [(i, " ".join(speech(rnd, rnd.randint(1, 60)))) for i in range(300)] + [(500 + i, "w1 w2 w3") for i in range(15)] + [(500, "w1 w2 w3")]
+    odd_rows = [(r.doc_id, r.text) for r in odd.collect()]
+    items = [(1, "w1 w2 W3, w7-w8!"), (2, "\u00e9\u6f22\U0001f600 w5"), (3, None), (4, ""), (5, "unknownterm"), (6, " ".join(speech(rnd, 30)))]
+    asked = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in items] + [(1, "w9", "x", 2, None)], ITEMS)
+    merged = [(1, items[0][1] + " w9"), *items[1:]]
+    want = {k: v for k, v in plain.ranked(docs + odd_rows, merged).items() if v}
+    table = spark.createDataFrame(rows_of(docs), SCHEMA).union(odd)
+    assert hits(lexical_search.search(table, asked).collect()) == want
+    monkeypatch.setattr(lexical_search, "BLOCK", 2)  # several blocks of items, and several slices of them
+    monkeypatch.setattr(lexical_search, "ITEMS", 3)
+    assert hits(lexical_search.search(table, asked).collect()) == want
+    assert lexical_search.search(empty, asked).count() == 0 and lexical_search.search(table, asked.limit(0)).count() == 0
+
+
+def test_bundles_leave_nothing_behind_that_counts(monkeypatch):
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(7)
+    size, terms = 400, 24
+    weights = np.sort(rnd.integers(1, 9000, terms))[::-1].astype(np.int64)
+    tf = rnd.integers(0, 4, (terms, size)) * (rnd.random((terms, size)) < np.linspace(0.01, 0.9, terms)[:, None])
+    impact = (10**9 * tf) // (1000 * tf + 800)
+    full = (weights[:, None] * impact).sum(axis=0)
+    owners = np.repeat(np.arange(4), terms // 4)
+    bound = weights * 10**6
+    bundle = pa.table({"shard": pa.array([], pa.int64()), "block": pa.array([], pa.int32()), "item": pa.array([], pa.int32()), "docs": pa.array([], pa.binary()), "scores": pa.array([], pa.binary())})
+    sizes = []
+    for owner in range(4):
+        t, d = np.nonzero((tf > 0) & (owners == owner)[:, None])
+        right = pa.table({"size": pa.array([size], pa.int32()), "ids": pa.array([list(range(size))], pa.list_(pa.int64())), **{k: pa.array([v.tobytes()], pa.binary()) for k, v in (("term", t.astype(np.int32)), ("doc", d.astype(np.uint16)), ("impact", impact[t, d].astype(np.int32)))}})
+        visit = lexical_search._visit([np.flatnonzero(owners == owner)], weights, [int(bound[owners >= owner].sum())], [int(bound[owners > owner].sum())], owner == 3)
+        bundle = visit((pa.scalar(0), pa.scalar(0)), bundle, right)
+        sizes.append(len(bundle["docs"][0].as_py()) // 2 if owner < 3 else bundle.num_rows)
+    best = sorted((-int(s), i) for i, s in enumerate(full))[:10]
+    assert [(r["doc_id"], r["score"]) for r in bundle.to_pylist()] == [(i, -s) for s, i in best] and sizes[2] < size
+
+
+# 12 --------------------------------------------------------------------------------------------------------------
+
+
+def test_hosts_paths_and_rules(spark):
+    cases = [
+        ("http://Www.Example.NET/en/a?x=/b#c", "www.example.net", "/en/a", "example.net/en/", "allow"), ("https://example.net", "example.net", "", None, None),
+        ("//example.net/x", "", "", None, None), (None, "", "", None, None), ("", "", "", None, None), ("http://a.example.com/de/", "a.example.com", "/de/", "example.com/de/", "block"),
+        ("http://notexample.com/de/", "notexample.com", "/de/", None, None), ("ftp://x.org/fr/1://y", "x.org", "/fr/1:", "org/fr/", "allow"), ("http://b.net/?q", "b.net", "/", "net/", "block"),
+        ("http://?http://c.net/", "", "", None, None), ("http://\u00c9.net#/x", "\u00c9.net", "", None, None),
+    ]
+    pages = spark.createDataFrame([(i, c[0], "x", "y", 1) for i, c in enumerate(cases)] + [(None, "http://b.net/", "x", "y", 1)], "page_id long, url string, host string, verdict string, n int")
+    got = {r.page_id: r for r in url_filter.judge_urls(pages, spark.createDataFrame([(0, None), (None, 1)], "page_id long, bad int")).collect()}
+    for i, (_, host, path, rule, verdict) in enumerate(cases):
+        path = path if i != 7 else "/fr/1://y"
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule, verdict or "allow"), i
+    assert got[None].rule == "net/" and len(got) == len(cases) + 1
+    assert url_filter.judge_urls(pages.limit(0), spark.createDataFrame([], "page_id long, bad int")).count() == 0
+
+
+def test_reputation_shrinks_to_the_level_above(spark):
+    """A host of many bad pages is blocked, one with two bad ones of two isn't, but is where its whole domain is bad."""
+    rows, bad, n = [], [], 0
+    for host, good, wrong in [("big.bad.com", 10, 90), ("few.fine.com", 0, 2), *((f"h{i}.fine.com", 40, 2) for i in range(20)), *((f"s{i}.spam.co.uk", 1, 30) for i in range(20)), ("new.spam.co.uk", 0, 0), ("new.fine.com", 0, 0)]:
+        for k in range(good + wrong + (good + wrong == 0)):
+            rows.append((n, f"http://{host}/{k}"))
+            if good + wrong:
+                bad.append((n, int(k < wrong)))
+            n += 1
+    pages, outcomes = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(bad, "page_id long, bad int")
+    verdicts = {r.host: r.verdict for r in url_filter.judge_urls(pages, outcomes, rules=()).select("host", "verdict").distinct().collect()}
+    assert verdicts["big.bad.com"] == "block" and verdicts["few.fine.com"] == "allow" and verdicts["new.spam.co.uk"] == "block" and verdicts["new.fine.com"] == "allow"
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("1.2.3.4:80",), ("u@x.y.de:8080",), ("",), ("localhost",)], "host string")
+    bare = url_filter.bare_host(F.col("host"))
+    suffix = url_filter.suffix_of(bare)
+    assert [tuple(r) for r in hosts.select(suffix, url_filter.domain_of(bare, suffix)).collect()] == [("co.uk", "b.co.uk"), ("co.uk", "co.uk"), ("", "1.2.3.4"), ("de", "y.de"), ("", ""), ("localhost", "localhost")]
+
+
+# 13 --------------------------------------------------------------------------------------------------------------
+
+
+def spelled(rows):
+    return {r.word: (r.n, r.n_near, r.form, r.form_n, r.root) for r in rows}
+
+
+def test_spellings_against_all_pairs(spark, odd, empty, monkeypatch):
+    rnd = random.Random(51)
+    base = ["".join(rnd.choice("aab\u00e9o") for _ in range(rnd.randint(7, 11))) for _ in range(60)] + ["aaaaaaa", "aaaaaaaa", "aaaaaaaaa"]
+    words = []
+    for w in base:
+        words += [w] * rnd.choice([1, 3, 30, 400])
+        at = rnd.randrange(len(w))
+        words += [w[:at] + rnd.choice("abz") + w[at:]] * 2 + [w[:at] + w[at + 1 :]] * 3 + [w[:at] + "Z" + w[at + 1 :]] * 2
+    rnd.shuffle(words)
+    docs = [(i, " ".join(words[i * 25 : i * 25 + 25])) for i in range(len(words) // 25 + 1)] + [(None, "Aaaaaaa aaaaaaa"), (3, None), (4, "q" * 5000 + " " + "q" * 5000 + " " + "q" * 4999 + " " + "q" * 4999)]
+    odd_rows = [(r.doc_id, r.text) for r in odd.collect()]
+    table = spark.createDataFrame(rows_of(docs), SCHEMA).union(odd)
+    want = plain.spellings(docs + odd_rows)
+    assert spelled(spelling.groups(table).collect()) == want and sum(v[2] is not None for v in want.values()) > 20
+    assert spelling.groups(empty).count() == 0
+
+
+def test_position_index_finds_one_error_in_any_part(monkeypatch):
+    """Vocabularies in one shard, over several machine words and asked in parts."""
+    monkeypatch.setattr(spelling, "ASKED", 50)
+    rnd = random.Random(61)
+    words = sorted({"".join(rnd.choice("ab") for _ in range(rnd.choice([7, 8]))) for _ in range(300)})
+    codes = np.array(words).view(np.uint32).reshape(len(words), -1)
+    lengths = (codes > 0).sum(axis=1)
+    index = spelling.PositionIndex(codes, lengths)
+    found = set()
+    for start, stop in ((0, 3), (3, 7)):
+        every = np.full(len(words), 0), np.full(len(words), len(words)), np.full(len(words), start), np.full(len(words), stop)
+        for a, b in index.one_error(7, *every):
+            pairs = list(zip(a.tolist(), b.tolist()))
+            assert not found & set(pairs) and len(pairs) == len(set(pairs))
+            found |= set(pairs)
+    near = lambda a, b: sum(x != y for x, y in zip(a, b)) == 1 if len(a) == len(b) else any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+    want = {(i, j) for i, a in enumerate(words) if len(a) == 7 for j, b in enumerate(words) if (len(b) == 8 or j > i) and near(a, b)}
+    assert found == want

@@ -204,8 +204,9 @@ def recall_by_chars(t):
 
 @query(
     "similar_lines",
-    f"WITH {_ITEMS} SELECT item_id, block_no, CAST(levenshtein(item, block) AS INTEGER) AS edits FROM items JOIN blocks ON length(item) >= 3 AND length(block) >= 3 AND abs(length(block) - length(item)) <= floor(round(greatest(length(block), length(item)) * 0.1, 9)) "
-    "AND levenshtein(item, block) <= floor(round(greatest(length(block), length(item)) * 0.1, 9))",
+    f"WITH {_ITEMS}, near AS MATERIALIZED (SELECT item_id, block_no, item, block, floor(round(greatest(length(block), length(item)) * 0.1, 9)) AS most FROM items JOIN blocks "
+    "ON length(item) >= 3 AND length(block) BETWEEN length(item) * 0.89 AND length(item) * 1.12) "
+    "SELECT item_id, block_no, CAST(levenshtein(item, block) AS INTEGER) AS edits FROM near WHERE abs(length(block) - length(item)) <= most AND levenshtein(item, block) <= most",
 )
 def similar_lines(t):
     """Lines of all documents that are like a line of a benchmark text, with their distance."""

@@ -38,16 +38,16 @@ def _split(text: str) -> list[str]:
 _UP = "NOT ((v.bottom - v.top) > 1.5 * (v.\"right\" - v.\"left\") AND (v.bottom - v.top) > 2 * (l.bottom - l.top))"
 NEIGHBOURS = (
     f"{BOXES}, r AS (SELECT l.doc_id, l.line_no AS label_no, v.line_no, 'RIGHT' AS side, row_number() OVER (PARTITION BY l.doc_id, l.line_no ORDER BY v.\"left\", v.line_no) AS rank FROM boxes l JOIN boxes v ON l.doc_id = v.doc_id AND l.line_no <> v.line_no "
-    f"WHERE l.line_no % 5 = 0 AND {_UP} AND abs((v.top + v.bottom) / 2 - (l.top + l.bottom) / 2) <= 0.6 * (l.bottom - l.top) AND v.\"left\" >= l.\"right\" - 0.3 * (l.bottom - l.top)), "
+    f"WHERE {_UP} AND abs((v.top + v.bottom) / 2 - (l.top + l.bottom) / 2) <= 0.6 * (l.bottom - l.top) AND v.\"left\" >= l.\"right\" - 0.3 * (l.bottom - l.top)), "
     "b AS (SELECT l.doc_id, l.line_no AS label_no, v.line_no, 'BELOW' AS side, row_number() OVER (PARTITION BY l.doc_id, l.line_no ORDER BY v.top, v.\"left\", v.line_no) AS rank FROM boxes l JOIN boxes v ON l.doc_id = v.doc_id AND l.line_no <> v.line_no "
-    f"WHERE l.line_no % 5 = 0 AND {_UP} AND v.top >= l.bottom - 0.35 * (l.bottom - l.top) AND v.top - l.bottom <= 3.5 * (l.bottom - l.top) AND (least(l.\"right\", v.\"right\") - greatest(l.\"left\", v.\"left\") > 0 OR abs(v.\"left\" - l.\"left\") <= 2 * (l.bottom - l.top))), "
+    f"WHERE {_UP} AND v.top >= l.bottom - 0.35 * (l.bottom - l.top) AND v.top - l.bottom <= 3.5 * (l.bottom - l.top) AND (least(l.\"right\", v.\"right\") - greatest(l.\"left\", v.\"left\") > 0 OR abs(v.\"left\" - l.\"left\") <= 2 * (l.bottom - l.top))), "
     "pairs AS (SELECT * FROM r WHERE rank = 1 UNION ALL SELECT * FROM b WHERE rank <= 2)"
 )
 
 
 def _pairs(t):
     every = boxes(t)
-    return layout.neighbours(every.filter("line_no % 5 = 0"), every)
+    return layout.neighbours(every, every)
 
 
 @query("spatial_neighbours", f"WITH {NEIGHBOURS} SELECT doc_id, label_no, line_no, side, CAST(CASE WHEN side = 'BELOW' THEN (rank - 1) * 0.05 ELSE 0 END AS DOUBLE) AS penalty FROM pairs")
@@ -75,7 +75,7 @@ def gap_clusters(t):
     return clustered.groupBy("doc_id", "cluster").agg(F.count(F.lit(1)).alias("boxes"), F.bool_or("counted").alias("counted"))
 
 
-_CELLS = "(SELECT o_orderkey AS doc_id, 1 AS page, c AS cell_no, CAST((c % 2) * 300 AS DOUBLE) AS \"left\", CAST((c // 2) * 140 AS DOUBLE) AS top, CAST((c % 2) * 300 + 320 AS DOUBLE) AS \"right\", CAST((c // 2) * 140 + 130 AS DOUBLE) AS bottom FROM orders, range(4) AS r(c) WHERE o_orderkey % 2 = 0)"
+_CELLS = "(SELECT o_orderkey AS doc_id, 1 AS page, c AS cell_no, CAST((c % 2) * 300 AS DOUBLE) AS \"left\", CAST((c // 2) * 140 AS DOUBLE) AS top, CAST((c % 2) * 300 + 320 AS DOUBLE) AS \"right\", CAST((c // 2) * 140 + 130 AS DOUBLE) AS bottom FROM orders, range(4) AS r(c))"
 PLACED = (
     f"{BOXES}, cells AS {_CELLS}, owner AS (SELECT b.doc_id, b.line_no, min(c.cell_no) AS cell_no FROM boxes b JOIN cells c ON b.doc_id = c.doc_id AND (b.\"left\" + b.\"right\") / 2 BETWEEN c.\"left\" AND c.\"right\" AND (b.top + b.bottom) / 2 BETWEEN c.top AND c.bottom GROUP BY 1, 2)"
 )
@@ -83,7 +83,7 @@ PLACED = (
 
 def cells(t):
     number = F.explode_outer(F.array(*[F.lit(n) for n in range(4)]))
-    rows = t.orders.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), number.alias("cell_no"))
+    rows = t.orders.select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), number.alias("cell_no"))
     return rows.selectExpr(
         "doc_id", "page", "cell_no", "CAST((cell_no % 2) * 300 AS DOUBLE) AS left", "CAST(cell_no DIV 2 * 140 AS DOUBLE) AS top",
         "CAST((cell_no % 2) * 300 + 320 AS DOUBLE) AS right", "CAST(cell_no DIV 2 * 140 + 130 AS DOUBLE) AS bottom",

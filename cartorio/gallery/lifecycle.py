@@ -201,12 +201,12 @@ ERASE_NOW = datetime(2024, 1, 15, 12)
 ERASE_NOW_SQL = "TIMESTAMP '2024-01-15 12:00:00'"
 REQUESTS = (
     "requests AS (SELECT event_id AS request_id, event_id % 2000 AS doc_id, ts AS requested_at, CASE event_type WHEN 'error' THEN 'REJECTED' WHEN 'view' THEN 'APPROVED' ELSE 'PENDING' END AS status, "
-    "CASE WHEN event_type = 'view' AND event_id % 2 = 0 THEN 'admin' END AS approved_by FROM events WHERE event_id % 5 = 0)"
+    "CASE WHEN event_type = 'view' AND event_id % 2 = 0 THEN 'admin' END AS approved_by FROM events)"
 )
 
 
 def _requests(t):
-    return t.events.filter("event_id % 5 = 0").selectExpr(
+    return t.events.selectExpr(
         "event_id AS request_id",
         "event_id % 2000 AS doc_id",
         "ts AS requested_at",
@@ -277,12 +277,12 @@ def erasure_execute(t):
 # ---------------------------------------------------------------- relocation
 
 MOVES = (
-    f"moves AS (SELECT o_orderkey AS doc_id, 'fromRepositoryId=R1 toRepositoryId=R2 migrationJobId=' || CASE WHEN o_orderkey % 10 = 1 THEN '{a.JOB}' ELSE '{a.OTHER_JOB}' END AS details FROM orders WHERE o_orderkey % 5 = 1)"
+    f"moves AS (SELECT o_orderkey AS doc_id, 'fromRepositoryId=R1 toRepositoryId=R2 migrationJobId=' || CASE WHEN o_orderkey % 10 = 1 THEN '{a.JOB}' ELSE '{a.OTHER_JOB}' END AS details FROM orders)"
 )
 
 
 def _moves(t):
-    return t.orders.filter("o_orderkey % 5 = 1").selectExpr(
+    return t.orders.selectExpr(
         "o_orderkey AS doc_id",
         f"'{ops.MIGRATED}' AS event_type",
         f"concat('fromRepositoryId=R1 toRepositoryId=R2 migrationJobId=', CASE WHEN o_orderkey % 10 = 1 THEN '{a.JOB}' ELSE '{a.OTHER_JOB}' END) AS details",

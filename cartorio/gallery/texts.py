@@ -395,11 +395,11 @@ def pii_residual(t):
 
 @query(
     "name_scan",
-    f"WITH {LINES}, names AS (SELECT DISTINCT p_brand AS name FROM part UNION SELECT DISTINCT substr(text, 1, 12) FROM benchmark UNION SELECT DISTINCT substr(n_name, 1, 3) FROM nation), "
+    f"WITH {LINES}, names AS (SELECT DISTINCT p_brand AS name FROM part UNION SELECT DISTINCT unnest(string_split(text, chr(10))) FROM benchmark UNION SELECT DISTINCT n_name FROM nation), "
     f"f AS (SELECT doc_id, line_no, regexp_replace(translate(line, {sql_text(fold_table('NFKD')[0])}, {sql_text(fold_table('NFKD')[1])}), '\\p{{Mn}}+', '', 'g') AS line FROM lines), "
     f"g AS (SELECT trim(name) AS name, translate(trim(name), {sql_text(fold_table('NFKD')[0])}, {sql_text(fold_table('NFKD')[1])}) AS folded FROM names) "
     "SELECT doc_id, line_no, 'nome real' AS kind, 'contem ''' || left(name, 2) || '...''' AS redacted FROM f JOIN g ON contains(f.line, g.folded)",
 )
 def name_scan(t):
-    names = t.part.select(F.col("p_brand").alias("name")).union(t.benchmark.select(F.substring("text", 1, 12))).union(t.nation.select(F.substring("n_name", 1, 3)))
+    names = t.part.select(F.col("p_brand").alias("name")).union(t.benchmark.select(F.explode(F.split("text", "\n")))).union(t.nation.select("n_name"))
     return privacy.scan_names(to_lines(t.documents), names, key="doc_id")

@@ -151,7 +151,7 @@ def text_gate(t):
 
 @query(
     "label_keys",
-    f"WITH f AS (SELECT conv_id, turn, {fold_sql('label')} AS folded FROM (SELECT conv_id, turn, CAST(turn + 1 AS VARCHAR) || CASE WHEN conv_id % 2 = 0 THEN 'a' ELSE '' END || ' ' || left(text, 30) || ' / ' || substr(text, 31, 10) AS label FROM conversations)), "
+    f"WITH f AS (SELECT conv_id, turn, {fold_sql('label')} AS folded FROM (SELECT conv_id, turn, CAST(turn + 1 AS VARCHAR) || CASE WHEN conv_id % 2 = 0 THEN 'a' ELSE '' END || ' ' || text || ' / ' || role AS label FROM conversations)), "
     "c AS (SELECT conv_id, turn, p.ord, p.part FROM f, LATERAL (SELECT 0 AS ord, folded AS part UNION ALL SELECT i, trim(string_split(folded, '/')[i]) FROM range(1, len(string_split(folded, '/')) + 1) AS r(i)) AS p), "
     "k AS (SELECT conv_id, turn, ord, regexp_replace(part, '[^\\p{L}\\p{Nd}]+', '', 'g') AS k FROM c), "
     "e AS (SELECT conv_id, turn, k FROM k WHERE k <> '' UNION SELECT conv_id, turn, regexp_replace(k, '^[0-9]{1,2}', '') FROM k WHERE regexp_matches(k, '^[0-9]{1,2}...') UNION SELECT conv_id, turn, regexp_replace(k, '^[0-9]{1,2}[A-Z]', '') FROM k WHERE regexp_matches(k, '^[0-9]{1,2}[A-Z]...') "
@@ -159,7 +159,7 @@ def text_gate(t):
 )
 def label_keys(t):
     """Comparison keys of labels: compact, without leading numbers, and each side of a slash."""
-    label = F.concat((F.col("turn") + 1).cast("string"), F.when(F.col("conv_id") % 2 == 0, "a").otherwise(""), F.lit(" "), F.substring("text", 1, 30), F.lit(" / "), F.substring("text", 31, 10))
+    label = F.concat((F.col("turn") + 1).cast("string"), F.when(F.col("conv_id") % 2 == 0, "a").otherwise(""), F.lit(" "), "text", F.lit(" / "), "role")
     from cartorio.functions.folding import fold
 
     keyed = with_label_keys(t.conversations.select("conv_id", "turn", fold(label).alias("folded")))

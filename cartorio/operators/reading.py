@@ -63,13 +63,13 @@ def similar_pairs(items: DataFrame, blocks: DataFrame, key: str = "sample", simi
     A join on shared grams with a prefix filter. Grams are in one order, from those that fewest items use; of two texts
     within k edits, one of the first 3 k + 1 grams of both is the same and stands at most k places apart. A block
     hands on only grams that items have, and none if its first ones are all strange. Lengths and places
-    differ by k at most; the few pairs left are compared with a bound.
+    differ by k at most; the few pairs left are compared as a whole.
 
-    Items: item_id, ``key``, item; blocks: block_no, ``key``, block. ``similar`` has to be over 2/3. Nulls and texts of
-    under three letters are similar to nothing.
+    Items: item_id, ``key``, item; blocks: block_no, ``key``, block. ``similar`` has to be so high (five sixths or so) that
+    similar texts always share a gram. Nulls and texts of under three letters are similar to nothing.
     """
-    if not similar > 2 / 3:
-        raise ValueError("grams decide about similarities of over 2/3 only")
+    if any(n - (GRAM - 1) - GRAM * int(n * (1 - similar) + 1e-9) < 1 for n in range(GRAM, 1000)):
+        raise ValueError(f"texts of a similarity of {similar} need not have a gram of {GRAM} letters in common")
     asked = _gram_rows(items.select("item_id", key, "item"), "item").withColumn("length", F.length("item"))
     uses = cut_lineage(asked.groupBy(key, "gram").agg(F.count_distinct("item_id").alias("uses")))
     kept = asked.join(uses, [key, "gram"]).withColumn("known", F.length("item") - (GRAM - 1))
@@ -88,8 +88,7 @@ def similar_pairs(items: DataFrame, blocks: DataFrame, key: str = "sample", simi
     pairs = ahead.join(hint_small(kept), [key, "gram"]).filter(close).select(key, "item_id", "block_no").distinct()
     whole = pairs.join(items.select("item_id", key, "item"), ["item_id", key]).join(blocks.select("block_no", key, "block"), ["block_no", key])
     bound = allowed_edits(F.greatest(F.length("item"), F.length("block")), similar)
-    longest_bound = F.expr("levenshtein(item, block)")
-    return whole.withColumn("edits", longest_bound).filter(F.col("edits") <= bound)
+    return whole.withColumn("edits", F.levenshtein("item", "block")).filter(F.col("edits") <= bound)
 
 
 def similar_items(items: DataFrame, blocks: DataFrame, key: str) -> DataFrame:

@@ -189,3 +189,39 @@ def test_reading_by_similarity_and_closest(spark):
 def test_folding_keeps_sharp_s_and_drops_marks(spark):
     row = spark.createDataFrame([("straße É́ ª  x",)], "t string").select(fold(F.col("t")).alias("f")).first()
     assert row["f"] == "STRAßE E ª X"
+
+
+def test_similar_pairs_against_all_pairs(spark):
+    import random
+
+    from cartorio.operators import reading
+
+    rnd = random.Random(17)
+    base = ["".join(rnd.choice("abcd") for _ in range(rnd.choice([3, 9, 10, 19, 20, 35, 60]))) for _ in range(25)]
+
+    def spoiled(text):
+        for _ in range(rnd.randint(0, max(1, len(text) // 8))):
+            at = rnd.randrange(len(text))
+            text = text[:at] + rnd.choice(["", "x", "ab", text[at]]) + text[at + rnd.randint(0, 1) :]
+        return text
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = following(row, i, x, b)
+        return row[-1]
+
+    def following(row, i, x, b):
+        out = [i]
+        for j, y in enumerate(b, 1):
+            out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
+        return out
+
+    items = [(i, rnd.choice("st"), t) for i, t in enumerate(base)] + [(90, "s", None), (91, "s", "ab")]
+    blocks = [(n, rnd.choice("st"), spoiled(rnd.choice(base))) for n in range(150)] + [(900, "s", None), (901, "s", "ab"), (902, "t", "")]
+    got = reading.similar_pairs(spark.createDataFrame(items, "item_id int, sample string, item string"), spark.createDataFrame(blocks, "block_no int, sample string, block string")).collect()
+    want = {
+        (i, n, distance(a, b)) for i, s, a in items for n, t, b in blocks
+        if s == t and a and b and min(len(a), len(b)) >= 3 and distance(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9)
+    }
+    assert {(r.item_id, r.block_no, r.edits) for r in got} == want and len(want) > 30 and len(got) == len(want)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from cartorio.llm.shared import small_batches
 
 #: Entries of the per-process caches of pieces and token pairs; a full cache is emptied.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
 #: Bytes above which a piece is encoded without being cached.
 CACHED_BYTES = 256
 
@@ -248,7 +248,9 @@ def edit_texts(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of ``docs`` (doc_id, text).
 
-    Encodes and decodes a row in one pass, so that ids never leave the worker. Null text: empty.
+    Encodes and decodes a row in one pass, so that ids never leave the worker. Null text: empty. Every row is worked on by
+    itself: repeated rows give equal rows, no order or tie has a say. Texts are whole, however long; an empty table
+    gives an empty one, other columns are dropped.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LAST_FOLDED = 0x2100
 # Everything the folding treats as white space: controls 9..13, NEL and the separators.
 SPACES = r"[\t-\r \x{85}\p{Z}]+"
 MARKS = r"\p{Mn}+"
@@ -30,11 +30,11 @@ def _base(char: str, form: str) -> str:
 
 @lru_cache
 def fold_table(form: str = "NFD") -> tuple[str, str]:
-    """(from, to) strings for ``translate``, generated from the Unicode decomposition rules."""
+    """(from, to) strings for ``translate``, generated from the Unicode decomposition rules for all of its characters."""
     pairs = []
-    for code in (*range(ord("a"), ord("z") + 1), *range(0x80, LAST_FOLDED)):
+    for code in (*range(ord("a"), ord("z") + 1), *range(0x80, sys.maxunicode + 1)):
         char = chr(code)
-        if unicodedata.category(char) == "Mn":
+        if not (unicodedata.decomposition(char) or char.upper() != char) or unicodedata.category(char) == "Mn":
             continue
         base = _base(char, form)
         if base != char:

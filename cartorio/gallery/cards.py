@@ -16,6 +16,7 @@ from cartorio.gallery.texts import _dotted_cnpj, _dotted_cpf, _sum, add_numbers,
 from cartorio.operators import labels as lab
 from cartorio.operators import layout
 from cartorio.plans import extract as ext
+from cartorio.plans import types as spec
 from cartorio.session import cut_lineage, spread
 
 TODAY = date(2024, 6, 30)
@@ -280,3 +281,27 @@ def longest_name(t):
     swapped = no_label.join(mother, "doc_id").withColumn("text", F.when(F.col("line_no") == 1, F.col("mother")).otherwise(F.col("text"))).drop("mother")
     lines = swapped.withColumn("folded", fold(F.col("text")))
     return ext.extract_fields(lines, TODAY).filter("path = 'name'").select("doc_id", "status", "normalized")
+
+
+@query(
+    "registered_extractor",
+    "SELECT CAST(p_partkey AS BIGINT) AS doc_id, u.path, CASE WHEN u.path = 'maker' AND p_partkey % 3 = 0 THEN 'NOT_FOUND' ELSE 'VALID' END AS status, CASE WHEN u.path = 'brand' THEN p_brand WHEN p_partkey % 3 = 0 THEN NULL ELSE upper(p_type) END AS normalized "
+    "FROM part, (VALUES ('brand'), ('maker')) AS u(path)",
+)
+def registered_extractor(t):
+    """A type that is not read by label: its own function over its lines takes part in the one plan of all types."""
+    def tags(lines, today):
+        named = lines.select("doc_id", "page", "line_no", "text", F.col("confidence"), F.substring_index("text", "=", 1).alias("path"))
+        value = F.substring_index("text", "=", -1)
+        return named.filter(F.col("path").isin("brand", "maker")).withColumns({"raw": F.col("text"), "normalized": F.when(F.col("path") == "maker", F.upper(value)).otherwise(value), "status": F.lit("VALID"), "order": F.col("line_no")})
+
+    printed = F.array_compact(F.array(F.concat(F.lit("brand="), "p_brand"), F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("maker="), "p_type")), F.lit("brand=of a later line")))
+    lines = spread(t.part).select(F.col("p_partkey").cast("bigint").alias("doc_id"), F.posexplode(printed).alias("line_no", "text")).select(
+        "doc_id", F.lit("PART_TAG").alias("document_type"), F.lit(1).alias("page"), F.col("line_no").cast("bigint").alias("line_no"), "text", fold(F.col("text")).alias("folded"),
+        F.lit(0.9).cast("decimal(5,4)").alias("confidence"), F.lit(None).cast("array<double>").alias("bbox"), *[F.lit(None).cast("double").alias(c) for c in ("left", "top", "right", "bottom")],
+    )
+    spec.register(spec.TypeSpec("PART_TAG", "part-tag-1", (), paths=("brand", "maker"), extract=tags))
+    try:
+        return ext.extract_fields(cut_lineage(lines), TODAY).select("doc_id", "path", "status", "normalized")
+    finally:
+        del spec.REGISTRY["PART_TAG"]

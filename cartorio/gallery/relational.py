@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cartorio.gallery import archive as a
 from cartorio.gallery.base import query, values
 from cartorio.operators import listing as ops
+from cartorio.operators.counters import with_counters
 from cartorio.operators.lifecycle import STATUSES
 
 D, P, PO, R = a.DOCS, a.PRODUCTS_SQL, a.POLICIES_SQL, a.REPOSITORIES_SQL
@@ -238,3 +239,39 @@ def due_batch(t):
 
 
 STATUS_COUNT = len(STATUSES)
+
+
+# ---------------------------------------------------------------- pages of catalogues
+
+REPOSITORIES = "repositories AS (SELECT s_suppkey AS repository_id, s_name AS code, CASE s_nationkey % 3 WHEN 0 THEN 'S3' WHEN 1 THEN 'AZURE' ELSE 'LOCAL' END AS provider, s_suppkey % 2 = 0 AS active, s_suppkey = 8 AS is_default FROM supplier)"
+
+
+@query("repository_listing", f"WITH {REPOSITORIES}, f AS (SELECT * FROM repositories WHERE contains(lower(code), 'supplier') AND active), n AS (SELECT count(*) AS total FROM f) SELECT repository_id, code, is_default, total FROM f, n ORDER BY is_default DESC, code LIMIT 50")
+def repository_listing(t):
+    """First page of active storage repositories, the default one before all others."""
+    rows = t.supplier.selectExpr(
+        "s_suppkey AS repository_id", "s_name AS code", "CASE s_nationkey % 3 WHEN 0 THEN 'S3' WHEN 1 THEN 'AZURE' ELSE 'LOCAL' END AS provider", "s_suppkey % 2 = 0 AS active", "s_suppkey = 8 AS is_default"
+    )
+    return ops.list_repositories(rows, code="SUPPLIER", active=True, size=50).select("repository_id", "code", "is_default", "total")
+
+
+@query("subscription_listing", "WITH s AS (SELECT user_id AS subscription_id, min(ts) AS created_at, min(event_type) AS product_id, user_id % 3 <> 0 AS active FROM events GROUP BY user_id), f AS (SELECT * FROM s WHERE active AND product_id = 'click'), n AS (SELECT count(*) AS total FROM f) SELECT subscription_id, total FROM f, n ORDER BY created_at DESC, subscription_id DESC LIMIT 20")
+def subscription_listing(t):
+    """First page of the active subscriptions of a product, newest first."""
+    rows = t.events.groupBy(F.col("user_id").alias("subscription_id")).agg(F.min("ts").alias("created_at"), F.min("event_type").alias("product_id")).withColumn("active", F.col("subscription_id") % 3 != 0)
+    return ops.list_subscriptions(rows, active=True, product_id="click").select("subscription_id", "total")
+
+
+@query("delivery_listing", "WITH f AS (SELECT event_id AS delivery_id, ts FROM events WHERE user_id % 10 = 3), n AS (SELECT count(*) AS total FROM f) SELECT delivery_id, total FROM f, n ORDER BY ts DESC, delivery_id DESC LIMIT 20")
+def delivery_listing(t):
+    """First page of the deliveries of one subscription, newest first."""
+    rows = t.events.select(F.col("event_id").alias("delivery_id"), (F.col("user_id") % 10).alias("subscription_id"), F.col("ts").alias("created_at"))
+    return ops.list_deliveries(rows, 3).select("delivery_id", "total")
+
+
+@query("run_counters", "SELECT count(*) AS rows, count(*) FILTER (event_type = 'purchase') AS updated, count(*) FILTER (event_type = 'error') AS failed FROM events")
+def run_counters(t):
+    """Counters of a run, taken while its rows are written."""
+    counted, seen = with_counters(t.events, "run", {"updated": F.col("event_type") == "purchase", "failed": F.col("event_type") == "error"})
+    counted.write.format("noop").mode("overwrite").save()
+    return t.literal([tuple(seen.get[c] for c in ("rows", "updated", "failed"))], "rows bigint, updated bigint, failed bigint")

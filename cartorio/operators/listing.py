@@ -117,6 +117,24 @@ def list_catalog(
     return kept.orderBy(*order) if order else kept
 
 
+def list_repositories(df: DataFrame, code: str | None = None, provider: str | None = None, active: bool | None = None, number: int = 1, size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
+    """A page of storage repositories, the default one first, then by code. Columns read: code, provider, active, is_default."""
+    kept = list_catalog(df, {"code": code}, {"provider": provider, "active": active})
+    return page_with_total(kept, [F.col("is_default").desc(), F.col("code").asc()], number, size)
+
+
+def list_subscriptions(df: DataFrame, active: bool | None = None, product_id: str | None = None, number: int = 1, size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
+    """A page of subscriptions, newest first. Columns read: subscription_id, active, product_id, created_at."""
+    kept = list_catalog(df, equal={"active": active, "product_id": product_id})
+    return page_with_total(kept, newest_first("created_at", "subscription_id"), number, size)
+
+
+def list_deliveries(df: DataFrame, subscription_id, number: int = 1, size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
+    """A page of the deliveries of one subscription, newest first. Columns read: delivery_id, subscription_id, created_at."""
+    kept = df.filter(F.col("subscription_id") == F.lit(subscription_id))
+    return page_with_total(kept, newest_first("created_at", "delivery_id"), number, size)
+
+
 def scope_rank(document_type: Column, product: Column) -> Column:
     """Most general policy first: none, type, product, both."""
     return document_type.isNotNull().cast("int") + product.isNotNull().cast("int") * 2

@@ -525,6 +525,7 @@ def extract_fields(lines: DataFrame, today: date) -> DataFrame:
     )
     parts = [
         label_alternatives(candidates, today), line_alternatives(known, today), cpf_card_alternatives(known, today), zone_alternatives(find_zones(known, today)), contract_alternatives(known, today),
+        *registered_alternatives(known, today),
     ]
     every = nothing
     for part in parts:
@@ -533,6 +534,21 @@ def extract_fields(lines: DataFrame, today: date) -> DataFrame:
     return _compare_zone(choose(every))
 
 
+def registered_alternatives(lines: DataFrame, today: date) -> list[DataFrame]:
+    """Alternatives of the types that bring an extractor of their own, each from its own lines."""
+    kinds = {"raw": "string", "normalized": "string", "status": "string", "messages": "array<string>", "confidence": CONFIDENCE, "page": "int", "line_no": "bigint", "bbox": "array<double>"}
+    found = []
+    for t in spec.REGISTRY.values():
+        if t.extract:
+            rows = t.extract(lines.filter(F.col("document_type") == t.name), today)
+            given = {c: F.col(c).cast(kind) if c in rows.columns else F.lit(None).cast(kind) for c, kind in kinds.items()}
+            given["messages"] = F.coalesce(given["messages"], F.array().cast("array<string>"))
+            order = F.col("order").cast("bigint") if "order" in rows.columns else F.lit(0).cast("bigint")
+            zero = [F.lit(0).cast("bigint").alias(o) for o in ORDER[2:]]
+            found.append(rows.select("doc_id", F.lit(t.name).alias("document_type"), "path", F.lit(1).alias("pass"), order.alias("o1"), *zero, *[c.alias(n) for n, c in given.items()]))
+    return found
+
+
 def document_summary(fields: DataFrame) -> DataFrame:
     """Version, schema version and overall confidence per extracted document."""
     rows = [(t.name, t.version, t.schema_version) for t in spec.REGISTRY.values()]

@@ -1,10 +1,12 @@
 """The document types with an extractor: labels, fields and how each field is read.
 
-A field is a row of this table; new types are added by registering rows, not by writing plans.
+A field is a row of this table; new types are added by registering rows, not by writing plans. A type whose fields are
+not read by label brings a function of its own, see ``TypeSpec.extract``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 
@@ -27,6 +29,9 @@ class TypeSpec:
     schema_version: int = 1
     block_labels: tuple[str, ...] = ()
     paths: tuple[str, ...] = field(default=())
+    #: (lines of this type, today) -> rows (doc_id, path, raw, normalized, status, messages, confidence, page, line_no,
+    #: bbox). Columns that are left out are null, messages empty. The best row of a path is that of the smallest ``order``, if it has that column.
+    extract: Callable | None = None
 
     @property
     def known_labels(self) -> list[str]:

@@ -28,10 +28,18 @@ def to_lines(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple
     return cut.filter(F.col("line").isNotNull()).withColumn("line_no", F.col("line_no") + 1)
 
 
+# Suffixes of files that are never read as text.
+BINARY_SUFFIXES = (
+    "png", "jpg", "jpeg", "gif", "bmp", "ico", "pdf", "woff", "woff2", "ttf", "eot",
+    "zip", "gz", "tar", "7z", "dll", "exe", "so", "dylib", "pyc", "class", "otf",
+)
+
+
 def read_text_files(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Files as (path, text), those with a NUL near the start or not UTF-8 left out."""
+    """Files as (path, text); those with a binary suffix, with a NUL near the start or not in UTF-8 are left out."""
     files = spark.read.format("binaryFile").options(**options).load(path)
-    clean = files.filter(F.position(F.lit(b"\x00"), F.substring("content", 1, 4096)) == 0)
+    text_like = files.filter(~F.lower("path").rlike(rf"\.(?:{'|'.join(BINARY_SUFFIXES)})\z"))
+    clean = text_like.filter(F.position(F.lit(b"\x00"), F.substring("content", 1, 4096)) == 0)
     decoded = clean.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
     return decoded.filter(F.col("text").isNotNull())
 

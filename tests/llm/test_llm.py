@@ -656,3 +656,9 @@ def test_position_index_finds_one_error_in_any_part(monkeypatch):
     near = lambda a, b: sum(x != y for x, y in zip(a, b)) == 1 if len(a) == len(b) else any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
     want = {(i, j) for i, a in enumerate(words) if len(a) == 7 for j, b in enumerate(words) if (len(b) == 8 or j > i) and near(a, b)}
     assert found == want
+
+
+@pytest.mark.parametrize("name", ["op5_quality_rules", "op8_mix_sources", "op9_chat_format", "op12_url_filters"])
+def test_no_python_in_native_plans(spark, name):
+    plan = QUERIES[name](spark, ROOT)._jdf.queryExecution().executedPlan().toString()
+    assert not any(node in plan for node in ("Python", "Pandas", "Arrow", "MapIn", "ExternalRDD"))

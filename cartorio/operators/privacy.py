@@ -150,18 +150,11 @@ def mask_table(found: DataFrame, pools: Mapping[str, Sequence[str]], order: Sequ
 
 
 def format_like(raw: Column, plain: Column) -> Column:
-    """``plain`` spelled with the punctuation of ``raw``: its letters and digits replaced one by one."""
-    start = F.struct(F.lit("").alias("text"), F.lit(1).alias("next"))
-
-    def step(state: Column, char: Column) -> Column:
-        counts = char.rlike(r"^[\p{L}\p{N}]$")
-        has = counts & (state["next"] <= F.length(plain))
-        return F.struct(
-            F.concat(state["text"], F.when(has, F.substr(plain, state["next"], F.lit(1))).otherwise(char)).alias("text"),
-            (state["next"] + has.cast("int")).alias("next"),
-        )
-
-    return F.aggregate(F.split(raw, ""), start, step, lambda s: s["text"])
+    """``plain`` spelled with the punctuation of ``raw``: cut at its letters and digits, and put together with those of ``plain``."""
+    sign = r"[\p{L}\p{N}]"
+    gaps, own, new = F.split(raw, sign, -1), F.regexp_extract_all(raw, F.lit(sign), F.lit(0)), F.regexp_extract_all(plain, F.lit("(?s)."), F.lit(0))
+    parts = F.transform(gaps, lambda gap, n: F.concat(gap, F.when(n < F.size(own), F.coalesce(F.get(new, n), F.get(own, n))).otherwise("")))
+    return F.array_join(parts, "")
 
 
 def mask_lines(lines: DataFrame, masks: DataFrame, allowed: DataFrame | None = None, keys: Sequence[str] = ("path", "line_no"), text: str = "line") -> DataFrame:
@@ -228,28 +221,21 @@ COMPANY_SUFFIX = r"(?iu)\b(?:LTDA|S\.?A\.?|ME|EIRELI|EPP|MEI)\b\.?\s*$"
 
 
 def phrase_table(phrases: Sequence[str]) -> list[tuple[str, str]]:
-    """(folded phrase, replacement) of ``REAL`` or ``REAL => SUBSTITUTE`` entries, longest first.
+    """(folded phrase, replacement) of ``REAL`` or ``REAL => SUBSTITUTE`` entries, longest first; lines with # are remarks.
 
-    Entries are a short list kept by hand; without a substitute a numbered example stands in.
+    Entries are a short list kept by hand; without a substitute a numbered example of its kind stands in.
     """
     import re
     import unicodedata
-
-    pairs, texts, companies = [], 0, 0
-    for entry in (p.strip() for p in phrases):
-        if not entry or entry.startswith("#"):
-            continue
-        real, arrow, given = (part.strip() for part in entry.partition("=>"))
-        if not arrow:
-            if re.search(COMPANY_SUFFIX.replace("(?iu)", ""), real, re.IGNORECASE):
-                companies += 1
-                given = f"EMPRESA EXEMPLO {companies} LTDA"
-            else:
-                texts += 1
-                given = f"TEXTO EXEMPLO {texts}"
-        plain = "".join(c for c in unicodedata.normalize("NFKD", real) if not unicodedata.combining(c)).upper()
-        pairs.append((plain, given))
-    return sorted(pairs, key=lambda p: -len(p[0]))
+    from itertools import count
+
+    entry = re.compile(r"\s*(?!#|=>)(?P<real>\S.*?)\s*(?:=>\s*(?P<given>.*?)\s*)?", re.DOTALL)
+    company = re.compile(COMPANY_SUFFIX)
+    examples = {True: map("EMPRESA EXEMPLO {} LTDA".format, count(1)), False: map("TEXTO EXEMPLO {}".format, count(1))}
+    known = [m.groupdict() for m in map(entry.fullmatch, phrases) if m]
+    bare = lambda text: "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).upper()
+    pairs = [(bare(e["real"]), next(examples[bool(company.search(e["real"]))]) if e["given"] is None else e["given"]) for e in known]
+    return sorted(pairs, key=lambda pair: len(pair[0]), reverse=True)
 
 
 def mask_phrases(text: Column, phrases: Sequence[tuple[str, str]]) -> Column:

@@ -17,4 +17,5 @@ def connection():
 def test_query(spark, connection, name):
     count, problem = oracle.compare(spark, connection, name, QUERIES[name], ORACLES.get(name), ROOT)
     assert problem is None
-    assert count > 0 or name == "pii_residual"
+    # Nothing is left after masking; no two lines are alike at this scale (15 pairs are at ten times of it).
+    assert count > 0 or name in ("pii_residual", "similar_lines")

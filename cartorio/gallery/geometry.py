@@ -143,23 +143,103 @@ def flatten(t):
     return flatten_lines(blocks).select("doc_id", "line_no", F.sha2("text", 256).alias("digest"))
 
 
-@query("line_rows")
+def visual_rows_sql(boxes: str, tolerance: float, name: str) -> str:
+    """CTEs that number the rows of every page: one block a step, with the sum and count of the open row as its state."""
+    return (
+        f"{name}_unit AS (SELECT doc_id, page, coalesce(median(bottom - top) FILTER (bottom > top), 10.0) AS unit FROM {boxes} GROUP BY 1, 2), "
+        f"{name}_order AS (SELECT *, (top + bottom) / 2 AS centre, row_number() OVER (PARTITION BY doc_id, page ORDER BY (top + bottom) / 2, \"left\", bottom - top, line_no) AS o FROM {boxes}), "
+        f"{name}_fold AS (SELECT doc_id, page, o, 0 AS row, centre AS total, 1 AS n FROM {name}_order WHERE o = 1 UNION ALL "
+        f"SELECT x.doc_id, x.page, x.o, CASE WHEN abs(x.centre - f.total / f.n) <= u.unit * {tolerance} THEN f.row ELSE f.row + 1 END, "
+        f"CASE WHEN abs(x.centre - f.total / f.n) <= u.unit * {tolerance} THEN f.total + x.centre ELSE x.centre END, "
+        f"CASE WHEN abs(x.centre - f.total / f.n) <= u.unit * {tolerance} THEN f.n + 1 ELSE 1 END "
+        f"FROM {name}_fold f JOIN {name}_order x ON x.doc_id = f.doc_id AND x.page = f.page AND x.o = f.o + 1 JOIN {name}_unit u ON u.doc_id = x.doc_id AND u.page = x.page), "
+        f"{name} AS (SELECT x.*, f.row, u.unit FROM {name}_order x JOIN {name}_fold f USING (doc_id, page, o) JOIN {name}_unit u USING (doc_id, page))"
+    )
+
+
+def segments_sql(boxes: str, scale: float) -> str:
+    return (
+        f"{visual_rows_sql(boxes, layout.SEGMENT_ROW_TOLERANCE, 'placed')}, "
+        f"cuts AS (SELECT *, CASE WHEN \"left\" - lag(\"right\") OVER w > unit * {layout.SEGMENT_GAP} THEN 1 ELSE 0 END AS cut FROM placed WINDOW w AS (PARTITION BY doc_id, page, row ORDER BY \"left\", \"right\", text)), "
+        "cut AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id, page, row ORDER BY \"left\", \"right\", text) AS segment FROM cuts) "
+        f"SELECT doc_id, string_agg(text, ' ' ORDER BY \"left\", \"right\", text) AS text, round(min(\"left\") * {scale}, 1) AS \"left\", round(min(top) * {scale}, 1) AS top, "
+        f"round(max(\"right\") * {scale}, 1) AS \"right\", round(max(bottom) * {scale}, 1) AS bottom FROM cut GROUP BY doc_id, page, row, segment"
+    )
+
+
+def grids_sql(boxes: str) -> str:
+    return (
+        f"real_boxes AS (SELECT * FROM {boxes} WHERE trim(text) <> '' AND bottom > top), {visual_rows_sql('real_boxes', layout.GRID_ROW_TOLERANCE, 'placed')}, "
+        "sized AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page) AS boxes_, count(*) OVER (PARTITION BY doc_id, page, row) AS cells_ FROM placed), "
+        f"wide AS (SELECT * FROM sized WHERE boxes_ >= {layout.MIN_ROWS * layout.MIN_CELLS} AND cells_ >= {layout.MIN_CELLS}), "
+        "anchors AS (SELECT doc_id, page, row, unit, confidence, 0 AS anchor, \"left\" AS x FROM wide UNION ALL SELECT doc_id, page, row, unit, confidence, 1, \"right\" FROM wide "
+        "UNION ALL SELECT doc_id, page, row, unit, confidence, 2, (\"left\" + \"right\") / 2 FROM wide), "
+        "gaps AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY doc_id, page, anchor ORDER BY x) > unit THEN 1 ELSE 0 END AS cut FROM anchors), "
+        "clusters AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id, page, anchor ORDER BY x) AS cluster FROM gaps), "
+        f"used AS (SELECT doc_id, page, anchor, cluster FROM clusters GROUP BY ALL HAVING count(DISTINCT row) >= {layout.MIN_ROWS}), "
+        "counted AS (SELECT * FROM clusters SEMI JOIN used USING (doc_id, page, anchor, cluster)), "
+        f"full_rows AS (SELECT doc_id, page, anchor, row FROM counted GROUP BY ALL HAVING count(*) >= {layout.MIN_CELLS}), "
+        "scored AS (SELECT doc_id, page, anchor, count(DISTINCT row) AS grid_rows, count(DISTINCT cluster) AS columns, round(CAST(sum(confidence) AS DOUBLE) / count(confidence), 4) AS mean "
+        "FROM counted SEMI JOIN full_rows USING (doc_id, page, anchor, row) GROUP BY ALL), "
+        f"best AS (SELECT *, grid_rows >= {layout.MIN_ROWS} AND columns >= {layout.MIN_COLUMNS} AS is_table FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY grid_rows DESC, columns DESC, anchor) = 1), "
+        f"every AS (SELECT DISTINCT doc_id, page FROM {boxes}) "
+        "SELECT doc_id, coalesce(is_table, false) AS table_like, coalesce(grid_rows, 0) AS grid_rows, coalesce(columns, 0) AS columns, CASE WHEN is_table THEN mean END AS grid_confidence, "
+        f"coalesce(is_table AND mean < {layout.GRID_CONFIDENCE}, false) AS triggers FROM every LEFT JOIN best USING (doc_id, page)"
+    )
+
+
+# Boxes whose centres drift from one to the next, so that only the mean of the open row decides; and orders as rows of a page.
+_DRIFT = "boxes.* EXCLUDE (top, bottom), top + line_no * 29 % 17 AS top, bottom + line_no * 29 % 17 AS bottom"
+DRIFTING = f"{BOXES}, drifting AS (SELECT {_DRIFT} FROM boxes)"
+_GRID = (
+    "CAST(l_orderkey AS BIGINT) AS order_no, CAST(floor(l_orderkey / 6) AS BIGINT) AS doc_id, 1 AS page, l_orderkey * 1000000000 + l_linenumber * 100000 + l_partkey AS line_no, "
+    "CAST(l_linenumber * 80 + l_partkey % 12 AS DOUBLE) AS \"left\", CAST(l_orderkey % 6 * 30 + l_partkey % 7 AS DOUBLE) AS top, "
+    "CAST(l_linenumber * 80 + l_partkey % 12 + 30 + l_partkey % 3 AS DOUBLE) AS \"right\", CAST(l_orderkey % 6 * 30 + l_partkey % 7 + 16 AS DOUBLE) AS bottom, "
+    "concat('c', CAST(l_partkey AS {s})) AS text, CAST(0.70 + q / 250 AS DECIMAL(5,4)) AS confidence"
+)
+_CELLS = "(SELECT l_orderkey, l_linenumber, l_partkey, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2, 3)"
+GRID_BOXES = f"boxes AS (SELECT {_GRID.format(s='VARCHAR')} FROM {_CELLS})"
+
+
+def drifting(t):
+    shift = F.col("line_no") * 29 % 17
+    return boxes(t).withColumns({"top": F.col("top") + shift, "bottom": F.col("bottom") + shift})
+
+
+def grid_boxes(t):
+    cells = t.lineitem.groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.min("l_quantity").alias("q"))
+    return cells.selectExpr(*_split(_GRID.format(s="STRING").replace('"', "")))
+
+
+@query("line_rows", f"WITH RECURSIVE {BOXES}, {visual_rows_sql('boxes', 0.5, 'placed')} SELECT doc_id, count(DISTINCT row) AS rows, count(*) AS boxes FROM placed GROUP BY 1")
 def line_rows(t):
     """Visual rows of the boxes of each page."""
     rows = layout.visual_rows(boxes(t), 0.5)
     return rows.groupBy("doc_id").agg(F.countDistinct("row").alias("rows"), F.count(F.lit(1)).alias("boxes"))
 
 
-@query("segments")
+@query("drifting_rows", f"WITH RECURSIVE {DRIFTING}, {visual_rows_sql('drifting', 0.5, 'placed')} SELECT doc_id, line_no, row FROM placed")
+def drifting_rows(t):
+    """The row of every box, where boxes lie at slowly growing heights."""
+    return layout.visual_rows(drifting(t), 0.5).select("doc_id", "line_no", "row")
+
+
+@query("segments", f"WITH RECURSIVE {BOXES}, {segments_sql('boxes', 2.0)}")
 def segments(t):
     return layout.assemble_segments(boxes(t).drop("confidence", "line_no"), scale=2.0).select("doc_id", "text", "left", "top", "right", "bottom")
 
 
-@query("grid_assessment")
+@query("grid_assessment", f"WITH RECURSIVE {BOXES}, {grids_sql('boxes')}")
 def grid_assessment(t):
     return layout.assess_grids(boxes(t)).select("doc_id", "table_like", "grid_rows", "columns", "grid_confidence", "triggers")
 
 
+@query("grid_pages", f"WITH RECURSIVE {GRID_BOXES}, {grids_sql('boxes')}")
+def grid_pages(t):
+    """Pages whose rows are orders and whose cells are their items: most are tables, some with reason for a second reading."""
+    return layout.assess_grids(grid_boxes(t).drop("order_no")).select("doc_id", "table_like", "grid_rows", "columns", "grid_confidence", "triggers")
+
+
 def _letters_sql(text: str) -> str:
     return f"regexp_replace({fold_sql(text)}, '[^\\p{{L}}\\p{{Nd}}]+', '', 'g')"
 

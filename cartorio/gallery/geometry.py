@@ -179,7 +179,7 @@ def grids_sql(boxes: str) -> str:
         f"used AS (SELECT doc_id, page, anchor, cluster FROM clusters GROUP BY ALL HAVING count(DISTINCT row) >= {layout.MIN_ROWS}), "
         "counted AS (SELECT * FROM clusters SEMI JOIN used USING (doc_id, page, anchor, cluster)), "
         f"full_rows AS (SELECT doc_id, page, anchor, row FROM counted GROUP BY ALL HAVING count(*) >= {layout.MIN_CELLS}), "
-        "scored AS (SELECT doc_id, page, anchor, count(DISTINCT row) AS grid_rows, count(DISTINCT cluster) AS columns, round(CAST(sum(confidence) AS DOUBLE) / count(confidence), 4) AS mean "
+        "scored AS (SELECT doc_id, page, anchor, count(DISTINCT row) AS grid_rows, count(DISTINCT cluster) AS columns, (2 * CAST(sum(confidence * 10000) AS BIGINT) + count(*)) // (2 * count(*)) / 10000.0 AS mean "
         "FROM counted SEMI JOIN full_rows USING (doc_id, page, anchor, row) GROUP BY ALL), "
         f"best AS (SELECT *, grid_rows >= {layout.MIN_ROWS} AND columns >= {layout.MIN_COLUMNS} AS is_table FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY grid_rows DESC, columns DESC, anchor) = 1), "
         f"every AS (SELECT DISTINCT doc_id, page FROM {boxes}) "

@@ -142,8 +142,8 @@ def gap_clusters(df: DataFrame, anchor: str, unit: str = "unit", keys=PAGE_KEY,
 
 
 def _mean(name: str) -> Column:
-    """The mean as a quotient of an exact sum, so that it does not depend on the order of rows."""
-    return F.sum(F.col(name).cast("decimal(20,10)")).cast("double") / F.count(name)
+    """The mean to four places from an exact sum, so that it does not depend on the order of rows."""
+    return F.round(F.sum(F.col(name).cast("decimal(20,10)")) / F.count(name), 4).cast("double")
 
 
 def assess_grids(blocks: DataFrame, keys=PAGE_KEY, threshold: float = GRID_CONFIDENCE) -> DataFrame:
@@ -161,7 +161,7 @@ def assess_grids(blocks: DataFrame, keys=PAGE_KEY, threshold: float = GRID_CONFI
     in_row = Window.partitionBy(*keys, "anchor", "row")
     cells = counted.withColumn("_in_row", F.count(F.lit(1)).over(in_row)).filter(F.col("_in_row") >= MIN_CELLS)
     scored = cells.groupBy(*keys, "anchor").agg(
-        F.countDistinct("row").alias("grid_rows"), F.countDistinct("cluster").alias("columns"), F.round(_mean("confidence"), 4).alias("mean")
+        F.countDistinct("row").alias("grid_rows"), F.countDistinct("cluster").alias("columns"), _mean("confidence").alias("mean")
     )
     best = scored.groupBy(*keys).agg(F.max(F.struct("grid_rows", "columns", (-F.col("anchor")).alias("first"), "mean")).alias("b"))
     is_table = (F.col("b.grid_rows") >= MIN_ROWS) & (F.col("b.columns") >= MIN_COLUMNS)

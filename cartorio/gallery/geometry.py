@@ -298,3 +298,21 @@ def similar_lines(t):
 def expected_values_present(t):
     items, blocks = _items(t)
     return reading.expected_values(items, blocks).select("item_id", "exact", "block_no")
+
+
+# DuckDB counts edits in bytes, so letters of several bytes are all written as one sign.
+_OTHER = "[^\\x00-\\x7F]"
+
+
+@query(
+    "closest_lines",
+    f"WITH {_ITEMS}, missing AS (SELECT item_id, regexp_replace(item, '{_OTHER}', '~', 'g') AS item FROM items i WHERE NOT EXISTS (SELECT 1 FROM blocks b WHERE contains(b.block, i.item))), "
+    f"texts AS MATERIALIZED (SELECT regexp_replace(block, '{_OTHER}', '~', 'g') AS block, min(block_no) AS block_no FROM blocks GROUP BY 1), "
+    "nearest AS (SELECT item_id, min({'d': levenshtein(item, block), 'n': block_no}) AS b FROM missing, texts GROUP BY 1) SELECT item_id, CAST(b.d AS INTEGER) AS distance, b.n AS block_no FROM nearest",
+)
+def closest_lines(t):
+    """The line of all documents that is nearest to a line of a benchmark text that no line holds."""
+    items, blocks = _items(t)
+    missing = reading.expected_values(items, blocks).filter("NOT exact")
+    signs = lambda name: F.regexp_replace(name, _OTHER, "~").alias(name)
+    return reading.closest_blocks(missing.select("item_id", "sample", signs("item")), blocks.select("block_no", "sample", signs("block"))).select("item_id", "distance", "block_no")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartorio.bounds import literal_table
-from cartorio.functions.folding import fold_table, normalize_text
+from cartorio.functions.approximate import LETTERS_PER_EDIT, MAX_EDITS, SUBSTRING_LENGTH
+from cartorio.functions.folding import compact_of, fold, fold_table, normalize_text
 from cartorio.gallery.base import query, values
 from cartorio.operators import classify as cls
 from cartorio.operators import intake, privacy
@@ -53,10 +54,14 @@ SEARCH = (
 )
 
 
-def _pattern_sql(pattern: str) -> str:
+def plain_pattern(pattern: str) -> str:
     import unicodedata
 
-    plain = "".join(c for c in unicodedata.normalize("NFD", pattern) if unicodedata.category(c) != "Mn").upper()
+    return "".join(c for c in unicodedata.normalize("NFD", pattern) if unicodedata.category(c) != "Mn").upper()
+
+
+def _pattern_sql(pattern: str) -> str:
+    plain = plain_pattern(pattern)
     return f"contains(compact, '{plain}')" if len(plain) >= 8 else f"contains(words, ' {plain} ')"
 
 
@@ -102,12 +107,79 @@ def classify_by_join(t):
     return cls.classify_by_join(t.documents, rules(t)).select("doc_id", "document_type", F.col("score").cast("double").alias("score"))
 
 
-@query("classify_fuzzy")
+# DuckDB counts edits in bytes: letters of several bytes are all written as one sign.
+ONE_SIGN = "regexp_replace({}, '[^\\x00-\\x7F]', '~', 'g')"
+
+
+def approximate_sql(texts: str, patterns: str) -> str:
+    """CTEs up to ``near`` (doc_id, pattern, edits) for texts (doc_id, compact) and patterns (pattern) of eight letters or more.
+
+    A piece of the pattern has to stand in the text as it is; around it, every window of a possible start and length is measured.
+    """
+    return (
+        f"sized AS (SELECT pattern, length(pattern) AS size, CAST(least({MAX_EDITS}, length(pattern) // {LETTERS_PER_EDIT}) AS INTEGER) AS most FROM {patterns}), "
+        "pieces AS (SELECT *, size * n // (most + 1) AS ahead, substr(pattern, size * n // (most + 1) + 1, size * (n + 1) // (most + 1) - size * n // (most + 1)) AS piece FROM (SELECT *, unnest(range(0, most + 1)) AS n FROM sized)), "
+        f"letters AS (SELECT doc_id, compact, unnest(range(1, length(compact) + 1)) AS pos FROM {texts}), "
+        "starts AS (SELECT doc_id, compact, pos, substr(compact, pos, 4) AS four FROM letters), "
+        "hits AS (SELECT DISTINCT doc_id, compact, pattern, size, most, pos - ahead AS start FROM starts JOIN pieces ON four = left(piece, 4) AND substr(compact, pos, length(piece)) = piece), "
+        "windows AS (SELECT doc_id, compact, pattern, most, start + a AS start, size + b AS size FROM hits, range(-3, 4) x(a), range(-3, 4) y(b) WHERE abs(a) <= most AND abs(b) <= most AND start + a >= 1), "
+        "near AS (SELECT doc_id, pattern, CAST(min(levenshtein(pattern, substr(compact, start, size))) AS INTEGER) AS edits FROM windows WHERE levenshtein(pattern, substr(compact, start, size)) <= most GROUP BY 1, 2)"
+    )
+
+
+def _fuzzy_sql() -> str:
+    rows = [(name, position, threshold, side, number, label, weight, plain_pattern(p))
+            for name, position, threshold, evidence, counter in PROFILES for side, items in (("E", evidence), ("C", counter))
+            for number, (label, weight, patterns) in enumerate(items) for p in patterns]
+    listed = values([(n, p, round(float(t) * 100), s, i, e, round(float(w) * 100), x) for n, p, t, s, i, e, w, x in rows], "document_type, pos, threshold, side, ordinal, name, points, pattern")
+    return (
+        f"WITH {SEARCH}, rules AS {listed}, signs AS (SELECT doc_id, {ONE_SIGN.format('compact')} AS compact FROM search), long AS (SELECT DISTINCT pattern FROM rules WHERE length(pattern) >= {SUBSTRING_LENGTH}), "
+        f"{approximate_sql('signs', 'long')}, "
+        f"found AS (SELECT doc_id, pattern FROM near UNION ALL SELECT doc_id, pattern FROM search JOIN (SELECT DISTINCT pattern FROM rules WHERE length(pattern) < {SUBSTRING_LENGTH}) ON contains(words, ' ' || pattern || ' ')), "
+        "evidence AS (SELECT DISTINCT doc_id, document_type, pos, threshold, side, ordinal, name, points FROM found JOIN rules USING (pattern)), "
+        "scored AS (SELECT doc_id, document_type, pos, threshold, greatest(least(sum(CASE side WHEN 'E' THEN points ELSE -points END), 100), 0) AS points, "
+        "coalesce(string_agg(name, ',' ORDER BY ordinal) FILTER (side = 'E'), '') AS signals FROM evidence GROUP BY ALL), "
+        "best AS (SELECT * FROM scored WHERE points >= threshold QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, pos) = 1) "
+        "SELECT doc_id, coalesce(document_type, 'UNKNOWN') AS document_type, CAST(points / 100.0 AS DOUBLE) AS score, coalesce(signals, '') AS signals FROM documents LEFT JOIN best USING (doc_id)"
+    )
+
+
+@query("classify_fuzzy", _fuzzy_sql())
 def classify_fuzzy(t):
     """Approximate matching included; types may only gain evidence over the exact query."""
     return cls.classify(t.documents, rules(t)).select("doc_id", "document_type", F.col("score").cast("double").alias("score"), F.array_join("signals", ",").alias("signals"))
 
 
+def _planted() -> str:
+    """``plain`` with 0 to 3 edits, by the item's number: a letter put in, one left out, one replaced."""
+    place = lambda share: f"CAST(floor(length(plain) * {share}) AS INT)"
+    replaced = f"CASE WHEN item_id % 4 >= 3 THEN concat(substr(plain, 1, {place(0.75)}), 'X', substr(plain, {place(0.75)} + 2)) ELSE plain END"
+    shortened = f"CASE WHEN item_id % 4 >= 2 THEN concat(substr({replaced}, 1, {place(0.5)}), substr({replaced}, {place(0.5)} + 2)) ELSE {replaced} END"
+    return f"CASE WHEN item_id % 4 >= 1 THEN concat(substr({shortened}, 1, {place(0.25)}), 'X', substr({shortened}, {place(0.25)} + 1)) ELSE {shortened} END"
+
+
+_LINE_PATTERNS = (
+    f"lines AS (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark), "
+    f"plains AS (SELECT item_id, {ONE_SIGN.format(f'regexp_replace({fold_sql("line")}, {WORD_BREAK}, {chr(39) * 2}, {chr(39)}g{chr(39)})')} AS plain FROM lines), "
+    f"patterns AS (SELECT DISTINCT {_planted()} AS pattern FROM plains)"
+)
+
+
+@query(
+    "approximate_lines",
+    f"WITH {SEARCH}, signs AS (SELECT doc_id, {ONE_SIGN.format('compact')} AS compact FROM search), {_LINE_PATTERNS}, long AS (SELECT pattern FROM patterns WHERE length(pattern) >= {SUBSTRING_LENGTH}), "
+    f"{approximate_sql('signs', 'long')} SELECT doc_id, pattern, edits FROM near",
+)
+def approximate_lines(t):
+    """Misspelt lines of benchmark texts that stand in a document with up to three edits, as a join with a table of patterns."""
+    signs = lambda text: F.regexp_replace(compact_of(fold(F.col(text))), "[^\\x00-\\x7F]", "~")
+    texts = t.documents.select("doc_id", signs("text").alias("compact"))
+    lines = t.benchmark.select("item_id", F.explode(F.split("text", "\n")).alias("line")).select("item_id", signs("line").alias("plain"))
+    lines = lines.select(F.expr(_planted()).alias("pattern_compact"))
+    long = lines.filter(F.length("pattern_compact") >= SUBSTRING_LENGTH)
+    return cls.fuzzy_join(texts, long, "doc_id").select("doc_id", F.col("pattern_compact").alias("pattern"), "edits")
+
+
 @query(
     "classification_candidates",
     f"WITH {SCORED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, pos) AS rank, points >= threshold AS accepted FROM scored), "

@@ -330,8 +330,11 @@ def fuzzy_join(texts: DataFrame, patterns: DataFrame, on: str) -> DataFrame:
     cut = lambda i: F.floor(size * i / count).cast("int")
     piece = lambda i: F.substring(F.col("pattern_compact"), cut(i) + 1, F.least(F.lit(8), cut(i + 1) - cut(i)))
     wanted = patterns.select("pattern_compact").distinct().withColumn("_gram", F.explode_outer(F.transform(F.sequence(F.lit(0), count - 1), piece)))
-    # A piece of a pattern of eight letters has four.
-    windows = F.concat(*[grams(F.col("compact"), n) for n in range(4, 9)])
+    # A piece of a pattern of eight letters has four; only windows as long as some piece are made.
+    sizes = [r[0] for r in wanted.select(F.length("_gram")).distinct().collect()]
+    if not sizes:
+        return texts.select(on, F.lit("").alias("pattern_compact"), F.lit(0).alias("edits")).limit(0)
+    windows = F.concat(*[grams(F.col("compact"), n) for n in sorted(sizes)])
     offered = texts.select(on, F.explode_outer(F.array_distinct(windows)).alias("_gram"))
     met = offered.join(hint_small(wanted), "_gram").select(on, "pattern_compact").distinct()
     # Not deterministic: else the filter would be merged into it, and pairs be compared twice.

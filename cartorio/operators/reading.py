@@ -130,11 +130,76 @@ def expected_values(expected: DataFrame, blocks: DataFrame, key: str = "sample")
     )
 
 
+# Letters counted together; what is in none of them is counted as a rest.
+LETTER_CLASSES = ("A", "E", "I", "OU", "MN", "LR", "ST", "BCDP")
+#: Edits of the first round, and how much wider the next one looks.
+FIRST_REACH, WIDER = 8, 4
+
+
+def _placed(texts: DataFrame, pivots: DataFrame, name: str, key: str) -> DataFrame:
+    """Texts with length, distances from the pivots of their sample, and letters by class."""
+    length = F.length(name)
+    counts = [length - F.length(F.translate(F.col(name), letters, "")) for letters in LETTER_CLASSES]
+    placed = texts.join(hint_small(pivots), key)
+    return placed.select(
+        *texts.columns, length.alias("length"), F.levenshtein(name, "pivot_1").alias("far_1"), F.levenshtein(name, "pivot_2").alias("far_2"), F.array(*counts).alias("letters")
+    )
+
+
+def _least_edits(length: Column, other: Column, letters: Column, others: Column) -> Column:
+    """Edits that are needed at least to turn one bag of letters into the other."""
+    n = len(LETTER_CLASSES)
+    rest = lambda size, bag: size - sum((bag[i] for i in range(1, n)), bag[0])
+    gaps = [letters[i] - others[i] for i in range(n)] + [rest(length, letters) - rest(other, others)]
+    over = [F.greatest(g, F.lit(0)) for g in gaps]
+    under = [F.greatest(-g, F.lit(0)) for g in gaps]
+    return F.greatest(sum(over[1:], over[0]), sum(under[1:], under[0]))
+
+
 def closest_blocks(missing: DataFrame, blocks: DataFrame, key: str = "sample") -> DataFrame:
-    """Closest block by edit distance of values that no block holds.
+    """(item_id, distance, block_no, closest): the block of its sample that is nearest to a value by edit distance, the first of several.
+
+    Missing: item_id, ``key``, item; blocks: block_no, ``key``, block. Edit distance is a metric, so texts within k edits
+    differ by k at most in length and in their distance from any third text. Two values of a sample are such pivots; texts are
+    cells of a grid of length and distance from the first. A round joins values with the cells in their reach
+    and compares what the other bounds leave. A value is settled when something is found within its reach; else it
+    looks four times as far, or as far as the nearest block it has met, whichever is less. The number of rounds is the
+    logarithm of the longest text's length.
 
-    Values and blocks meet by sample; a partial aggregate leaves one row per value before a shuffle.
+    Equal texts of a sample are compared once. Null values and blocks take no part, nor do values of a null sample; a value
+    whose sample has no block gets no row. An empty value is as far from a block as that is long.
     """
-    measured = missing.select("item_id", key, "item").join(blocks.select(key, "block_no", "block"), key)
-    best = measured.groupBy("item_id").agg(F.min(F.struct(F.levenshtein("item", "block").alias("d"), "block_no", "block")).alias("b"))
-    return best.select("item_id", F.col("b.d").alias("distance"), F.col("b.block").alias("closest"))
+    values = missing.select("item_id", key, "item")
+    asked = values.filter(F.col("item").isNotNull() & F.col(key).isNotNull()).select(key, "item").distinct()
+    pivot = lambda n: F.min(F.struct(F.xxhash64(F.lit(n), "item"), "item"))["item"]
+    pivots = cut_lineage(asked.groupBy(key).agg(pivot(1).alias("pivot_1"), pivot(2).alias("pivot_2")))
+    texts = blocks.filter(F.col("block").isNotNull()).groupBy(key, "block").agg(F.min("block_no").alias("block_no"))
+    theirs = {c: f"_{c}" for c in ("length", "far_1", "far_2", "letters")}
+    known = cut_lineage(_placed(texts, pivots, "block", key).withColumnsRenamed(theirs))
+    waiting = cut_lineage(_placed(asked, pivots, "item", key).withColumn("reach", F.lit(FIRST_REACH)))
+    longest = max(known.agg(F.max("_length")).first()[0] or 0, waiting.agg(F.max("length")).first()[0] or 0)
+
+    settled, width, columns = [], FIRST_REACH, waiting.columns
+    while True:
+        cell = lambda value: F.floor(value / F.lit(width))  # noqa: B023, E731
+        around = lambda value: F.sequence(cell(value - F.col("reach")), cell(value + F.col("reach")))
+        seeking = waiting.withColumn("_row", F.explode(around(F.col("length")))).withColumn("_place", F.explode(around(F.col("far_1"))))
+        offered = known.withColumns({"_row": cell(F.col("_length")), "_place": cell(F.col("_far_1"))})
+        reach = F.col("reach")
+        near = [F.abs(F.col(c) - F.col(f"_{c}")) <= reach for c in ("length", "far_1", "far_2")]
+        bag = _least_edits(F.col("length"), F.col("_length"), F.col("letters"), F.col("_letters")) <= reach
+        pairs = seeking.join(offered, [key, "_row", "_place"]).filter(near[0] & near[1] & near[2] & bag)
+        best = pairs.groupBy(key, "item").agg(F.min(F.struct(F.levenshtein("item", "block").alias("distance"), "block_no", F.col("block").alias("closest"))).alias("b"))
+        judged = cut_lineage(waiting.join(best, [key, "item"], "left"))
+        within = F.coalesce(F.col("b.distance") <= F.col("reach"), F.lit(False))
+        settled.append(judged.filter(within).select(key, "item", "b.*"))
+        if width >= longest:
+            break
+        width *= WIDER
+        waiting = judged.filter(~within).withColumn("reach", F.least(F.lit(width), F.col("b.distance"))).select(*columns)
+        if waiting.isEmpty():
+            break
+    found = settled[0]
+    for more in settled[1:]:
+        found = found.unionByName(more)
+    return values.join(found, [key, "item"]).select("item_id", "distance", "block_no", "closest")

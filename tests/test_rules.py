@@ -225,3 +225,31 @@ def test_similar_pairs_against_all_pairs(spark):
         if s == t and a and b and min(len(a), len(b)) >= 3 and distance(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9)
     }
     assert {(r.item_id, r.block_no, r.edits) for r in got} == want and len(want) > 30 and len(got) == len(want)
+
+
+def test_closest_blocks_are_those_of_all_pairs(spark):
+    import random
+
+    draw = random.Random(5)
+    word = lambda n: "".join(draw.choice("ABCDEÉ") for _ in range(n))
+    blocks = [(draw.choice("st"), n, word(draw.choice([0, 1, 3, 8, 20, 60]))) for n in range(80)] + [("s", 90, None), ("u", 91, "AB"), ("s", 92, "A" * 700)]
+    blocks += [(s, n + 100, b) for s, n, b in blocks[:10]]
+    items = [(n, draw.choice(["s", "t", "s", "t", "none", None]), word(draw.choice([0, 2, 9, 25, 70]))) for n in range(40)] + [(50, "s", None), (51, "u", "XYZ"), (52, "s", "B" * 650)]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {}
+    for n, sample, item in items:
+        near = [(distance(item, b), no, b) for s, no, b in blocks if s == sample and b is not None] if item is not None else []
+        if near:
+            want[n] = min(near)
+    got = reading.closest_blocks(spark.createDataFrame(items, "item_id int, sample string, item string"), spark.createDataFrame(blocks, "sample string, block_no int, block string"))
+    assert {r["item_id"]: (r["distance"], r["block_no"], r["closest"]) for r in got.collect()} == want and len(want) > 25
+    empty = spark.createDataFrame([], "item_id int, sample string, item string")
+    assert reading.closest_blocks(empty, spark.createDataFrame(blocks, "sample string, block_no int, block string")).count() == 0

@@ -52,3 +52,37 @@ def test_unusual_documents(spark):
     assert value(3, "holderDocument")[0] == "INVALID"
     assert value(4, "total") == ("VALID", "1000.50", ["FORMAT_VALID"])
     assert not any(doc == 5 for doc, _ in got)
+
+
+def test_label_tables_match_as_constants_do(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from cartorio.operators.labels import match_label_table, match_labels
+
+    draw = random.Random(11)
+    words = ["NOME", "DATA", "NASCIMENTO", "FILIACAO", "NATURALIDADE", "ORGAO", "EXPEDIDOR", "DE", "DO", "REGISTRO", "SOCIAL", "CIVIL", "No"]
+    types = {n: list(dict.fromkeys(" ".join(draw.choices(words, k=draw.randint(1, 4))) for _ in range(60))) for n in ("A", "B")}
+
+    def spoilt(label):
+        for _ in range(draw.choice([0, 0, 1, 2, 3, 4])):
+            at = draw.randrange(len(label) + 1)
+            label = draw.choice([label[:at] + "X" + label[at:], label[:at] + label[at + 1 :], label[:at] + "Z" + label[at + 1 :]])
+        return label
+
+    rows = [(n % 7, draw.choice("ABC"), draw.choice(["", "12. ", "3A) "]) + spoilt(draw.choice(types["A"] + types["B"])) + draw.choice(["", ": 123", " MARIA", ":"])) for n in range(900)]
+    rows += [(None, "A", ""), (1, None, "NOME"), (1, "A", "NOME " * 3000), (2, "A", types["A"][0]), (2, "A", types["A"][0])]
+    lines = spark.createDataFrame(rows, "doc_id int, document_type string, text string").withColumn("folded", F.upper("text"))
+    table = spark.createDataFrame([(n, label, i) for n, labels in types.items() for i, label in enumerate(labels)], "document_type string, label string, position int")
+    found = lambda df: sorted(((r["doc_id"], r["document_type"], r["text"], [tuple(x) for x in r["labels"]], r["is_label"]) for r in df.collect()), key=repr)
+    want = found(match_labels(lines.filter("document_type IS NOT NULL"), types))
+    got = match_label_table(lines, table)
+    assert found(got.filter("document_type IS NOT NULL")) == want and sum(r[4] for r in want) > 100
+    assert [r["is_label"] for r in got.filter("document_type IS NULL").collect()] == [False]
+    assert match_label_table(lines, table.limit(0)).filter("is_label").count() == 0
+    many = table.unionByName(spark.range(10_000).select(F.lit("A").alias("document_type"), F.concat(F.lit("ROTULO NUMERO "), F.conv(F.col("id").cast("string"), 10, 36)).alias("label"), (F.col("id") + 100).cast("int").alias("position")))
+    seen = match_label_table(lines, many)
+    assert seen.filter("is_label").count() == sum(r[4] for r in want)
+    far = spark.createDataFrame([(9, "A", "ROTULO NUMER0 5YC")], "doc_id int, document_type string, text string").withColumn("folded", F.upper("text"))
+    assert "ROTULO NUMERO 5YC" in [x["label"] for r in match_label_table(far, many).collect() for x in r["labels"]]

@@ -405,29 +405,40 @@ def _won_by_join(docs: DataFrame, rules: DataFrame, minimum: Decimal | None, tex
 
 
 def _scored_by_join(docs: DataFrame, rules: DataFrame, text: str, minimum: Decimal | None, fuzzy: bool) -> DataFrame:
-    """As ``_scored``: every text with every type of the catalogue."""
+    """As ``_scored``: types with a hit are put together by joins, all others come from one row of what a type without hits looks like.
+
+    That row is as large as the answer for one text, which holds every type of the catalogue.
+    """
     keyed = _identified(docs, text)
     place = ["document_type", "side", "ordinal"]
     found = _matches(keyed, rules, text, fuzzy).groupBy("_text_id", *place).agg(F.min(F.struct("pattern_ordinal", "pattern", "edits")).alias("h"))
     types = rules.groupBy("document_type").agg(F.min(F.struct("position", _limit(minimum).alias("threshold"))).alias("t"))
     numbered = types.select("document_type", "t.threshold", (F.row_number().over(Window.orderBy("t.position", "document_type")) - 1).alias("position"))
     items = rules.select(*place, "name", F.col("weight").cast("decimal(12,6)").alias("weight")).join(numbered, "document_type")
-    every = keyed.select("_text_id").distinct().crossJoin(items).join(found, ["_text_id", *place], "left")
-    edits = F.col("h.edits")
-    item = F.struct(
-        "name", "weight", F.col("h").isNotNull().alias("matched"), F.col("h.pattern").alias("pattern"),
-        F.when(edits == 0, "EXACT").when(edits > 0, "FUZZY").alias("kind"), edits.alias("edits"),
-    )
+    group = ["position", "document_type", "threshold"]
+
+    def candidates(rows: DataFrame, by: list[str], pattern: Column, edits: Column) -> DataFrame:
+        item = F.struct(
+            "name", "weight", edits.isNotNull().alias("matched"), pattern.alias("pattern"),
+            F.when(edits == 0, "EXACT").when(edits > 0, "FUZZY").alias("kind"), edits.alias("edits"),
+        )
+
+        def block(side: str) -> Column:
+            listed = F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("ordinal", item.alias("i")))))
+            return F.transform(listed, lambda r: r["i"]).alias("evidence" if side == "E" else "counter")
 
-    def block(side: str) -> Column:
-        rows = F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("ordinal", item.alias("i")))))
-        return F.transform(rows, lambda r: r["i"]).alias("evidence" if side == "E" else "counter")
+        judged = rows.groupBy(*by, *group).agg(block("E"), block("C")).select(*by, _judged(F.struct(*group, "evidence", "counter")).alias("c"))
+        return judged.groupBy(*by).agg(F.collect_list("c").alias("_some"))
 
-    types = every.groupBy("_text_id", "position", "document_type", "threshold").agg(block("E"), block("C"))
-    candidate = F.struct("position", "document_type", "threshold", "evidence", "counter")
-    texts = types.groupBy("_text_id").agg(F.array_sort(F.collect_list(_judged(candidate))).alias("_candidates"))
+    touched = found.select("_text_id", "document_type").distinct().join(items, "document_type").join(found, ["_text_id", *place], "left")
+    hits = candidates(touched, ["_text_id"], F.col("h.pattern"), F.col("h.edits"))
+    others = candidates(items, [], F.lit(None).cast("string"), F.lit(None).cast("int")).scalar()
+    joined = keyed.join(hits, "_text_id", "left").withColumn("_others", others)
+    with_hits = F.transform("_some", lambda c: c["document_type"])
+    rest = F.filter("_others", lambda c: F.col("_some").isNull() | ~F.array_contains(with_hits, c["document_type"]))
+    every = F.array_sort(F.when(F.col("_some").isNull(), rest).otherwise(F.concat("_some", rest)))
     length = F.length(compact_of(fold(F.col(text))))
-    return keyed.withColumn("text_length", length).join(texts, "_text_id", "left").drop("_text_id")
+    return joined.withColumns({"text_length": length, "_candidates": every}).drop("_text_id", "_some", "_others")
 
 
 def classify_by_join(

@@ -162,14 +162,13 @@ def mask_lines(lines: DataFrame, masks: DataFrame, allowed: DataFrame | None = N
 
     A line is cut at the matches of all shapes, each match is looked up in the line's own map, and the parts are
     joined once: a replacement is never replaced again, and digits inside a longer number stay. Only lines with
-    findings take part in the join.
+    findings take part in the join. The mask table decides which kinds are replaced, voters' numbers among them.
     """
     found = find_values(lines.select(*keys, text), text)
     if allowed is not None:
         found = found.join(hint_small(allow_groups(allowed)), ["allow_group", "value"], "left_anti")
     swaps = (
-        found.filter(F.col("kind") != KIND_VOTER)
-        .join(hint_small(masks), ["kind", "value"])
+        found.join(hint_small(masks), ["kind", "value"])
         .groupBy(*keys)
         .agg(F.map_from_entries(F.collect_set(F.struct("raw", format_like(F.col("raw"), F.col("replacement")).alias("new")))).alias("_swaps"))
     )

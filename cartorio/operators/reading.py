@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartorio.bounds import hint_small
+from cartorio.functions.pieces import piece_list, pieces_in
 from cartorio.operators.classify import contains_join, grams
 from cartorio.session import cut_lineage
 
@@ -21,9 +22,15 @@ def _holding(items: DataFrame, blocks: DataFrame, key: str, gram: int = 8) -> Da
     """Rows of (item, block holding it), by equality joins on item prefixes; short items on their whole length."""
     long = contains_join(blocks, items, "block", "item", gram, (key,))
     brief = items.filter(F.length("item") < gram)
-    pieces = F.flatten(F.array(*[grams(F.col("block"), n) for n in range(1, gram)]))
-    short = blocks.withColumn("item", F.explode_outer(F.array_distinct(pieces))).join(hint_small(brief), [key, "item"])
+    listed = piece_list(brief, "item")
+    if listed is not None:
+        held = F.transform(pieces_in(F.col("block"), listed), lambda p: p["piece"])
+    else:
+        held = F.array_distinct(F.flatten(F.array(*[grams(F.col("block"), n) for n in range(1, gram)])))
+    short = blocks.withColumn("item", F.explode_outer(held)).filter(F.contains("block", "item")).join(hint_small(brief), [key, "item"])
     columns = ["item_id", *blocks.columns]
+    if listed == []:
+        return long.select(*columns)
     return long.select(*columns).unionByName(short.select(*columns))
 
 
@@ -57,10 +64,34 @@ def _leading(rows: DataFrame, by: Sequence[str], length: Column, similar: float)
     return rows.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") + strange <= lead).drop("_nth")
 
 
+def _pieces(items: DataFrame, similar: float) -> DataFrame:
+    """One row per piece of an item, so many pieces that a similar block, of any length, has one of them unchanged."""
+    size = F.length("item")
+    count = allowed_edits(F.floor(F.round(size / similar, 9)), similar) + 1
+    cut = lambda i: F.floor(size * i / F.col("_count")).cast("int")
+    piece = lambda i: F.struct(F.substring(F.col("item"), cut(i) + 1, cut(i + 1) - cut(i)).alias("piece"), (cut(i) + 1).alias("_place"))
+    counted = items.filter(size >= GRAM).withColumn("_count", count)
+    return counted.withColumn("_p", F.explode_outer(F.transform(F.sequence(F.lit(0), F.col("_count") - 1), piece))).select(*items.columns, "_p.*")
+
+
+def _similar_by_pieces(pieces: DataFrame, blocks: DataFrame, listed: Sequence[str], key: str, similar: float) -> DataFrame:
+    """``similar_pairs`` for items whose pieces fit in a task; repeated finds of a pair are put together in the end."""
+    hits = blocks.withColumn("_hit", F.explode_outer(pieces_in(F.col("block"), listed, places=True))).select(*blocks.columns, "_hit.piece", "_hit.place")
+    bound = allowed_edits(F.greatest(F.length("item"), F.length("block")), similar)
+    close = (F.abs(F.length("item") - F.length("block")) <= bound) & (F.abs(F.col("place") - F.col("_place")) <= bound)
+    met = hits.join(hint_small(pieces), [key, "piece"]).filter(close & (F.length("block") >= GRAM))
+    edits = F.levenshtein("item", "block")
+    near = met.select(key, "item_id", "block_no", "item", "block", edits.alias("edits")).filter(F.col("edits") <= bound)
+    return near.distinct()
+
+
 def similar_pairs(items: DataFrame, blocks: DataFrame, key: str = "sample", similar: float = SIMILAR) -> DataFrame:
     """(item_id, block_no, item, block, edits): pairs of a sample within 1 - ``similar`` of the longer one's letters in edits.
 
-    A join on shared grams with a prefix filter. Grams are in one order, from those that fewest items use; of two texts
+    Of two texts within k edits, one of k + 1 pieces of the one stands unchanged in the other, at most k places away. Up
+    to the size for tasks, blocks are searched for all pieces of all items in one pass, and meet items on what they have.
+
+    Beyond, a join on shared grams with a prefix filter. Grams are in one order, from those that fewest items use; of two texts
     within k edits, one of the first 3 k + 1 grams of both is the same and stands at most k places apart. A block
     hands on only grams that items have, and none if its first ones are all strange. Lengths and places
     differ by k at most; the few pairs left are compared as a whole.
@@ -70,6 +101,10 @@ def similar_pairs(items: DataFrame, blocks: DataFrame, key: str = "sample", simi
     """
     if any(n - (GRAM - 1) - GRAM * int(n * (1 - similar) + 1e-9) < 1 for n in range(GRAM, 1000)):
         raise ValueError(f"texts of a similarity of {similar} need not have a gram of {GRAM} letters in common")
+    pieces = _pieces(items.select("item_id", key, "item"), similar)
+    listed = piece_list(pieces, "piece")
+    if listed is not None:
+        return _similar_by_pieces(pieces, blocks.select("block_no", key, "block"), listed, key, similar)
     asked = _gram_rows(items.select("item_id", key, "item"), "item").withColumn("length", F.length("item"))
     uses = cut_lineage(asked.groupBy(key, "gram").agg(F.count_distinct("item_id").alias("uses")))
     kept = asked.join(uses, [key, "gram"]).withColumn("known", F.length("item") - (GRAM - 1))

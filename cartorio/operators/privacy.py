@@ -12,6 +12,7 @@ from cartorio.functions.offsets import replace_matches
 from cartorio.functions.check_digits import cnh_valid, cnpj_valid, cpf_valid, voter_valid
 from cartorio.functions.expressions import bind, first_case
 from cartorio.functions.folding import fold_compat
+from cartorio.functions.pieces import piece_list, pieces_in
 from cartorio.operators.classify import contains_join, grams
 
 # Shapes that are looked for, and the names findings are reported under.
@@ -36,7 +37,7 @@ _SCANS = (
     (CEP_FORMATTED, KIND_CEP, KIND_CEP),
     (RG_FORMATTED, KIND_RG, KIND_RG),
 )
-NAME_CONSTANTS = 500
+NAME_CONSTANTS = 20
 # A line without such a run of digits cannot hold any of the shapes.
 ANY_DIGITS = "[0-9]{3}"
 
@@ -100,8 +101,8 @@ def scan_pii(lines: DataFrame, allowed: DataFrame | None = None, key: str = "pat
 def scan_names(lines: DataFrame, names: DataFrame, key: str = "path", line_no: str = "line_no", text: str = "line", gram: int = 4) -> DataFrame:
     """Lines that contain a supplied name, accents and case ignored.
 
-    A short list is looked up in each line as constants; a longer one meets the lines in an
-    equality join on name prefixes.
+    A short list is looked up in each line as constants; of a longer one, all name prefixes are looked for in one pass
+    over the line, and those found meet the names in an equality join.
     """
     listed = names.filter((F.trim("name") != "") & ~F.ltrim("name").startswith("#")).select(F.trim("name").alias("name"))
     listed = listed.withColumn("folded_name", fold_compat(F.col("name"))).distinct()
@@ -115,9 +116,16 @@ def scan_names(lines: DataFrame, names: DataFrame, key: str = "path", line_no: s
     long = contains_join(folded, listed, "folded_line", "folded_name", gram)
     # Names shorter than a prefix meet the text on their whole length.
     short = listed.filter(F.length("folded_name") < gram).withColumn("_size", F.length("folded_name"))
-    parts = F.flatten(F.array(*[grams(F.col("folded_line"), n) for n in range(1, gram)]))
-    brief = folded.withColumn("folded_name", F.explode_outer(F.array_distinct(parts))).join(hint_small(short.drop("_size")), "folded_name")
+    listed = piece_list(short, "folded_name")
     columns = [key, line_no, "name"]
+    if listed == []:
+        return _named(long.select(*columns), key, line_no)
+    if listed is not None:
+        parts = F.transform(pieces_in(F.col("folded_line"), listed), lambda p: p["piece"])
+    else:
+        parts = F.array_distinct(F.flatten(F.array(*[grams(F.col("folded_line"), n) for n in range(1, gram)])))
+    offered = folded.withColumn("folded_name", F.explode_outer(parts)).filter(F.contains("folded_line", "folded_name"))
+    brief = offered.join(hint_small(short.drop("_size")), "folded_name")
     return _named(long.select(*columns).unionByName(brief.select(*columns)), key, line_no)
 
 

@@ -5,6 +5,7 @@ For a piece of text, the last token of the encoding of every byte prefix is stor
 apart when their bytes are encoded together. So
 
 * the encoding is read back from the last byte, jumping by token lengths;
+* a piece that isn't kept for edits needs only the prefixes that a search from the longest tokens enters;
 * bytes can be appended without touching what is stored;
 * after an edit, prefixes before it stay, and from the first stretch as long as the longest token on which old
   and new last tokens agree, all later ones agree too.
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame
 
 from cartorio.llm.shared import small_batches
 
-#: Entries of the per-process caches of pieces and token pairs; a full cache is emptied.
-CACHE_ENTRIES = 100_000
+#: Entries of the per-process caches of pieces and of token pairs; a full cache is emptied.
+CACHE_ENTRIES, PAIR_ENTRIES = 200_000, 100_000
 #: Bytes above which a piece is encoded without being cached.
 CACHED_BYTES = 256
 
@@ -40,28 +41,102 @@ class Vocabulary:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
-        #: Every beginning of a token: where the walk over candidates may stop.
-        self.beginnings = {token[:n] for token in self.ranks for n in range(1, len(token) + 1)}
-        self._apart: dict[tuple[int, int], bool] = {}
-
-    def merged(self, data: bytes) -> list[int]:
-        """Plain merging, lowest rank first; used on the bytes of two tokens only."""
+        #: Every beginning of a token, with its rank or -1: where the walk over candidates may stop.
+        self.beginnings = {token[:n]: -1 for token in self.ranks for n in range(1, len(token))} | self.ranks
+        self._apart: dict[int, bool] = {}
+        self._shorter: dict[int, int] = {}
+        self._halves: dict[int, tuple[int, int] | None] = {}
+
+    def merged(self, data: bytes, least: int = 1) -> list[int]:
+        """Plain merging, lowest rank first, until ``least`` parts are left; used on the bytes of one or two tokens only."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > least:
             rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
             if rank == 1 << 60:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merging makes a token: itself twice for a byte, None for one that merging never makes."""
+        if token not in self._halves:
+            data = self.tokens[token]
+            parts = self.merged(data, 2) if len(data) > 1 else [token, token]
+            self._halves[token] = tuple(parts) if len(parts) == 2 else None
+        return self._halves[token]
+
     def apart(self, left: int, right: int) -> bool:
-        known = self._apart.get((left, right))
+        """Whether the bytes of two tokens, encoded together, give these tokens.
+
+        Merges are taken back, the latest first, at the border of the two: they stay apart unless, on the way, the parts at the
+        border would have merged earlier than the merge that is taken back.
+        """
+        pair = left << 32 | right
+        known = self._apart.get(pair)
         if known is None:
-            if len(self._apart) >= CACHE_ENTRIES:
+            if len(self._apart) >= PAIR_ENTRIES:
                 self._apart.clear()
-            known = self._apart[left, right] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
+            known = self._apart[pair] = self._border_holds(left, right)
+        return known
+
+    def _border_holds(self, a: int, b: int) -> bool:
+        tokens, ranks, halves, limit = self.tokens, self.ranks, self.halves, 1 << 60
+        if halves(a) is None or halves(b) is None:
+            return False
+        while True:
+            if ranks.get(tokens[a] + tokens[b], 1 << 60) < limit:
+                return False
+            # Of equal ranks the left one merges first, so the right one is taken back first.
+            if len(tokens[a]) > 1 and (a > b or len(tokens[b]) == 1):
+                limit, a = a, halves(a)[1]
+            elif len(tokens[b]) > 1:
+                limit, b = b + 1, halves(b)[0]
+            else:
+                return True
+
+    def longest_at(self, data: bytes, at: int) -> int:
+        """The longest token that starts at a byte."""
+        found, size, beginnings = -1, len(data), self.beginnings.get
+        for stop in range(at + 1, size + 1):
+            rank = beginnings(data[at:stop])
+            if rank is None:
+                break
+            if rank >= 0:
+                found = rank
+        return found
+
+    def shorter(self, token: int) -> int:
+        """The longest other token that a token starts with, or -1."""
+        known = self._shorter.get(token)
+        if known is None:
+            data = self.tokens[token]
+            known = self._shorter[token] = next((self.ranks[data[:n]] for n in range(len(data) - 1, 0, -1) if data[:n] in self.ranks), -1)
         return known
 
+    def encode(self, data: bytes) -> list[int]:
+        """Encoding of a whole piece, by last tokens of only those prefixes that the longest tokens lead to.
+
+        The last token of a prefix is unique, so a prefix is entered once; from one that leads no further, the search
+        goes back to the prefix before it.
+        """
+        entered, found, at, size = bytearray(len(data)), [], 0, len(data)
+        tokens, apart = self.tokens, self.apart
+        token = self.longest_at(data, 0)
+        while at < size:
+            end = at + len(tokens[token])
+            if not entered[end - 1] and (not found or apart(found[-1], token)):
+                entered[end - 1] = 1
+                found.append(token)
+                at = end
+                token = self.longest_at(data, at)
+            else:
+                token = self.shorter(token)
+                while token < 0:
+                    token = found.pop()
+                    at -= len(tokens[token])
+                    token = self.shorter(token)
+        return found
+
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
@@ -138,7 +213,7 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         data = piece.encode()
         whole = self.words.ranks.get(data)
-        ids = [whole] if whole is not None else PrefixTable(self.words).append(data).tokens()
+        ids = [whole] if whole is not None else self.words.encode(data)
         packed = b"".join(i.to_bytes(4, "little") for i in ids)
         if len(data) <= CACHED_BYTES:
             if len(self) >= CACHE_ENTRIES:

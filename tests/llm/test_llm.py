@@ -179,6 +179,17 @@ def test_prefix_table(tik):
         assert table.tokens() == tik._encode_single_piece(data[:start] + b"the" + data[start + 1 :])
 
 
+def test_bpe_pieces_not_kept_enter_few_prefixes():
+    own, rng = bpe.Vocabulary(TOKENIZER), random.Random(11)
+    pieces = [bytes(rng.choice(b"abcdefgh e") for _ in range(rng.randint(1, 60))) for _ in range(300)] + [rng.randbytes(30) for _ in range(50)] + [b"a" * 300, b" " * 200 + b"ab" * 99]
+    for data in pieces:
+        found = bpe.PrefixTable(own).append(data).tokens()
+        assert own.encode(data) == found and own.merged(data) == found
+    for left, right in zip(rng.sample(sorted(own.tokens), 5000), rng.sample(sorted(own.tokens), 5000)):
+        assert own.apart(left, right) == (own.merged(own.tokens[left] + own.tokens[right]) == [left, right])
+    assert own.encode(b"") == []
+
+
 def test_bpe_odd(odd, empty):
     got = {r.doc_id: r for r in bpe.round_trip(odd, TOKENIZER, public_tokenizers.PATTERN).collect()}
     assert got[1].n_tokens == got[2].n_tokens == got[None].n_tokens == 0 and got[8][1:] == got[9][1:]

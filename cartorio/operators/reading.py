@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from cartorio.bounds import hint_small
+from cartorio.bounds import CATALOGUE_LIMIT_ROWS, hint_small
+from cartorio.functions import nearest
 from cartorio.functions.pieces import piece_list, pieces_in
 from cartorio.operators.classify import contains_join, grams
 from cartorio.session import cut_lineage
@@ -194,7 +197,11 @@ def _least_edits(length: Column, other: Column, letters: Column, others: Column)
 def closest_blocks(missing: DataFrame, blocks: DataFrame, key: str = "sample") -> DataFrame:
     """(item_id, distance, block_no, closest): the block of its sample that is nearest to a value by edit distance, the first of several.
 
-    Missing: item_id, ``key``, item; blocks: block_no, ``key``, block. Edit distance is a metric, so texts within k edits
+    Missing: item_id, ``key``, item; blocks: block_no, ``key``, block. Up to the size for tasks, every task keeps the nearest of
+    its own blocks for all values: blocks that differ too much in length or letters are left out, all others are compared,
+    thousands of pairs at once. Blocks are read once and not shuffled.
+
+    Beyond, values and blocks meet by joins. Edit distance is a metric, so texts within k edits
     differ by k at most in length and in their distance from any third text. Two values of a sample are such pivots; texts are
     cells of a grid of length and distance from the first. A round joins values with the cells in their reach
     and compares what the other bounds leave. A value is settled when something is found within its reach; else it
@@ -204,8 +211,37 @@ def closest_blocks(missing: DataFrame, blocks: DataFrame, key: str = "sample") -
     Equal texts of a sample are compared once. Null values and blocks take no part, nor do values of a null sample; a value
     whose sample has no block gets no row. An empty value is as far from a block as that is long.
     """
-    values = missing.select("item_id", key, "item")
+    values = cut_lineage(missing.select("item_id", key, "item"))
     asked = values.filter(F.col("item").isNotNull() & F.col(key).isNotNull()).select(key, "item").distinct()
+    found = _nearest_in_tasks(asked, blocks, key)
+    if found is None:
+        found = _nearest_by_rounds(asked, blocks, key)
+    return values.join(found, [key, "item"]).select("item_id", "distance", "block_no", "closest")
+
+
+def _nearest_in_tasks(asked: DataFrame, blocks: DataFrame, key: str) -> DataFrame | None:
+    """(``key``, item, distance, block_no, closest) from one pass over the blocks, or None when there are more values than fit in a task."""
+    size = asked.limit(CATALOGUE_LIMIT_ROWS + 1).agg(F.count("*"), F.sum(F.length("item"))).first()
+    if size[0] > CATALOGUE_LIMIT_ROWS or (size[1] or 0) > nearest.TABLE_LIMIT:
+        return None
+    samples = asked.groupBy(key).agg(F.sort_array(F.collect_list("item")).alias("items")).withColumn("_sample", F.monotonically_increasing_id())
+    samples = cut_lineage(samples)
+    listed = {r["_sample"]: r["items"] for r in samples.select("_sample", "items").collect()}
+    if sum(map(nearest.table_words, listed.values())) > nearest.TABLE_LIMIT:
+        return None
+    rows = blocks.filter(F.col("block").isNotNull()).join(F.broadcast(samples.select(key, "_sample")), key).select("_sample", "block_no", "block")
+    schema = rows.select("_sample", F.lit(0).alias("_nth"), F.lit(0).alias("distance"), "block_no", F.col("block").alias("closest")).schema
+    arrow = to_arrow_schema(schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from nearest.nearest_rows(batches, listed, arrow)
+
+    best = rows.mapInArrow(work, schema).groupBy("_sample", "_nth").agg(F.min(F.struct("distance", "block_no", "closest")).alias("b"))
+    return samples.select("_sample", key, F.posexplode("items").alias("_nth", "item")).join(best, ["_sample", "_nth"]).select(key, "item", "b.*")
+
+
+def _nearest_by_rounds(asked: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+    """The same rows by rounds of joins on the cells of a grid, for values of any number."""
     pivot = lambda n: F.min(F.struct(F.xxhash64(F.lit(n), "item"), "item"))["item"]
     pivots = cut_lineage(asked.groupBy(key).agg(pivot(1).alias("pivot_1"), pivot(2).alias("pivot_2")))
     texts = blocks.filter(F.col("block").isNotNull()).groupBy(key, "block").agg(F.min("block_no").alias("block_no"))
@@ -237,4 +273,4 @@ def closest_blocks(missing: DataFrame, blocks: DataFrame, key: str = "sample") -
     found = settled[0]
     for more in settled[1:]:
         found = found.unionByName(more)
-    return values.join(found, [key, "item"]).select("item_id", "distance", "block_no", "closest")
+    return found

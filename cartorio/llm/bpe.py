@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 
 from cartorio.llm.shared import small_batches
 
-#: Entries of the per-process caches of pieces and of token pairs; a full cache is emptied.
+#: Entries of the per-process caches of pieces and of token pairs; a full cache of pairs is emptied, one of pieces keeps its newer half.
 CACHE_ENTRIES, PAIR_ENTRIES = 200_000, 100_000
-#: Bytes above which a piece is encoded without being cached.
-CACHED_BYTES = 256
+#: Letters above which a piece is encoded without being cached.
+CACHED_LETTERS = 128
 
 
 class Vocabulary:
@@ -80,17 +80,21 @@ class Vocabulary:
         return known
 
     def _border_holds(self, a: int, b: int) -> bool:
-        tokens, ranks, halves, limit = self.tokens, self.ranks, self.halves, 1 << 60
-        if halves(a) is None or halves(b) is None:
+        tokens, rank, halves, limit = self.tokens, self.ranks.get, self._halves, 1 << 60
+        if (halves[a] if a in halves else self.halves(a)) is None or (halves[b] if b in halves else self.halves(b)) is None:
             return False
+        left, right = tokens[a], tokens[b]
         while True:
-            if ranks.get(tokens[a] + tokens[b], 1 << 60) < limit:
+            merged = rank(left + right)
+            if merged is not None and merged < limit:
                 return False
             # Of equal ranks the left one merges first, so the right one is taken back first.
-            if len(tokens[a]) > 1 and (a > b or len(tokens[b]) == 1):
-                limit, a = a, halves(a)[1]
-            elif len(tokens[b]) > 1:
-                limit, b = b + 1, halves(b)[0]
+            if len(left) > 1 and (a > b or len(right) == 1):
+                limit, a = a, (halves[a] if a in halves else self.halves(a))[1]
+                left = tokens[a]
+            elif len(right) > 1:
+                limit, b = b + 1, (halves[b] if b in halves else self.halves(b))[0]
+                right = tokens[b]
             else:
                 return True
 
@@ -120,11 +124,17 @@ class Vocabulary:
         goes back to the prefix before it.
         """
         entered, found, at, size = bytearray(len(data)), [], 0, len(data)
-        tokens, apart = self.tokens, self.apart
+        tokens, apart, known = self.tokens, self.apart, self._apart.get
         token = self.longest_at(data, 0)
         while at < size:
             end = at + len(tokens[token])
-            if not entered[end - 1] and (not found or apart(found[-1], token)):
+            if not entered[end - 1]:
+                fits = not found or known(found[-1] << 32 | token)
+                if fits is None:
+                    fits = apart(found[-1], token)
+            else:
+                fits = False
+            if fits:
                 entered[end - 1] = 1
                 found.append(token)
                 at = end
@@ -204,19 +214,27 @@ class PrefixTable:
 
 
 class _Pieces(dict):
-    """Cache from a piece of text to the bytes of its ids; a miss is encoded."""
+    """Cache from a piece of text to the bytes of its ids; a miss is looked for among older pieces, else encoded."""
 
     def __init__(self, words: Vocabulary):
         super().__init__()
         self.words = words
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
+        packed = self.older.pop(piece, None)
+        return self._kept(piece, packed if packed is not None else self._encoded(piece))
+
+    def _encoded(self, piece: str) -> bytes:
         data = piece.encode()
         whole = self.words.ranks.get(data)
         ids = [whole] if whole is not None else self.words.encode(data)
-        packed = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(data) <= CACHED_BYTES:
-            if len(self) >= CACHE_ENTRIES:
+        return b"".join([i.to_bytes(4, "little") for i in ids])
+
+    def _kept(self, piece: str, packed: bytes) -> bytes:
+        if len(piece) <= CACHED_LETTERS:
+            if len(self) >= CACHE_ENTRIES // 2:
+                self.older = dict(self)
                 self.clear()
             self[piece] = packed
         return packed

@@ -673,3 +673,15 @@ def test_position_index_finds_one_error_in_any_part(monkeypatch):
 def test_no_python_in_native_plans(spark, name):
     plan = QUERIES[name](spark, ROOT)._jdf.queryExecution().executedPlan().toString()
     assert not any(node in plan for node in ("Python", "Pandas", "Arrow", "MapIn", "ExternalRDD"))
+
+
+def test_a_full_cache_of_pieces_keeps_its_newer_half(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 8)
+    words = bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    cache, calls = bpe._Pieces(words), []
+    encoded = cache._encoded
+    cache._encoded = lambda piece: calls.append(piece) or encoded(piece)
+    for n in range(40):
+        assert cache[" usual"] == encoded(" usual") and cache[f" rare{n}"] == encoded(f" rare{n}")
+        assert len(cache) <= 4 and len(cache.older) <= 4
+    assert calls.count(" usual") == 1
